@@ -150,7 +150,7 @@ def near_duplicates(
     those after the exact dedupe and do not shift as rows drop.
     """
     first = exact(df, text, [F.col(o) if isinstance(o, str) else o for o in order])
-    if threshold >= 1.0:
+    if threshold >= 1.0:  # only exact copies
         return first
     indexed = numbered(first, order, "idx")
     kept = indexed.join(resolve(near_pairs(indexed, text, threshold, span)), "idx", "left_anti")

@@ -119,7 +119,7 @@ def a6(spark, sf_dir):
 )
 def b1(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
-    gaps = F.when(F.col("role") == "user", F.col("text")).when(F.col("turn") == 1, "  ")
+    gaps = F.when(F.col("role") == "user", F.col("text")).when(F.col("turn") == 1, " \u00a0")
     return talk.select("conv_id", "turn", tx.blank_to_empty(gaps).alias("text"))
 
 
@@ -201,7 +201,7 @@ def b8(spark, sf_dir):
 _STORIES_SQL = f"""
 stories AS (
   SELECT 0 AS priority, doc_id AS id, text AS headline FROM documents
-  UNION ALL SELECT 1, item_id, upper(text) || ' ' FROM benchmark
+  UNION ALL SELECT 1, item_id, '  ' || text || ' ' FROM benchmark
   UNION ALL SELECT 2, conv_id * 1000 + turn, text FROM conversations),
 hashed AS (SELECT *, md5({strip_sql('lower(headline)')}) AS hash FROM stories)"""
 
@@ -213,7 +213,7 @@ def stories(spark, sf_dir):
     )
     items = table(spark, sf_dir, "benchmark").select(
         F.lit(1).alias("priority"), F.col("item_id").alias("id"),
-        F.concat(F.upper("text"), F.lit(" ")).alias("headline"),
+        F.concat(F.lit("  "), "text", F.lit(" ")).alias("headline"),
     )
     talk = table(spark, sf_dir, "conversations").select(
         F.lit(2).alias("priority"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
@@ -253,12 +253,12 @@ def b10(spark, sf_dir):
     )
 
 
-# Documents are unique in doc_id, so the position after exact dedupe orders by it.
+# Alphabetical order puts near-copies next to each other.
 _INDEXED_SQL = f"""
 firsts AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text),
-indexed AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id,
+indexed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY text) - 1 AS idx, doc_id,
             {WORDS_SQL} AS w FROM firsts),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a.idx AS i, b.idx AS j,
          len(list_intersect(a.w, b.w))
            / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) AS jaccard
@@ -268,7 +268,7 @@ pairs AS (
 
 def _indexed_documents(spark, sf_dir):
     firsts = dedupe.exact(headlines(spark, sf_dir), "headline", [F.col("doc_id")])
-    return dedupe.numbered(firsts.select("doc_id", "headline"), ["doc_id"], "idx")
+    return dedupe.numbered(firsts.select("doc_id", "headline"), ["headline"], "idx")
 
 
 @query(
@@ -284,27 +284,27 @@ def b11_pairs(spark, sf_dir):
 def _greedy_sql(threshold: float) -> str:
     return f"""WITH RECURSIVE {_INDEXED_SQL},
     preds AS (SELECT j, list(i) AS p FROM pairs WHERE jaccard >= {threshold} GROUP BY j),
+    nodes AS MATERIALIZED (SELECT d.idx, q.p FROM indexed d LEFT JOIN preds q ON q.j = d.idx),
     walk(idx, kept) AS (
       SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)]
       UNION ALL
       SELECT x.idx, CASE WHEN x.p IS NOT NULL AND list_has_any(w.kept, x.p) THEN w.kept
                     ELSE list_append(w.kept, x.idx) END
-      FROM walk w JOIN (SELECT d.idx, q.p FROM indexed d LEFT JOIN preds q ON q.j = d.idx) x
-        ON x.idx = w.idx + 1)
+      FROM walk w JOIN nodes x ON x.idx = w.idx + 1)
     SELECT doc_id FROM indexed JOIN (SELECT unnest(kept) AS idx FROM walk
       WHERE idx = (SELECT max(idx) FROM indexed)) USING (idx)"""
 
 
 @query("b11_near_duplicates", _greedy_sql(0.95))
 def b11(spark, sf_dir):
-    return dedupe.near_duplicates(headlines(spark, sf_dir), "headline", ["doc_id"]).select("doc_id")
+    rows = dedupe.exact(headlines(spark, sf_dir), "headline", [F.col("doc_id")])
+    return dedupe.near_duplicates(rows, "headline", ["headline"]).select("doc_id")
 
 
 @query("b11_near_duplicates_loose", _greedy_sql(0.8))
 def b11_loose(spark, sf_dir):
-    return dedupe.near_duplicates(
-        headlines(spark, sf_dir), "headline", ["doc_id"], threshold=0.8
-    ).select("doc_id")
+    rows = dedupe.exact(headlines(spark, sf_dir), "headline", [F.col("doc_id")])
+    return dedupe.near_duplicates(rows, "headline", ["headline"], threshold=0.8).select("doc_id")
 
 
 @query("b12_preview", "SELECT doc_id, substring(text, 1, 80) AS preview FROM documents")
