@@ -102,15 +102,14 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS) -> DataF
 def apply_scaler(df: DataFrame, scaler: DataFrame | None) -> DataFrame:
     """Scale the features named in ``scaler``; nulls count as 0. No scaler raises.
 
-    The parameters become a single map row (one entry per feature, at most 16), so the
-    broadcast is bounded and the rows are not shuffled.
+    The parameters become one map value (an entry per feature, at most 16) that the plan reads
+    as a scalar subquery, so the rows are neither joined nor shuffled.
     """
     if scaler is None:
         raise RuntimeError("no fitted scaler; fit one first")
-    row = scaler.agg(
+    parameters = scaler.agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale"))))
-        .alias("_scaler")
-    )
+    ).scalar()
     columns = [c for c in FEATURE_COLUMNS if c in df.columns]
 
     def scaled(name: str):
@@ -118,4 +117,8 @@ def apply_scaler(df: DataFrame, scaler: DataFrame | None) -> DataFrame:
         value = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
         return F.when(cell.isNull(), F.col(name)).otherwise((value - cell["mean"]) / cell["scale"])
 
-    return df.join(F.broadcast(row)).withColumns({c: scaled(c) for c in columns}).drop("_scaler")
+    return (
+        df.withColumn("_scaler", parameters)
+        .withColumns({c: scaled(c) for c in columns})
+        .drop("_scaler")
+    )

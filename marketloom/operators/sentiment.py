@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.sentiment import SCORE_COLUMNS
@@ -41,10 +41,10 @@ def label_distribution(scored: DataFrame) -> DataFrame:
     per_label = scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("sentiment_score").alias("_sum")
     )
-    total = per_label.agg(F.sum("n").alias("_total"))
-    # One row by construction, so attaching it is a broadcast of one number.
-    return per_label.join(F.broadcast(total)).select(
-        "label", "n", (F.col("n") / F.col("_total")).alias("share"),
+    # The window runs over the label rows, of which there are three.
+    total = F.sum("n").over(Window.partitionBy())
+    return per_label.select(
+        "label", "n", (F.col("n") / total).alias("share"),
         (F.col("_sum") / F.col("n")).alias("mean_score"),
     )
 

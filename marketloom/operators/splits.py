@@ -22,8 +22,8 @@ def _label(position: Column, n: Column, settings: Settings) -> Column:
 def split_all(df: DataFrame, order: Sequence[str], settings: Settings = DEFAULTS) -> DataFrame:
     """One chronological split of a whole table of any size, without a single-task sort."""
     ranked = numbered(df, order, "_position")
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(F.broadcast(total)).withColumn(
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    return ranked.withColumn("_n", total).withColumn(
         "split", _label(F.col("_position"), F.col("_n"), settings)
     ).drop("_position", "_n")
 

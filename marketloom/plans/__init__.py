@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("price_queries", "text_queries")
+SUBJECTS = (
+    "price_queries", "text_queries", "sentiment_queries", "feature_queries", "evaluation_queries",
+)
 
 
 def load_all() -> None:
