@@ -156,17 +156,9 @@ def max_drawdown(column: str) -> Column:
     return F.coalesce(F.min(column), F.lit(0.0))
 
 
-def strategy_summary(
-    days: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "date",
-    settings: Settings = DEFAULTS,
-) -> DataFrame:
-    """Totals of a ledger: return, Sharpe, drawdown and final value of both strategies,
-    their difference, the number of trades and their cost."""
-    with_falls = drawdown(
-        drawdown(days, "strategy_cumulative", "_strategy_fall", keys, order),
-        "buyhold_cumulative", "_buyhold_fall", keys, order,
-    )
-    sums = with_falls.groupBy(*keys).agg(
+def _strategy_totals(order: str, settings: Settings) -> list[Column]:
+    """Aggregates over a ledger that has its drawdown columns."""
+    return [
         (F.max_by("strategy_cumulative", order) - 1).alias("strategy_return"),
         sharpe("strategy_return", settings=settings).alias("strategy_sharpe"),
         max_drawdown("_strategy_fall").alias("strategy_max_drawdown"),
@@ -175,14 +167,36 @@ def strategy_summary(
         sharpe("buyhold_return", settings=settings).alias("buyhold_sharpe"),
         max_drawdown("_buyhold_fall").alias("buyhold_max_drawdown"),
         F.max_by("buyhold_value", order).alias("buyhold_final_value"),
-        F.count_if(F.col("cost") > 0).alias("n_trades"),
         F.sum("cost").alias("total_costs"),
-    )
+    ]
+
+
+def _compared(totals: DataFrame) -> DataFrame:
     excess = F.col("strategy_return") - F.col("buyhold_return")
     gain = F.coalesce(
         excess / F.nullif(F.abs("buyhold_return"), F.lit(0.0)) * 100, F.lit(0.0)
     )
-    return sums.withColumns({"excess_return": excess, "improvement_pct": gain})
+    return totals.withColumns({"excess_return": excess, "improvement_pct": gain})
+
+
+def _with_falls(days: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    return drawdown(
+        drawdown(days, "strategy_cumulative", "_strategy_fall", keys, order),
+        "buyhold_cumulative", "_buyhold_fall", keys, order,
+    )
+
+
+def strategy_summary(
+    days: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "date",
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Totals of a ledger: return, Sharpe, drawdown and final value of both strategies,
+    their difference, the number of trades and their cost."""
+    return _compared(
+        _with_falls(days, keys, order).groupBy(*keys).agg(
+            *_strategy_totals(order, settings), F.count_if(F.col("cost") > 0).alias("n_trades")
+        )
+    )
 
 
 def return_error(df: DataFrame, keys: Sequence[str] = (), actual="actual_return",
@@ -192,73 +206,82 @@ def return_error(df: DataFrame, keys: Sequence[str] = (), actual="actual_return"
     return df.groupBy(*keys).agg(F.avg(gap * gap).alias("mse"), F.avg(F.abs(gap)).alias("mae"))
 
 
+def _scores(df: DataFrame) -> DataFrame:
+    """Classification scores from the four cell counts."""
+    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
+    return df.withColumns(
+        {
+            "directional_accuracy": _share(tp + tn, tp + tn + fp + fn),
+            "precision": _share(tp, tp + fp),
+            "recall": _share(tp, tp + fn),
+            "f1_score": _share(2 * tp, 2 * tp + fp + fn),
+        }
+    )
+
+
 def evaluate(
     df: DataFrame, key: str = "ticker", order: str = "date", settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Every metric per ``key``: one row of classification, return error and strategy totals."""
-    classes = df.groupBy(key).agg(*[c.alias(n) for n, c in _counts("actual", "predicted").items()])
-    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
-    classes = classes.select(
-        key,
-        _share(tp + tn, tp + tn + fp + fn).alias("directional_accuracy"),
-        _share(tp, tp + fp).alias("precision"),
-        _share(tp, tp + fn).alias("recall"),
-        _share(2 * tp, 2 * tp + fp + fn).alias("f1_score"),
-        "tn", "fp", "fn", "tp",
-    )
-    result = classes.join(
-        strategy_summary(ledger(df, [key], order, settings), [key], order, settings), key
-    )
+    """Every metric per ``key`` in one pass: the ledger's windows and a single group-by on the
+    same partitioning give classification, return error and strategy totals together."""
+    errors = []
     if "predicted_return" in df.columns:
-        result = result.join(return_error(df, [key]), key)
-    return result
+        gap = F.col("actual_return") - F.col("predicted_return")
+        errors = [F.avg(gap * gap).alias("mse"), F.avg(F.abs(gap)).alias("mae")]
+    days = _with_falls(ledger(df, [key], order, settings), [key], order)
+    return _compared(
+        _scores(
+            days.groupBy(key).agg(
+                *[c.alias(n) for n, c in _counts("actual", "predicted").items()],
+                *_strategy_totals(order, settings),
+                F.count_if(F.col("cost") > 0).alias("n_trades"),
+                *errors,
+            )
+        )
+    )
 
 
-def portfolio(df: DataFrame, order: str = "date", settings: Settings = DEFAULTS) -> DataFrame:
-    """Equal-weight book of all tickers: the mean strategy and buy-hold return per day.
+def evaluate_universal(
+    df: DataFrame, order: str = "date", settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Pooled classification over all tickers plus an equal-weight portfolio's totals.
 
-    Costs are those of the single tickers. One row per calendar day remains.
+    The ledger is reduced to one row per calendar day (mean returns and costs, cell counts,
+    growth factors), so the windows over the pooled book never see more than the calendar.
+    ``chained_*`` compounds every ticker's every day end to end, as an order-free product.
     """
-    days = ledger(df, settings=settings).groupBy(order).agg(
+    counts = _counts("actual", "predicted")
+    book = ledger(df, order=order, settings=settings).groupBy(order).agg(
         F.avg("strategy_return").alias("strategy_return"),
         F.avg("buyhold_return").alias("buyhold_return"),
         F.avg("cost").alias("cost"),
+        F.product(1 + F.col("strategy_return")).alias("_strategy_factor"),
+        F.product(1 + F.col("buyhold_return")).alias("_buyhold_factor"),
+        *[c.alias(n) for n, c in counts.items()],
     ).withColumn("ticker", F.lit(UNIVERSAL))
     so_far = Window.partitionBy("ticker").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    grown = days.withColumns(
+    grown = book.withColumns(
         {
             "strategy_cumulative": F.product(1 + F.col("strategy_return")).over(so_far),
             "buyhold_cumulative": F.product(1 + F.col("buyhold_return")).over(so_far),
         }
-    )
-    return grown.withColumns(
+    ).withColumns(
         {
             "strategy_value": F.col("strategy_cumulative") * settings.initial_capital,
             "buyhold_value": F.col("buyhold_cumulative") * settings.initial_capital,
         }
     )
-
-
-def evaluate_universal(
-    df: DataFrame, order: str = "date", settings: Settings = DEFAULTS
-) -> DataFrame:
-    """Pooled classification over all tickers plus the equal-weight portfolio's totals.
-
-    ``chained_return`` compounds every ticker's every day end to end, as an order-free product.
-    """
-    pooled = df.withColumn("ticker", F.lit(UNIVERSAL))
-    classes = (
-        accuracy(pooled, ["ticker"])
-        .join(precision_recall(pooled, ["ticker"]), "ticker")
-    )
-    chained = ledger(df, order=order, settings=settings).groupBy(
-        F.lit(UNIVERSAL).alias("ticker")
-    ).agg(
-        (F.product(1 + F.col("strategy_return")) - 1).alias("chained_strategy_return"),
-        (F.product(1 + F.col("buyhold_return")) - 1).alias("chained_buyhold_return"),
+    return _compared(
+        _scores(
+            _with_falls(grown, ["ticker"], order).groupBy("ticker").agg(
+                *[F.sum(n).alias(n) for n in counts],
+                *_strategy_totals(order, settings),
+                F.count_if(F.col("cost") > 0).alias("n_trades"),
+                (F.product("_strategy_factor") - 1).alias("chained_strategy_return"),
+                (F.product("_buyhold_factor") - 1).alias("chained_buyhold_return"),
+            )
+        )
     )
-    book = strategy_summary(portfolio(df, order, settings), ["ticker"], order, settings)
-    return classes.join(book, "ticker").join(chained, "ticker")
 
 
 # Columns of the stored evaluation summary.

