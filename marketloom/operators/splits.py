@@ -92,7 +92,7 @@ def sequences(
         (F.col(c) if c in df.columns else F.lit(0)).cast(kind).alias(c)
         for c, kind in (("target_direction", "int"), ("target_return", "double"))
     ]
-    carried = ["split"] if "split" in df.columns else []
+    carried = ["split"] if "split" in df.columns and "split" not in keys else []
     return (
         df.withColumn("sequence", F.collect_list(row).over(before))
         .filter(F.size("sequence") == seq_len)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 SUBJECTS = (
     "price_queries", "text_queries", "sentiment_queries", "feature_queries", "evaluation_queries",
-    "report_queries", "vector_queries",
+    "report_queries", "vector_queries", "model_queries", "stream_queries",
 )
 
 
