@@ -38,7 +38,7 @@ def strip(text: Column) -> Column:
 
 def blank_to_empty(text: Column) -> Column:
     """Null and white-space-only text becomes the empty string."""
-    return F.when(text.isNull() | (strip(text) == ""), "").otherwise(text)
+    return F.when(text.rlike(rf"[^{SPACE_CLASS}]"), text).otherwise("")
 
 
 def strip_markup(text: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from marketloom.workspace import written
 
 # Positions one resolution task handles at a time; also the most rows it holds in memory.
 STRETCH = 200_000
+# Ways the rows before a stretch may have turned out that are tried ahead of time.
+MOST_COMBINATIONS = 2048
+# Stretches chained by one task.
+CHAIN_STRETCHES = 10_000
 
 
 def exact(df: DataFrame, text: str, order: Sequence[Column]) -> DataFrame:
@@ -63,77 +69,235 @@ def near_pairs(
     )
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk one stretch in position order and decide the rows whose predecessors are decided.
+def _walk(positions, masks, start: int, end: int, span: int, states: np.ndarray) -> np.ndarray:
+    """Kept flags of the last ``span`` rows after walking from ``start`` to ``end``, for several
+    starting flags at once. Bit k of a state is set if the row k + 1 places back is kept; bit k of
+    a row's mask is set if that row resembles it. Rows without a mask are kept."""
+    full = np.uint64((1 << span) - 1)
+    one = np.uint64(1)
+    at = start
+    for j, mask in zip(positions, masks):
+        states = _advance(states, j - at, span, full)
+        kept = (states & np.uint64(mask)) == 0
+        states = ((states << one) & full) | kept.astype(np.uint64)
+        at = j + 1
+    return _advance(states, end - at, span, full)
 
-    ``rows`` holds (j, preds, state): the earlier near-duplicates of j inside the stretch, and
-    whether a row before the stretch already drops j (``dropped``), may do so (``open``) or
-    cannot (``free``).
+
+def _advance(states: np.ndarray, gap: int, span: int, full: np.uint64) -> np.ndarray:
+    """The flags after ``gap`` rows that nothing precedes."""
+    if gap <= 0:
+        return states
+    if gap >= span:
+        return np.full_like(states, full)
+    return ((states << np.uint64(gap)) & full) | np.uint64((1 << gap) - 1)
+
+
+def _bits(mask: int) -> list[int]:
+    return [k for k in range(mask.bit_length()) if mask >> k & 1]
+
+
+def _independent_sets(nodes: list[int], clashes: dict[int, int], limit: int) -> list[int] | None:
+    """All sets of ``nodes`` (as masks) without a clashing pair, or None if beyond ``limit``."""
+    sets = [0]
+    for node in nodes:
+        sets += [s | 1 << node for s in sets if not s & clashes.get(node, 0)]
+        if len(sets) > limit:
+            return None
+    return sets
+
+
+def _outcomes(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
+    """What one stretch passes on for each way the rows just before it may have turned out.
+
+    Only rows before the stretch that resemble one of its rows, and whose own fate is open,
+    matter. They fall into groups that no row of the stretch ties together; each group is tried
+    with every possible combination. A line (group, before, after) says: if the group's kept
+    flags are ``before``, its share of the flags at the end is ``after``. Group 0 holds what does
+    not depend on earlier rows; group -1 marks a stretch with too many combinations.
     """
+    stretch = int(rows["stretch"].iloc[0])
+    start, end = stretch * stretch_rows, (stretch + 1) * stretch_rows
     rows = rows.sort_values("j")
-    decided: dict[int, str] = {}
-    for j, preds, state in zip(rows["j"], rows["preds"], rows["state"]):
-        if state == "dropped":
-            decided[j] = "dropped"
+    js, masks = rows["j"].tolist(), rows["mask"].tolist()
+    earlier = {start - 1 - j: m for j, m in zip(js, masks) if j < start}
+    own = [(j, m) for j, m in zip(js, masks) if j >= start]
+    positions, own_masks = [j for j, _ in own], [m for _, m in own]
+    # Two earlier rows clash if one precedes and resembles the other.
+    clashes: dict[int, int] = {}
+    for back, mask in earlier.items():
+        for k in _bits(mask):
+            other = back + 1 + k
+            if other < span:
+                clashes[back] = clashes.get(back, 0) | 1 << other
+                clashes[other] = clashes.get(other, 0) | 1 << back
+    # The group of each row: the earlier open rows its fate depends on, merged where they meet.
+    leader = {back: back for back in earlier}
+
+    def find(back: int) -> int:
+        while leader[back] != back:
+            back = leader[back]
+        return back
+
+    depends: dict[int, int] = {}
+    for j, mask in own:
+        for k in _bits(mask):
+            i = j - 1 - k
+            back = depends.get(i) if i >= start else (start - 1 - i)
+            if back is None or back not in leader:
+                continue
+            if j in depends:
+                leader[find(back)] = find(depends[j])
+            else:
+                depends[j] = back
+    tails: dict[int, int] = {}
+    for j, back in depends.items():
+        if j >= end - span:
+            tails[find(back)] = tails.get(find(back), 0) | 1 << (end - 1 - j)
+    full = (1 << span) - 1
+    certain = full & ~sum(1 << back for back in earlier)
+    tries = [(0, 0, full & ~sum(tails.values()))]
+    for group, tail in tails.items():
+        members = sorted(b for b in leader if find(b) == group)
+        sets = _independent_sets(members, clashes, MOST_COMBINATIONS)
+        if sets is None:
+            return pd.DataFrame(
+                {"stretch": [stretch], "members": [-1], "before": [0], "after": [0]}
+            )
+        group_mask = sum(1 << b for b in members)
+        tries += [(group_mask, kept, tail) for kept in sets]
+    states = np.array([certain | kept for _, kept, _ in tries], dtype=np.uint64)
+    ends = _walk(positions, own_masks, start, end, span, states)
+    return pd.DataFrame(
+        {
+            "stretch": stretch,
+            "members": [m for m, _, _ in tries],
+            "before": [kept for _, kept, _ in tries],
+            "after": [int(e) & tail for e, (_, _, tail) in zip(ends, tries)],
+        }
+    )
+
+
+def _chain(lines: pd.DataFrame, state: int, first: int, last: int, span: int) -> pd.DataFrame:
+    """Flags before each stretch from ``first`` to ``last``, by looking up each group's line.
+
+    Stops before a stretch that must be walked with its real flags (group -1)."""
+    full = (1 << span) - 1
+    by_stretch = {k: g for k, g in lines.groupby("stretch")}
+    out = []
+    for stretch in range(first, last + 1):
+        out.append((stretch, state))
+        here = by_stretch.get(stretch)
+        if here is None:
+            state = full
             continue
-        # A predecessor that is no row of this table is a row nothing precedes: it is kept.
-        before = {decided.get(p, "kept") for p in preds}
-        if "kept" in before:
-            decided[j] = "dropped"
-        elif state == "open" or "open" in before:
-            decided[j] = "open"
-        else:
-            decided[j] = "kept"
-    return pd.DataFrame({"j": list(decided), "verdict": list(decided.values())})
-
-
-def resolve(pairs: DataFrame) -> DataFrame:
+        if (here["members"] == -1).any():
+            break
+        after = 0
+        for members, before, share in zip(here["members"], here["before"], here["after"]):
+            if state & members == before:
+                after |= share
+        state = after
+    else:
+        out.append((last + 1, state))
+    return pd.DataFrame(out, columns=["stretch", "state"])
+
+
+def _dropped(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
+    """Rows of one stretch that are dropped, given the real flags before it (``state``)."""
+    start = int(rows["stretch"].iloc[0]) * stretch_rows
+    rows = rows[rows["j"] >= start].sort_values("j")
+    full, at, state, gone = (1 << span) - 1, start, None, []
+    for j, mask, before in zip(rows["j"].tolist(), rows["mask"].tolist(), rows["state"].tolist()):
+        state = before if state is None else state
+        gap = j - at
+        state = full if gap >= span else ((state << gap) | ((1 << gap) - 1)) & full
+        hit = bool(state & mask)
+        if hit:
+            gone.append(j)
+        state = ((state << 1) | (not hit)) & full
+        at = j + 1
+    return pd.DataFrame({"idx": gone}, dtype="int64")
+
+
+def _with(step, *values):
+    """``step`` with its settings fixed now, as a function of one group."""
+    return lambda rows: step(rows, *values)
+
+
+def resolve(
+    pairs: DataFrame, span: int = DEFAULTS.near_duplicate_span, stretch_rows: int = STRETCH
+) -> DataFrame:
     """Positions to drop: j is dropped if some kept i < j pairs with it.
 
-    Only rows with a predecessor need a verdict. Stretches of ``STRETCH`` positions are settled
-    in parallel; a row that depends on an undecided row of the stretch before stays open and is
-    settled in the next round, so the rounds equal the longest run of dependent stretches, not
-    the longest chain of duplicates. Each round's verdicts are written to the shared folder.
+    The pairs shrink to one bit mask per row. Stretches of ``stretch_rows`` positions are worked
+    out in parallel for every way the ``span`` rows before them may have turned out (for a run
+    of copies that is at most ``span`` + 1 ways), the results are chained through a table that is
+    thousands of times shorter than the rows, and a second parallel pass marks the dropped rows.
+    So a run of near-copies through the whole table does not serialise the work. A stretch with
+    too many combinations is walked once its real flags are known; the result is exact.
     """
-    edges = written(pairs.select("i", "j"), "near-pairs")
-    inner = edges.filter(F.floor(F.col("i") / STRETCH) == F.floor(F.col("j") / STRETCH))
-    outer = edges.filter(F.floor(F.col("i") / STRETCH) != F.floor(F.col("j") / STRETCH))
-    # A row has at most `span` predecessors, so these lists are short.
-    nodes = edges.select("j").distinct()
-    chains = nodes.join(
-        inner.groupBy("j").agg(F.collect_list("i").alias("preds")), "j", "left"
-    ).withColumn("preds", F.coalesce("preds", F.array().cast("array<bigint>")))
-    # Rows before the stretch that are no node themselves are kept.
-    verdicts = None
-    while True:
-        if verdicts is None:
-            before = outer.join(nodes.withColumnRenamed("j", "i"), "i", "left_semi").select(
-                "i", F.lit("open").alias("seen")
-            ).distinct()
-        else:
-            before = verdicts.select(F.col("j").alias("i"), F.col("verdict").alias("seen"))
-        crossing = (
-            outer.join(before, "i", "left")
-            .groupBy("j")
-            .agg(
-                F.max(F.coalesce(F.col("seen"), F.lit("kept")) == "kept").alias("hit"),
-                F.max(F.coalesce(F.col("seen"), F.lit("kept")) == "open").alias("wait"),
-            )
+    if span > 62:
+        raise ValueError("span must fit a 64-bit mask")
+    spark = pairs.sparkSession
+    bit = F.expr("shiftleft(1L, cast(j - i - 1 as int))")
+    home = F.floor(F.col("j") / stretch_rows)
+    near_end = F.col("j") >= (home + 1) * stretch_rows - span
+    masks = written(
+        pairs.groupBy("j").agg(F.bit_or(bit).alias("mask")).select(
+            "j", "mask",
+            F.explode(F.array_compact(F.array(home, F.when(near_end, home + 1)))).alias("stretch"),
+        ),
+        "near-masks",
+    )
+    lines = written(
+        masks.groupBy("stretch").applyInPandas(
+            _with(_outcomes, span, stretch_rows),
+            "stretch bigint, members bigint, before bigint, after bigint",
+        ),
+        "near-lines",
+    )
+    last = lines.agg(F.max("stretch")).first()[0]
+    at, state, chains = 0, (1 << span) - 1, []
+    while last is not None and at <= last:
+        until = min(at + CHAIN_STRETCHES - 1, last)
+        here = lines.filter(F.col("stretch").between(at, until))
+        chain = written(
+            here.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(
+                _with(_chain, state, at, until, span), "stretch bigint, state bigint"
+            ),
+            "near-chain",
         )
-        state = F.when(F.col("hit"), "dropped").when(F.col("wait"), "open").otherwise("free")
-        settled = (
-            chains.join(crossing, "j", "left")
-            .select(
-                "j", "preds",
-                F.coalesce(state, F.lit("free")).alias("state"),
-                F.floor(F.col("j") / STRETCH).alias("stretch"),
+        end = chain.orderBy(F.col("stretch").desc()).first()
+        if end is None:  # no line in this part: every row is kept
+            at, state = until + 1, (1 << span) - 1
+            continue
+        chains.append(chain.filter(F.col("stretch") <= until))
+        at, state = end["stretch"], end["state"]
+        if at <= until:
+            walked = masks.filter(F.col("stretch") == at).groupBy("stretch").applyInPandas(
+                _with(_passed_on, state, span, stretch_rows), "state bigint"
             )
-            .groupBy("stretch")
-            .applyInPandas(_settle, "j bigint, verdict string")
-        )
-        verdicts = written(settled, "near-verdicts")
-        if verdicts.filter(F.col("verdict") == "open").isEmpty():
-            return verdicts.filter(F.col("verdict") == "dropped").select(F.col("j").alias("idx"))
+            at, state = at + 1, walked.first()["state"]
+    if not chains:
+        return spark.createDataFrame([], "idx bigint")
+    known = reduce(lambda a, b: a.unionByName(b), chains)
+    return (
+        masks.join(known, "stretch")
+        .groupBy("stretch")
+        .applyInPandas(_with(_dropped, span, stretch_rows), "idx bigint")
+    )
+
+
+def _passed_on(rows: pd.DataFrame, state: int, span: int, stretch_rows: int) -> pd.DataFrame:
+    """Flags at the end of one stretch walked with its real starting flags."""
+    start = int(rows["stretch"].iloc[0]) * stretch_rows
+    rows = rows[rows["j"] >= start].sort_values("j")
+    ends = _walk(
+        rows["j"].tolist(), rows["mask"].tolist(), start, start + stretch_rows, span,
+        np.array([state], dtype=np.uint64),
+    )
+    return pd.DataFrame({"state": [int(ends[0])]})
 
 
 def near_duplicates(
@@ -153,7 +317,7 @@ def near_duplicates(
     if threshold >= 1.0:  # only exact copies
         return first
     indexed = numbered(first, order, "idx")
-    kept = indexed.join(resolve(near_pairs(indexed, text, threshold, span)), "idx", "left_anti")
+    kept = indexed.join(resolve(near_pairs(indexed, text, threshold, span), span), "idx", "left_anti")
     return kept if keep_index else kept.drop("idx")
 
 

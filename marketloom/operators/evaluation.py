@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.settings import DEFAULTS, Settings
+from marketloom.workspace import written
 
 UNIVERSAL = "_UNIVERSAL"
 CLASS_NAMES = {0: "Down", 1: "Up"}
@@ -292,7 +293,11 @@ SUMMARY_COLUMNS = (
 
 
 def summary_table(df: DataFrame, order: str = "date", settings: Settings = DEFAULTS) -> DataFrame:
-    """Six metrics, one row per ticker plus the universal row."""
+    """Six metrics, one row per ticker plus the universal row.
+
+    Both halves read the predictions, so these (one row per ticker and day) are written once.
+    """
+    df = written(df, "predictions")
     return evaluate(df, order=order, settings=settings).select(*SUMMARY_COLUMNS).unionByName(
         evaluate_universal(df, order, settings).select(*SUMMARY_COLUMNS)
     )

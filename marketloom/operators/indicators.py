@@ -34,8 +34,13 @@ def add_indicators(
     row = F.col("_row")
     along = series_window(keys, order)
     last_n = lambda n: along.rowsBetween(1 - n, 0)
-    df = with_blocks(bars, keys, order).withColumns(
-        {"_prev": F.lag("close").over(along), "_next": F.lead("close").over(along)}
+    by_order = Window.partitionBy(*keys).orderBy(order)
+    # Row number, previous and next close share one window; the blocks follow from the rows.
+    df = with_blocks(
+        bars.withColumns(
+            {"_prev": F.lag("close").over(by_order), "_next": F.lead("close").over(by_order)}
+        ),
+        keys, order,
     )
 
     change = F.col("close") - F.col("_prev")
@@ -84,11 +89,11 @@ def add_indicators(
     df = smooth(
         df,
         {
-            "_gain_mean": ("_gain", 1.0 / s.rsi_period),
-            "_loss_mean": ("_loss", 1.0 / s.rsi_period),
-            "_fast": ("close", decay(s.macd_fast)),
-            "_slow": ("close", decay(s.macd_slow)),
-            "atr": ("_range_seeded", 1.0 / s.atr_period),
+            "_gain_mean": ("_gain", 1.0 / s.rsi_period, 0),
+            "_loss_mean": ("_loss", 1.0 / s.rsi_period, 0),
+            "_fast": ("close", decay(s.macd_fast), 0),
+            "_slow": ("close", decay(s.macd_slow), 0),
+            "atr": ("_range_seeded", 1.0 / s.atr_period, s.atr_period - 1),
         },
         keys,
         order,
@@ -107,8 +112,9 @@ def add_indicators(
             "bb_lower": F.col("_sma") - F.col("_dev"),
         }
     )
-    df = smooth(df, {"_signal": ("macd", decay(s.macd_signal))}, keys, order)
-    first_signal = max(s.macd_slow, s.macd_fast) + s.macd_signal - 2
+    first_macd = max(s.macd_slow, s.macd_fast) - 1
+    df = smooth(df, {"_signal": ("macd", decay(s.macd_signal), first_macd)}, keys, order)
+    first_signal = first_macd + s.macd_signal - 1
     df = df.withColumn("macd_signal_line", F.when(row >= first_signal, F.col("_signal")))
     df = df.withColumns(
         {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.sentiment import SCORE_COLUMNS
 from marketloom.operators.ordering import exact_median, top_per_key
+from marketloom.workspace import written
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
@@ -68,6 +69,8 @@ def daily(
     counts = F.count(F.lit(1)).alias("article_count")
     if aggregation != "median":
         return dated.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in scores], counts)
+    # Written once and narrow: the numbering samples its input, and scoring texts is costly.
+    dated = written(dated.select(*keys, *scores), "scores")
     medians = exact_median(dated, keys, scores)
     return medians.join(dated.groupBy(*keys).agg(counts), keys)
 

@@ -45,15 +45,16 @@ def series_window(keys: Sequence[str], order: str) -> WindowSpec:
 
 
 def smooth(
-    df: DataFrame, outputs: Mapping[str, tuple[str, float]], keys: Sequence[str], order: str
+    df: DataFrame, outputs: Mapping[str, tuple[str, float, int]], keys: Sequence[str], order: str
 ) -> DataFrame:
     """Exponentially weighted means y0 = x0, yt = a*xt + (1-a)*y(t-1) for several columns.
 
-    ``outputs`` maps a new column to (input column, alpha). Leading nulls delay the start; the
-    first value seeds the mean. Needs ``with_blocks``. Each mean is a running weighted sum inside
-    a block plus the decayed end value of the block before it: window functions only.
+    ``outputs`` maps a new column to (input column, alpha, start): the input is null before row
+    ``start``, whose value seeds the mean. Needs ``with_blocks``. Each mean is a running weighted
+    sum inside a block plus the decayed end value of the block before it, so all means of one
+    call take two window operators and no sort beyond the (keys, block, order) one.
     """
-    for name, (_, alpha) in outputs.items():
+    for name, (_, alpha, _) in outputs.items():
         if not 1 / 14 <= alpha <= 0.5:
             raise ValueError(f"{name}: alpha {alpha} is outside [1/14, 1/2]")
     along = series_window(keys, order)
@@ -61,15 +62,10 @@ def smooth(
         Window.unboundedPreceding, 0
     )
     offset = F.col("_row") - F.col("_block") * BLOCK
-    firsts = {
-        f"_first_{name}": F.lag(source).over(along).isNull()
-        for name, (source, _) in outputs.items()
-    }
-    df = df.withColumns(firsts)
     local, carried, final = {}, {}, {}
-    for name, (source, alpha) in outputs.items():
+    for name, (source, alpha, start) in outputs.items():
         keep = 1.0 - alpha
-        weight = F.when(F.col(f"_first_{name}"), 1.0).otherwise(alpha)
+        weight = F.when(F.col("_row") == start, 1.0).otherwise(alpha)
         scaled = weight * F.col(source) * F.pow(F.lit(keep), -offset)
         local[f"_local_{name}"] = F.sum(scaled).over(in_block) * F.pow(F.lit(keep), offset)
         carried[f"_carry_{name}"] = F.last(
@@ -79,7 +75,7 @@ def smooth(
             F.col(f"_carry_{name}") * F.pow(F.lit(keep), offset + 1), F.lit(0.0)
         )
     df = df.withColumns(local).withColumns(carried).withColumns(final)
-    return df.drop(*firsts, *local, *carried)
+    return df.drop(*local, *carried)
 
 
 def in_chunks(

@@ -14,6 +14,7 @@ from marketloom.plans.price_queries import INDICATORS_SQL, indicators, rounded,
 from marketloom.plans.registry import query
 from marketloom.plans.sentiment_queries import SCORED_SQL, scored
 from marketloom.plans.tables import BARS_SQL, bars, table
+from marketloom.workspace import written
 
 ALL_FEATURES = (*INDICATOR_COLUMNS, *SCORE_COLUMNS)
 
@@ -114,7 +115,7 @@ def e17(spark, sf_dir):
 
     def build(rows, keys):
         blocks = with_blocks(rows, keys, "_position")
-        return smooth(blocks, {"smoothed": ("value", 1 / 14)}, keys, "_position").drop(
+        return smooth(blocks, {"smoothed": ("value", 1 / 14, 0)}, keys, "_position").drop(
             "_row", "_block"
         )
 
@@ -214,8 +215,11 @@ def e20(spark, sf_dir):
 
 
 def scaled_features(spark, sf_dir):
-    """Split features, scaled with parameters of the training rows."""
-    labelled = sp.split_per_ticker(features(spark, sf_dir))
+    """Split features, scaled with parameters of the training rows.
+
+    The feature matrix is read twice (fit, transform), so it is written once.
+    """
+    labelled = written(sp.split_per_ticker(features(spark, sf_dir)), "features")
     return ft.apply_scaler(labelled, ft.fit_scaler(labelled.filter(F.col("split") == "train")))
 
 

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from marketloom.operators import evaluation as ev
 from marketloom.operators import reporting as rp
 from marketloom.operators.features import apply_scaler, fit_scaler
+from marketloom.operators.splits import split_per_ticker
 from marketloom.plans.evaluation_queries import SUMMARY_SQL, predictions
-from marketloom.plans.feature_queries import SCALER_SQL, features, scaled_features
+from marketloom.plans.feature_queries import SCALER_SQL, features
 from marketloom.plans.price_queries import INDICATORS_SQL, indicators, rounded, rounded_sql
 from marketloom.plans.registry import query
 from marketloom.plans.sentiment_queries import SCORED_SQL, scored
 from marketloom.plans.tables import (
     ARTICLES_SQL, BARS_SQL, FEED_SQL, articles, bars, feed_entries, table,
 )
-from marketloom.plans.text_queries import html_text_sql, stories
+from marketloom.plans.text_queries import html_text_sql
 from marketloom.settings import POPULAR_TICKERS
 from marketloom.sources import bars as bar_source
-from marketloom.sources import feeds, headlines, tables as sinks
-from marketloom.workspace import new_path
+from marketloom.sources import feeds, tables as sinks
+from marketloom.workspace import new_path, written
 
 _OHLCV = "open, high, low, close, volume"
 
@@ -240,10 +241,8 @@ def a20(spark, sf_dir):
 )
 def a21(spark, sf_dir):
     """Scaler parameters stored after the fit, loaded again to transform."""
-    from marketloom.operators.splits import split_per_ticker
-
     path = new_path(spark, "scaler")
-    labelled = split_per_ticker(features(spark, sf_dir))
+    labelled = written(split_per_ticker(features(spark, sf_dir)), "features")
     sinks.write_table(fit_scaler(labelled.filter(F.col("split") == "train")), path)
     return apply_scaler(labelled, sinks.read_scaler(spark, path)).select(
         "ticker", "date", *rounded("rsi")
