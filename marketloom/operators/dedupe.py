@@ -45,8 +45,11 @@ def near_pairs(
     equi-join on the bucket that meets every pair exactly once, never a cross join. The word
     counts of a pair bound its Jaccard, which drops most pairs before the set comparison.
     """
-    words = indexed.select("idx", word_set(F.col(text)).alias("words")).withColumn(
-        "n", F.size("words")
+    # Written once: both sides of the join read the word sets.
+    words = written(
+        indexed.select("idx", word_set(F.col(text)).alias("words"))
+        .withColumn("n", F.size("words")),
+        "words",
     ).filter(F.col("n") > 0)
     bucket = F.floor(F.col("idx") / span)
     left = words.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.text import SPACES_PATTERN, normalized
 from marketloom.settings import DEFAULTS
+from marketloom.workspace import written
 
 
 def slots(text: Column, dim: int = DEFAULTS.embedding_dim) -> Column:
@@ -24,16 +25,26 @@ def slots(text: Column, dim: int = DEFAULTS.embedding_dim) -> Column:
     )
 
 
-def slot_weights(texts: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim) -> list[float]:
+def with_slots(
+    df: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim, name: str = "slots"
+) -> DataFrame:
+    """Replace the text by its slots, written once: hashing every word is the costly part, and
+    both the weights and the vectors read the result."""
+    return written(df.withColumn(name, slots(F.col(text), dim)).drop(text), "slots")
+
+
+def slot_weights(
+    slotted: DataFrame, dim: int = DEFAULTS.embedding_dim, name: str = "slots"
+) -> list[float]:
     """Smoothed inverse document frequency per slot: ln((n + 1) / (df + 1)).
 
     One scan: each text contributes its distinct slots and one extra count row, pre-aggregated
     to at most ``dim`` + 1 rows, which is all the driver sees.
     """
-    marks = F.concat(F.array_distinct(slots(F.col(text), dim)), F.array(F.lit(-1)))
+    marks = F.concat(F.array_distinct(name), F.array(F.lit(-1)))
     counts = {
         r["slot"]: r["n"]
-        for r in texts.select(F.explode(marks).alias("slot")).groupBy("slot")
+        for r in slotted.select(F.explode(marks).alias("slot")).groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n")).collect()
     }
     n = counts.get(-1, 0)
@@ -41,9 +52,9 @@ def slot_weights(texts: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim)
 
 
 def embed(
-    df: DataFrame, text: str, weights: list[float], name: str = "embedding"
+    slotted: DataFrame, weights: list[float], slots_name: str = "slots", name: str = "embedding"
 ) -> DataFrame:
-    """Add a fixed-width vector of weighted word counts. Map-only: nothing is shuffled."""
+    """Replace the slots by a fixed-width vector of weighted word counts. Map-only."""
     dim = len(weights)
     scale = np.asarray(weights)
 
@@ -58,4 +69,4 @@ def embed(
                 ]
             )
 
-    return df.withColumn(name, vector(slots(F.col(text), dim)))
+    return slotted.withColumn(name, vector(slots_name)).drop(slots_name)

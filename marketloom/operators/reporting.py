@@ -11,6 +11,7 @@ from marketloom.operators.evaluation import UNIVERSAL
 from marketloom.operators.indicators import add_indicators
 from marketloom.operators.ordering import position_in_key
 from marketloom.settings import DEFAULTS, POPULAR_TICKERS, Settings
+from marketloom.workspace import written
 
 # Currency codes and the symbols shown for them.
 CURRENCY_SYMBOLS = {
@@ -53,7 +54,11 @@ def sentiment_alerts(
 
 
 def article_series(scored: DataFrame, tie_break: Sequence[str]) -> DataFrame:
-    """1-based position of every article within its ticker, newest first, any ticker size."""
+    """1-based position of every article within its ticker, newest first, any ticker size.
+
+    The articles are written once first: numbering samples its input, and scores are costly.
+    """
+    scored = written(scored, "articles")
     order = [F.col("date").desc_nulls_last(), *[F.col(c) for c in tie_break]]
     return position_in_key(scored, ["ticker"], order, "_position").withColumn(
         "position", F.col("_position") + 1

@@ -9,10 +9,9 @@ from marketloom.operators import similarity as sm
 from marketloom.operators.ordering import top_per_key
 from marketloom.plans.price_queries import rounded
 from marketloom.plans.registry import query
-from marketloom.plans.sentiment_queries import PROSE, SCORED_SQL, scored
+from marketloom.plans.sentiment_queries import SCORED_SQL, scored
 from marketloom.plans.tables import table
 from marketloom.plans.text_queries import strip_sql, _lit
-from marketloom.functions.sentiment import with_sentiment
 from marketloom.functions.text import SPACES_PATTERN
 from marketloom.settings import DEFAULTS
 
@@ -178,8 +177,8 @@ doc_units AS MATERIALIZED (SELECT id, slot, x / nullif(norm, 0) AS x FROM doc_ve
     "AS slots, round(sum(x), 3) AS total, round(max(x), 3) AS largest FROM doc_vectors GROUP BY id",
 )
 def c3(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = em.embed(docs, "text", em.slot_weights(docs, "text"))
+    docs = em.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    vectors = em.embed(docs, em.slot_weights(docs))
     v = F.transform("embedding", lambda x: x.cast("double"))
     return vectors.select("doc_id", v.alias("v")).select(
         "doc_id",
@@ -204,12 +203,11 @@ text_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY quer
 
 def text_search(spark, sf_dir, queries, k=DEFAULTS.top_k_similar):
     """Search all documents for each query text (query_id, text)."""
-    docs = with_sentiment(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), "text", PROSE
-    ).select("doc_id", "text", "label", "sentiment_score")
-    weights = em.slot_weights(docs, "text")
-    index = sm.build(em.embed(docs, "text", weights).drop("text"), vec_id="doc_id")
-    return sm.search(index, em.embed(queries, "text", weights), k)
+    docs = em.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    weights = em.slot_weights(docs)
+    index = sm.build(em.embed(docs, weights), vec_id="doc_id")
+    asked = em.with_slots(queries.select("query_id", "text"), "text")
+    return sm.search(index, em.embed(asked, weights), k)
 
 
 @query(
@@ -246,7 +244,8 @@ def d9(spark, sf_dir):
         ["ticker"], order, 5, ["doc_id"], rank="position",
     ).select(F.col("doc_id").alias("query_id"), "ticker", "position", F.col("headline").alias("text"))
     hits = text_search(spark, sf_dir, latest)
-    return hits.join(latest.drop("text"), "query_id").select(
+    labels = scored(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "label")
+    return hits.join(latest.drop("text"), "query_id").join(labels, "vec_id").select(
         "ticker", "position", "query_id", "rank", "vec_id", "label",
         *rounded("similarity_score", digits=6),
     )
