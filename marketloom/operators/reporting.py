@@ -144,9 +144,10 @@ def resolve_symbols(inputs: DataFrame, symbols: DataFrame) -> DataFrame:
     edit, else the text in upper case.
 
     Names and inputs meet on shared one-character deletions, an equi-join that finds every pair
-    within one edit and never compares all inputs with all names. Ties go to the lower symbol.
+    within one edit and never compares all inputs with all names. Repeated inputs are looked up
+    once. Ties go to the lower symbol.
     """
-    text = inputs.withColumn("_text", F.lower(F.trim("input"))).withColumn(
+    text = inputs.select("input").distinct().withColumn("_text", F.lower(F.trim("input"))).withColumn(
         "_near", F.explode(_near_keys(F.col("_text")))
     )
     names = symbols.select(

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.sources.bars import daily_bars
+from marketloom.workspace import spread
 
 BRANDS = 25
 FIRST_DAY = "1995-01-02"
 DAYS = 2499
 
 
+# Tables whose rows are costly to work on, with the key that spreads them evenly.
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one provided table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one provided table; costly ones that come in too few splits are spread."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, SPREAD_BY[name]) if name in SPREAD_BY else rows
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,13 +77,13 @@ def missing_columns(df: DataFrame) -> list[str]:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Store bars partitioned by ticker, one file per ticker and task range of days.
+    """Store bars partitioned by ticker, sorted by date.
 
-    Rows are clustered by (ticker, year) before writing so that a scan of one ticker prunes to
-    its own folder and files stay few.
+    A ticker has at most one bar per calendar day, so its folder is written by one task as one
+    file, and a scan of one ticker prunes to that file.
     """
     (
-        bars.repartition("ticker", F.year("date"))
+        bars.repartition("ticker")
         .sortWithinPartitions("ticker", "date")
         .write.mode("overwrite").partitionBy("ticker").parquet(path)
     )

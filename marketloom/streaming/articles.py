@@ -18,6 +18,7 @@ from marketloom.settings import DEFAULTS, Settings
 from marketloom.workspace import new_path
 
 DELAY = "10 minutes"
+SLICES = 32
 
 
 def landed(
@@ -41,11 +42,18 @@ def cleaned(articles: DataFrame, text: str = "headline") -> DataFrame:
 def deduplicated(
     articles: DataFrame, text: str = "headline", time: str = "date", delay: str = DELAY
 ) -> DataFrame:
-    """One article per normalised headline within the watermark."""
+    """One article per normalised headline within the watermark.
+
+    A headline may make up a large share of the stream, so its copies first meet in one of
+    ``SLICES`` slices of it and only one copy per slice goes on to the headline's own task.
+    """
     return (
         articles.withColumn("hash", headline_hash(F.col(text)))
+        .withColumn("_slice", F.pmod(F.xxhash64(*articles.columns), F.lit(SLICES)))
         .withWatermark(time, delay)
+        .dropDuplicatesWithinWatermark(["hash", "_slice"])
         .dropDuplicatesWithinWatermark(["hash"])
+        .drop("_slice")
     )
 
 
@@ -67,14 +75,27 @@ def daily_sentiment(scored: DataFrame, time: str = "date", delay: str = DELAY) -
 def rolling_alerts(
     scored: DataFrame, time: str = "date", delay: str = DELAY, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Alert per ticker over the last day, re-evaluated every 15 minutes."""
-    return (
+    """Alert per ticker over the last day, re-evaluated every 15 minutes.
+
+    Articles are first summed per quarter hour; only those sums enter the 96 windows they belong
+    to, so the overlap multiplies the sums and not the articles.
+    """
+    quarters = (
         scored.withWatermark(time, delay)
-        .groupBy("ticker", F.window(time, "1 day", "15 minutes"))
+        .groupBy("ticker", F.window(time, "15 minutes"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("sentiment_score").alias("score"),
+            F.count_if(F.col("label") == "negative").alias("bad"),
+        )
+        .select("ticker", F.window_time("window").alias("quarter"), "n", "score", "bad")
+    )
+    return (
+        quarters.groupBy("ticker", F.window("quarter", "1 day", "15 minutes"))
         .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.avg("sentiment_score").alias("average"),
-            F.count_if(F.col("label") == "negative").alias("negative"),
+            F.sum("n").alias("total"),
+            (F.sum("score") / F.sum("n")).alias("average"),
+            F.sum("bad").alias("negative"),
         )
         .select(
             "ticker",

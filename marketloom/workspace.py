@@ -39,3 +39,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cores when their files split into fewer tasks than there are cores.
+
+    A file with one row group is one task however costly its rows are. Tables with enough splits
+    are left as they are, so large scans are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df
