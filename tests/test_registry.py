@@ -38,3 +38,12 @@ def test_query_equals_its_sql(spark, name):
         entry_module.oracle_sql()[name],
     )
     assert good or note.startswith("ok"), note
+
+
+def test_task_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    from marketloom.operators import dedupe
+
+    assert b"marketloom.operators.dedupe" not in cloudpickle.dumps(dedupe._advance)[:60]
+    assert "marketloom" in cloudpickle.list_registry_pickle_by_value()
