@@ -22,3 +22,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marketloom.llm.packing import pack
+
+    return pack(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
