@@ -33,3 +33,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@_query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.repeats import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"))
