@@ -40,3 +40,19 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.repeats import repeat_report
 
     return repeat_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.vector_links import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from marketloom.llm.forest import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
