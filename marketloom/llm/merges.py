@@ -49,12 +49,18 @@ class Pairs:
             keys, at, slot = keys[rest], at[rest], slot[rest]
             slot = np.where(self.keys[slot] == -1, slot, slot + 1)
 
+    def share(self, ranks: np.ndarray) -> None:
+        """Give pairs a common rank: ``ranks[i]``, a pair with the same result, instead of ``i``."""
+        self.shared = np.append(ranks.astype(np.int32), NEVER)
+        for table in (self.square, self.ranks):
+            table[:] = self.shared[np.minimum(table, len(ranks))]
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
 
     def look_first(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of non-negative symbols, most of them among the first ones."""
-        inner = (left < self.first) & (right < self.first)
+        """The same as ``look`` for pairs that are mostly among the first symbols."""
+        inner = (left < self.first) & (right < self.first) & (left >= 0) & (right >= 0)
         if inner.all():
             return self.square[left * self.first + right]
         rank = np.empty(len(left), np.int32)
@@ -83,6 +89,8 @@ Skip = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 def merge_all(symbols: np.ndarray, pairs: Pairs, skip: Skip | None = None) -> np.ndarray:
     """Merge every row of ``symbols`` (padded with -1) to the end; returns the padded result.
 
+    Symbols below -1 stand for something that never merges.
+
     ``skip(row, start, middle, end)`` tells which candidates are dropped for good; the last three are
     positions in the word as it came.
     """
@@ -103,7 +111,7 @@ def merge_all(symbols: np.ndarray, pairs: Pairs, skip: Skip | None = None) -> np
         return rank
 
     rank = np.full((n, width), NEVER, np.int32)
-    which, at = np.nonzero(symbols[:, 1:] >= 0)
+    which, at = np.nonzero(symbols[:, 1:] != -1)
     rank[which, at] = candidates(which, at, pairs.look_first)
     while len(rows):
         best = rank.argmin(axis=1)
@@ -125,7 +133,8 @@ def merge_all(symbols: np.ndarray, pairs: Pairs, skip: Skip | None = None) -> np
         rank[:, :-1] = np.where(behind[:, :-1], rank[:, 1:], rank[:, :-1])
         rank[:, -1] = NEVER
         if skip is not None:
-            starts[:, 1:-1] = np.where(behind, starts[:, 2:], starts[:, 1:-1])
+            kept = columns < best[:, None]
+            starts[:, 1:-1] = np.where(kept, starts[:, 1:-1], starts[:, 2:])
         inner = np.flatnonzero(best)
         for which, at in ((every, best), (inner, best[inner] - 1)):
             rank[which, at] = candidates(which, at)

@@ -56,3 +56,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.forest import search
 
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op9_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marketloom.llm.bpe_dropout import encoded
+
+    return encoded(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+        with_ids=False,
+    )
