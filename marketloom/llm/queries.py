@@ -68,3 +68,11 @@ def op9_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
         with_ids=False,
     )
+
+
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.language import identify
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
