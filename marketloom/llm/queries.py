@@ -76,3 +76,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
