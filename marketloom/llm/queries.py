@@ -83,3 +83,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.secrets import secret_report
 
     return secret_report(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.warc import archived
+
+    return archived(_table(spark, sf_dir, "pages"))
