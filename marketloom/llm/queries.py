@@ -90,3 +90,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.warc import archived
 
     return archived(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.content import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
