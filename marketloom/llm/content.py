@@ -36,9 +36,8 @@ CONTENT_TAGS = frozenset(["article", "main"])
 BOILERPLATE_TAGS = frozenset(
     "nav footer aside form menu fieldset dialog search select button".split()
 )
-CONTENT_WORDS = frozenset(
-    "article post entry story content main body text articlebody blogpost".split()
-)
+ARTICLE_WORDS = frozenset("article post entry story articlebody blogpost".split())
+CONTENT_WORDS = ARTICLE_WORDS | frozenset("content main body text".split())
 READER_WORDS = frozenset(
     "comment comments reply replies disqus respond discussion commentlist commenter".split()
 )
@@ -80,7 +79,7 @@ def stated(element: Element | None) -> int:
 
 def _within_article(element: Element) -> bool:
     while element is not None:
-        if element.tag in CONTENT_TAGS:
+        if element.tag in CONTENT_TAGS or element.words & ARTICLE_WORDS:
             return True
         element = element.parent
     return False

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.anchors import (
     ANCHOR, REACH, WINDOW, contexts, find_anchors, gathered_hash, words_at,
 )
+from marketloom.llm.names import fresh
 from marketloom.llm.suffixes import maximal_repeats
 from marketloom.workspace import written
 
@@ -114,6 +115,12 @@ def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _repeats_first(new: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Which sorted rows equal the first row of their run in all columns: rows that came twice."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return np.logical_and.reduce([c == c[first] for c in columns])
+
+
 def _occurrences(frequent: np.ndarray) -> Callable[[Batches], Batches]:
     """Step 1: anchors of each chunk, the earliest per context; ranges of the others."""
     def task(batches: Batches) -> Batches:
@@ -129,7 +136,9 @@ def _occurrences(frequent: np.ndarray) -> Callable[[Batches], Batches]:
                 base = starts[text]
                 order = np.lexsort((at - base, mark[text], doc[text], context, anchor))
                 new = _first_of_runs(anchor[order], context[order])
-                gone, kept = order[~new], order[new]
+                at_home = at - base
+                twice = _repeats_first(new, doc[text[order]], mark[text[order]], at_home[order])
+                gone, kept = order[~twice], order[new]
                 d, m, a, b = _united(
                     doc[text[gone]], mark[text[gone]], low[gone] - base[gone],
                     high[gone] - base[gone],
@@ -174,7 +183,7 @@ def _settled(batches: Batches) -> Batches:
         c = {n: table.column(n).to_numpy() for n in table.column_names}
         done = c["kind"] == _REMOVED
         new = _first_of_runs(c["route"], c["anchor"], c["context"], c["kind"])
-        gone = ~new & ~done | done
+        gone = ~_repeats_first(new, c["doc"], c["mark"], c["at"]) | done
         d, m, a, b = _united(*(c[n][gone] for n in ("doc", "mark", "low", "high")))
         if len(d):
             yield _batch(_KINDS, doc=d, mark=m, low=a, high=b, kind=_REMOVED)
@@ -335,17 +344,18 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return removed.unionByName(repeated).unionByName(later)
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with the ranges to remove (``_ranges``, null if none)."""
+def _with_ranges(docs: DataFrame, name: str) -> DataFrame:
+    """Every row of ``docs`` with the ranges to remove as column ``name`` (null if none)."""
+    doc, mark = fresh(docs, "_doc"), fresh(docs, "_mark")
     ranges = repeated_ranges(docs).groupBy("doc", "mark").agg(
-        F.collect_list(F.struct("low", "high")).alias("_ranges")
+        F.collect_list(F.struct("low", "high")).alias(name)
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(
-        "*", F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"), F.hash(text).alias("_mark")
+        "*", F.coalesce("doc_id", F.lit(_NO_ID)).alias(doc), F.hash(text).alias(mark)
     )
-    named = ranges.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "_ranges")
-    return keyed.join(named, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    named = ranges.select(F.col("doc").alias(doc), F.col("mark").alias(mark), name)
+    return keyed.join(named, [doc, mark], "left").drop(doc, mark)
 
 
 def removed_runs(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -394,7 +404,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema
             )
 
-    rows = _with_ranges(docs.select("doc_id", "text")).select(
+    rows = _with_ranges(docs.select("doc_id", "text"), "_ranges").select(
         "doc_id", F.col("text").cast("string").cast("binary"), "_ranges"
     )
     return rows.mapInArrow(
@@ -408,7 +418,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character whose bytes are only partly removed goes with them. ``n_chars``, where there is such
     a column, is set to the new length in code points.
     """
-    columns = docs.columns
+    columns, ranges_in = docs.columns, fresh(docs, "_ranges")
 
     def task(batches: Batches) -> Batches:
         for batch in batches:
@@ -416,16 +426,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 None if body is None else
                 kept_bytes(body, removed_runs(ranges)).decode("utf-8", "ignore")
                 for body, ranges in zip(
-                    batch.column("text").to_pylist(), batch.column("_ranges").to_pylist()
+                    batch.column("text").to_pylist(), batch.column(ranges_in).to_pylist()
                 )
             ]
             at = batch.schema.names.index("text")
             cut = batch.set_column(at, "text", pa.array(texts, pa.string()))
-            yield cut.drop_columns(["_ranges"])
+            yield cut.drop_columns([ranges_in])
 
-    rows = _with_ranges(docs).withColumn("text", F.col("text").cast("string").cast("binary"))
+    rows = _with_ranges(docs, ranges_in).withColumn("text", F.col("text").cast("string").cast("binary"))
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    cut = rows.select(*columns, "_ranges").mapInArrow(task, schema)
+    cut = rows.select(*columns, ranges_in).mapInArrow(task, schema)
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*columns)

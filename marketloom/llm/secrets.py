@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm.names import fresh
 from marketloom.workspace import written
 
 KINDS = ("assign", "access", "hex", "random")
@@ -259,11 +260,12 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     Null and clean texts stay as they are; ``n_chars``, where there is such a column, is set to the new
     length of changed texts. Repeated rows are treated each on its own.
     """
+    row, changed, listed = (fresh(docs, n) for n in ("_row", "_changed", "_spans"))
     rows = docs.select(
-        "*", F.monotonically_increasing_id().alias("_row")
+        "*", F.monotonically_increasing_id().alias(row)
     ).withColumn("text", F.col("text").cast("string"))
     stored = written(rows, "texts")
-    found = _spans_of_stored(stored)
+    found = _spans_of_stored(stored, row, listed)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     size = F.char_length("text").cast("bigint")
 
@@ -281,23 +283,23 @@ def without_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         ))
 
     masked = F.aggregate(
-        "spans", start, step,
+        listed, start, step,
         lambda s: F.concat(s["out"], F.substring(
             F.col("text"), (s["at"] + 1).cast("int"), (size - s["at"]).cast("int")
         )),
     )
-    out = stored.join(found, "_row", "left").withColumn(
-        "_changed", F.coalesce(F.size("spans") > 0, F.lit(False)) & F.col("text").isNotNull()
-    ).withColumn("text", F.when(F.col("_changed"), masked).otherwise(F.col("text")))
+    out = stored.join(found, row, "left").withColumn(
+        changed, F.coalesce(F.size(listed) > 0, F.lit(False)) & F.col("text").isNotNull()
+    ).withColumn("text", F.when(F.col(changed), masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(
-            F.col("_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)
+            F.col(changed), F.char_length("text").cast(docs.schema["n_chars"].dataType)
         ).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def _spans_of_stored(stored: DataFrame) -> DataFrame:
-    """``_row, spans`` of the rows of a written table that have any."""
-    return spans(stored.select(F.col("_row").alias("doc_id"), "text")).filter(
+def _spans_of_stored(stored: DataFrame, row: str, listed: str) -> DataFrame:
+    """Row number and spans of the rows of a written table that have any."""
+    return spans(stored.select(F.col(row).alias("doc_id"), "text")).filter(
         F.size("spans") > 0
-    ).select(F.col("doc_id").alias("_row"), "spans")
+    ).select(F.col("doc_id").alias(row), F.col("spans").alias(listed))
