@@ -2,6 +2,8 @@
 
 ``roots`` contracts the links one task has found; ``labelled`` joins such contractions from all
 tasks with alternating star steps. Neither ever holds the links of the whole corpus in one place.
+The least neighbours are written before they are joined, so both sides of that join are plain
+shuffles and adaptive execution can split a node that half the corpus hangs on.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def roots(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
 
 def _smaller_neighbours_to_least(links: DataFrame) -> DataFrame:
     """Small star: a node and its smaller neighbours all point to the least of them."""
-    least = links.groupBy("node").agg(F.min("other").alias("least"))
+    least = written(links.groupBy("node").agg(F.min("other").alias("least")), "least")
     moved = links.join(least, "node").select(
         F.col("other").alias("node"), F.col("least").alias("other")
     )
@@ -49,8 +51,10 @@ def _larger_neighbours_to_least(links: DataFrame) -> DataFrame:
     both = links.unionByName(
         links.select(F.col("other").alias("node"), F.col("node").alias("other"))
     )
-    least = both.groupBy("node").agg(F.min("other").alias("least")).select(
-        "node", F.least("node", "least").alias("least")
+    least = written(
+        both.groupBy("node").agg(F.min("other").alias("least"))
+        .select("node", F.least("node", "least").alias("least")),
+        "least",
     )
     return (
         both.filter("other > node").join(least, "node")
