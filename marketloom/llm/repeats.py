@@ -296,7 +296,12 @@ def _windows(batches: Batches) -> Batches:
 def _later_windows(cut: DataFrame) -> DataFrame:
     windows = written(cut.mapInArrow(_windows, _WINDOWS), "windows")
     start = F.struct("doc", "mark", "low")
-    first = windows.groupBy("one", "two").agg(F.min(start).alias("first"))
+    # written, so that the join is of two plain shuffles and a common window's rows can be split
+    first = written(
+        windows.groupBy("one", "two").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").drop("n"),
+        "first_windows",
+    )
     return windows.join(first, ["one", "two"]).filter(start > F.col("first")).select(
         "doc", "mark", "low", (F.col("low") + WINDOW).alias("high")
     )
