@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,11 +24,10 @@ SPECIAL_PATTERN = rf"""[^\p{{L}}\p{{N}}_{SPACE_CLASS}.,!?;:'"-]"""
 SPACES_PATTERN = rf"[{SPACE_CLASS}]+"
 EDGES_PATTERN = rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
 
-# Named entities of feed titles and their characters; the ampersand comes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&amp;", "&"),
-)
+# A character reference: a number in either notation, or a name; old names need no semicolon.
+REFERENCE_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+# Numbers 128 to 159 stand for what Windows put there, the rest of that row for nothing.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
 
 
 def strip(text: Column) -> Column:
@@ -90,14 +89,65 @@ def set_jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def html_to_text(markup: Column) -> Column:
-    """Tags removed, then the common entities turned into their characters."""
-    return reduce(
-        lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])),
-        ENTITIES,
-        F.regexp_replace(markup, TAG_PATTERN, ""),
+def _numbered_character(number: Column) -> Column:
+    """The character of a code point; the replacement character where there can be none."""
+    windows = F.create_map(*[F.lit(v) for pair in _WINDOWS.items() for v in pair])
+    code = F.lpad(F.hex(number), 8, "0")
+    none = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    silent = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127)
+    return (
+        F.when(none, "\ufffd").when(silent, "")
+        .when(number.between(128, 159), F.try_element_at(windows, number.cast("int")))
+        .otherwise(F.decode(F.unhex(code), "UTF-32"))
+    )
+
+
+def unescape(text: Column) -> Column:
+    """Every character reference turned into its character, in one pass.
+
+    The names are the public table of the standard library; a name without semicolon counts up to its
+    longest old form, and what is no reference stays as it is.
+    """
+    by_letter: dict[str, list] = {}
+    for name, shown in sorted(html5.items()):
+        by_letter.setdefault(name[0], []).extend([F.lit(name), F.lit(shown)])
+    names = F.create_map(*[c for k, v in by_letter.items() for c in (F.lit(k), F.create_map(*v))])
+    stretches = F.arrays_zip(
+        F.split(text, REFERENCE_PATTERN, -1).alias("before"),
+        F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0)).alias("reference"),
     )
 
+    def character(reference: Column) -> Column:
+        digits = F.regexp_replace(reference, "[&#xX;]", "")
+        decimal = digits.try_cast("decimal(20,0)").try_cast("bigint")
+        hexadecimal = F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("bigint"))
+        number = F.when(reference.rlike("^&#[xX]"), hexadecimal).otherwise(decimal)
+        name = F.substring(reference, F.lit(2), F.length(reference))
+        own = F.try_element_at(names, F.substring(name, F.lit(1), F.lit(1)))
+        whole = F.try_element_at(own, name).isNotNull()
+        ends = F.when(whole, F.array(F.length(name))).otherwise(
+            F.sequence(F.length(name), F.lit(1), F.lit(-1))
+        )
+        known = F.filter(ends, lambda n: F.try_element_at(own, F.substring(name, F.lit(1), n)).isNotNull())
+        end = F.get(known, F.lit(0))
+        named = F.concat(
+            F.try_element_at(own, F.substring(name, F.lit(1), end)),
+            F.substring(name, end + 1, F.length(name)),
+        )
+        return F.when(reference.startswith("&#"), _numbered_character(number)).otherwise(
+            F.coalesce(named, reference)
+        )
+
+    joined = F.array_join(F.transform(stretches, lambda s: F.concat(
+        s["before"], F.when(s["reference"].isNull(), "").otherwise(character(s["reference"]))
+    )), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
+
+
+def html_to_text(markup: Column) -> Column:
+    """Tags removed, then every character reference turned into its character."""
+    return unescape(F.regexp_replace(markup, TAG_PATTERN, ""))
+
 
 def preview(text: Column, length: int = 80) -> Column:
     """The first characters of a headline, for hover labels."""

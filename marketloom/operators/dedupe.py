@@ -28,9 +28,15 @@ def exact(df: DataFrame, text: str, order: Sequence[Column]) -> DataFrame:
     return keep_first(df, [text], order)
 
 
-def by_hash(df: DataFrame, text: str, source_priority: Column, order: Sequence[Column]) -> DataFrame:
-    """Keep one row per normalised headline across sources and tickers; earlier sources win."""
-    return keep_first(df, [headline_hash(F.col(text))], [source_priority, *order])
+def by_hash(
+    df: DataFrame, text: str, source_priority: Column, order: Sequence[Column],
+    name: str | None = None,
+) -> DataFrame:
+    """Keep one row per normalised headline across sources and tickers; earlier sources win.
+
+    ``source_priority`` ranks sources (``feeds.source_priority`` for feed labels); ``name`` adds the hash.
+    """
+    return keep_first(df, [headline_hash(F.col(text))], [source_priority, *order], [name])
 
 
 def near_pairs(

@@ -14,6 +14,10 @@ from marketloom.settings import DEFAULTS
 from marketloom.workspace import written
 
 
+# Texts counted at once; bounds the block of word counts.
+_COUNTED_ROWS = 1024
+
+
 def slots(text: Column, dim: int = DEFAULTS.embedding_dim) -> Column:
     """Vector slot of every word of a text: the first 32 bits of its MD5 modulo ``dim``."""
     words = F.array_remove(F.split(normalized(text), SPACES_PATTERN), "")
@@ -61,12 +65,14 @@ def embed(
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(
-                [
-                    (np.bincount(np.asarray(s, dtype=np.int64), minlength=dim) * scale)
-                    .astype(np.float32)
-                    for s in batch
-                ]
-            )
+            rows = []
+            for at in range(0, len(batch), _COUNTED_ROWS):
+                part = batch.iloc[at:at + _COUNTED_ROWS]
+                lengths = part.map(len).to_numpy()
+                slots = np.concatenate(part.to_numpy()).astype(np.int64) if lengths.sum() else lengths[:0]
+                cells = np.repeat(np.arange(len(part)) * dim, lengths) + slots
+                counts = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim)
+                rows += list((counts * scale).astype(np.float32))
+            yield pd.Series(rows)
 
     return slotted.withColumn(name, vector(slots_name)).drop(slots_name)

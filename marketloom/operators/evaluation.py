@@ -249,8 +249,15 @@ def evaluate_universal(
 
     The ledger is reduced to one row per calendar day (mean returns and costs, cell counts,
     growth factors), so the windows over the pooled book never see more than the calendar.
-    ``chained_*`` compounds every ticker's every day end to end, as an order-free product.
+    ``chained_*`` compounds every ticker's every day end to end, as an order-free product; its
+    ``_log`` twin sums logarithms of absolute growth and cannot overflow. ``mse`` and ``mae`` pool the
+    errors of predicted returns over all rows (null without such a column).
     """
+    gap = (
+        F.col("actual_return") - F.col("predicted_return") if "predicted_return" in df.columns
+        else F.lit(None).cast("double")
+    )
+    log_growth = lambda name: F.sum(F.ln(F.abs(1 + F.col(name))))
     counts = _counts("actual", "predicted")
     book = ledger(df, order=order, settings=settings).groupBy(order).agg(
         F.avg("strategy_return").alias("strategy_return"),
@@ -258,6 +265,10 @@ def evaluate_universal(
         F.avg("cost").alias("cost"),
         F.product(1 + F.col("strategy_return")).alias("_strategy_factor"),
         F.product(1 + F.col("buyhold_return")).alias("_buyhold_factor"),
+        log_growth("strategy_return").alias("_strategy_log"),
+        log_growth("buyhold_return").alias("_buyhold_log"),
+        F.sum(gap * gap).alias("_squares"), F.sum(F.abs(gap)).alias("_gaps"),
+        F.count(gap).alias("_compared"),
         *[c.alias(n) for n, c in counts.items()],
     ).withColumn("ticker", F.lit(UNIVERSAL))
     so_far = Window.partitionBy("ticker").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -280,6 +291,10 @@ def evaluate_universal(
                 F.count_if(F.col("cost") > 0).alias("n_trades"),
                 (F.product("_strategy_factor") - 1).alias("chained_strategy_return"),
                 (F.product("_buyhold_factor") - 1).alias("chained_buyhold_return"),
+                F.sum("_strategy_log").alias("chained_strategy_log"),
+                F.sum("_buyhold_log").alias("chained_buyhold_log"),
+                F.try_divide(F.sum("_squares"), F.sum("_compared")).alias("mse"),
+                F.try_divide(F.sum("_gaps"), F.sum("_compared")).alias("mae"),
             )
         )
     )

@@ -8,6 +8,7 @@ range-partitioned numbering instead of one window per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from marketloom.workspace import written
 
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
-_SALTS = 32
+_FAN_IN, _LEVELS = 256, 2
+_RUN_ROWS = 1 << 16
 
 
 def nulls_last(column: Column) -> list[Column]:
@@ -23,43 +25,48 @@ def nulls_last(column: Column) -> list[Column]:
     return [column.isNull(), column]
 
 
-def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by ``order``; copies collapse before the shuffle."""
-    key_names = [f"_key{i}" for i in range(len(keys))]
-    keyed = df.select(
-        "*", *[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, key_names)]
-    )
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return (
-        keyed.groupBy(*key_names)
-        .agg(F.min_by(row, F.struct(*order)).alias("_row"))
-        .select("_row.*")
+def keep_first(
+    df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column],
+    names: Sequence[str] | None = None,
+) -> DataFrame:
+    """The first row of each key by ``order``; copies collapse before the shuffle.
+
+    A key column travels once, as the key, and not again in the row. ``names`` adds computed keys to
+    the result under these names (null for those that are columns already).
+    """
+    given = list(names or [None] * len(keys))
+    own = {k: f"_key{i}" for i, k in enumerate(keys) if isinstance(k, str)}
+    rest = [c for c in df.columns if c not in own]
+    keyed = df.groupBy(*[
+        (F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(keys)
+    ])
+    # Rows without other columns still need a value for the aggregate to pick.
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))
+    first = keyed.agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    return first.select(
+        *[F.col(own[c]).alias(c) if c in own else F.col(f"_row.`{c}`").alias(c) for c in df.columns],
+        *[F.col(f"_key{i}").alias(n) for i, n in enumerate(given) if n],
     )
 
 
 def top_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    limit: int,
-    salt_on: Sequence[str],
-    rank: str = "rank",
-    salts: int = _SALTS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank",
 ) -> DataFrame:
-    """The first ``limit`` rows per key with a 1-based ``rank``.
+    """The first ``limit`` rows per key with a 1-based ``rank``; ``order`` must be total.
 
-    A hot key is first cut to ``limit`` rows inside each of ``salts`` slices, so the final
-    window sees at most ``salts * limit`` rows per key.
+    A hot key is cut level by level: the rows of ``_FAN_IN`` tasks meet in one slice, which keeps
+    ``limit`` of them, then the slices of ``_FAN_IN`` slices, and so on. Each cut also runs before its
+    shuffle, so no task receives more than ``_FAN_IN * limit`` rows of one key from a level.
     """
-    slice_window = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    key_window = Window.partitionBy(*keys).orderBy(*order)
+    sliced = df.withColumn("_slice", F.spark_partition_id())
+    for _ in range(_LEVELS):
+        sliced = sliced.withColumn("_slice", F.floor(F.col("_slice") / _FAN_IN).cast("int"))
+        within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        sliced = sliced.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= limit)
+    over_all = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
-        .withColumn("_rank", F.row_number().over(slice_window))
-        .filter(F.col("_rank") <= limit)
-        .withColumn(rank, F.row_number().over(key_window))
-        .filter(F.col(rank) <= limit)
-        .drop("_salt", "_rank")
+        sliced.withColumn(rank, F.row_number().over(over_all)).filter(F.col(rank) <= limit)
+        .drop("_slice")
     )
 
 
@@ -101,7 +108,7 @@ def position_in_key(
     salted by position run, so a hot key's rows spread over many tasks.
     """
     ranked = numbered(df, [*keys, *order], "_idx").withColumn(
-        "_run", F.floor(F.col("_idx") / F.lit(1 << 16))
+        "_run", F.floor(F.col("_idx") / F.lit(_RUN_ROWS))
     )
     names = [f"_k{i}" for i in range(len(keys))]
     first = (
@@ -118,10 +125,11 @@ def position_in_key(
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Exact median of every value column per key, for keys of any size.
+    """Exact median of every value column per key, for keys of any size and any number of ties.
 
-    The values are stacked, numbered once by (key, column, value), and the one or two middle
-    positions of each key are fetched by an equi-join on the position, which is unique.
+    The values are stacked and counted, so a value that most rows share is one row. The counted
+    values are numbered by (key, column, value), which is unique; running counts over fixed runs of
+    that order tell which one or two values hold the middle positions of a key.
     """
     stacked = df.select(
         *keys,
@@ -130,23 +138,30 @@ def exact_median(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> D
         ).alias("_cell"),
     ).select(*keys, "_cell._name", "_cell._value").filter(F.col("_value").isNotNull())
     group = [*keys, "_name"]
-    ranked = numbered(stacked, [*group, "_value"], "_idx")
-    middle = (
-        ranked.groupBy(*group)
-        .agg(F.min("_idx").alias("_low"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            *group,
-            F.explode(
-                F.array_distinct(
-                    F.array(
-                        F.col("_low") + F.floor((F.col("_n") - 1) / 2),
-                        F.col("_low") + F.floor(F.col("_n") / 2),
-                    )
-                )
-            ).alias("_idx"),
-        )
+    counted = stacked.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = numbered(counted, [*group, "_value"], "_idx").withColumn(
+        "_run", F.floor(F.col("_idx") / F.lit(_RUN_ROWS))
+    )
+    before = Window.partitionBy("_all").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranked.groupBy("_run").agg(F.sum("_n").alias("_rows")).withColumn("_all", F.lit(0)).select(
+        F.col("_run").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier")
+    )
+    in_run = Window.partitionBy("_run").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranked.withColumn("_to", F.sum("_n").over(in_run)).join(
+        runs, F.col("_run") == F.col("_of")
+    ).withColumn("_to", F.col("_to") + F.col("_earlier")).withColumn("_from", F.col("_to") - F.col("_n"))
+    names = [f"_g{i}" for i in range(len(group))]
+    middle = placed.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(
+        F.min("_from").alias("_low"), F.sum("_n").alias("_count")
+    ).select(
+        *names,
+        (F.col("_low") + F.floor((F.col("_count") - 1) / 2)).alias("_first"),
+        (F.col("_low") + F.floor(F.col("_count") / 2)).alias("_second"),
     )
-    cells = middle.join(ranked.select("_idx", "_value"), "_idx")
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)])
+    holds = lambda at: (F.col("_from") <= F.col(at)) & (F.col(at) < F.col("_to"))
+    cells = placed.join(middle, same).filter(holds("_first") | holds("_second"))
+    # A value that holds both middles counts alone; two values count half each.
     return cells.groupBy(*keys).agg(
         *[F.avg(F.when(F.col("_name") == v, F.col("_value"))).alias(v) for v in values]
     )

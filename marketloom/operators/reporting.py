@@ -127,40 +127,52 @@ def strategy_report(summary: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     )
 
 
-def _near_keys(text: Column) -> Column:
-    """The text and every form with one character removed: texts one edit apart share one."""
+def _shorter_by_one(text: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    shorter = F.transform(
+    return F.transform(
         places,
         lambda i: F.concat(
             F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))
         ),
     )
-    return F.array_distinct(F.concat(F.array(text), shorter))
 
 
-def resolve_symbols(inputs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbol of each free-text ``input``: exact name or symbol, else the nearest name within one
-    edit, else the text in upper case.
+def _near_keys(text: Column, deletions: int) -> Column:
+    """The text and every form with up to so many characters removed: texts that many edits apart
+    share one."""
+    every = last = F.array(text)
+    for _ in range(deletions):
+        last = F.array_distinct(F.flatten(F.transform(last, _shorter_by_one)))
+        every = F.concat(every, last)
+    return F.array_distinct(every)
 
-    Names and inputs meet on shared one-character deletions, an equi-join that finds every pair
-    within one edit and never compares all inputs with all names. Repeated inputs are looked up
-    once. Ties go to the lower symbol.
+
+def resolve_symbols(inputs: DataFrame, symbols: DataFrame, max_distance: int = 3) -> DataFrame:
+    """Symbol of each free-text ``input``: exact name or symbol, else the nearest name, else the
+    text in upper case.
+
+    A name counts as near within ``max_distance`` edits and one edit per three characters of the
+    input (one for shorter texts). Names and inputs meet on shared deletions, an equi-join that finds
+    every pair so many edits apart and never compares all inputs with all names; the distance
+    grows step by step, and only what is still open takes the next step. Repeated inputs are looked
+    up once. Ties go to the lower symbol.
     """
-    text = inputs.select("input").distinct().withColumn("_text", F.lower(F.trim("input"))).withColumn(
-        "_near", F.explode(_near_keys(F.col("_text")))
-    )
+    open_ = inputs.select("input").distinct().withColumn("_text", F.lower(F.trim("input")))
     names = symbols.select(
         "symbol", F.explode(F.array(F.lower("name"), F.lower("symbol"))).alias("_name")
-    ).withColumn("_near", F.explode(_near_keys(F.col("_name"))))
-    distance = F.levenshtein("_text", "_name")
-    best = (
-        text.join(names, "_near")
-        .withColumn("_distance", distance)
-        .filter(F.col("_distance") <= 1)
-        .groupBy("input")
-        .agg(F.min(F.struct("_distance", "symbol"))["symbol"].alias("symbol"))
     )
+    allowed = F.least(F.lit(max_distance), F.greatest(F.lit(1), F.floor(F.length("_text") / 3)))
+    best = None
+    for edits in range(max_distance + 1):
+        near = open_.withColumn("_near", F.explode(_near_keys(F.col("_text"), edits))).join(
+            names.withColumn("_near", F.explode(_near_keys(F.col("_name"), edits))), "_near"
+        )
+        found = (
+            near.filter((F.levenshtein("_text", "_name") == edits) & (F.lit(edits) <= allowed))
+            .groupBy("input").agg(F.min("symbol").alias("symbol"))
+        )
+        best = found if best is None else best.unionByName(found)
+        open_ = open_.join(found, "input", "left_anti")
     return inputs.join(best, "input", "left").withColumn(
         "symbol", F.coalesce("symbol", F.upper(F.trim("input")))
     )

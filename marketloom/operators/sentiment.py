@@ -83,7 +83,8 @@ def request_summary(
         F.avg("sentiment_score").alias("current_sentiment"),
         F.count(F.lit(1)).alias("news_count"),
     )
-    first = top_per_key(scored, ["ticker"], order, headlines, tie_break).groupBy("ticker").agg(
+    total = [*order, *[F.col(c) for c in tie_break]]
+    first = top_per_key(scored, ["ticker"], total, headlines).groupBy("ticker").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "headline"))), lambda x: x["headline"]
         ).alias("latest_headlines")

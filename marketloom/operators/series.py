@@ -21,10 +21,11 @@ from pyspark.sql.window import WindowSpec
 
 from marketloom.operators.ordering import position_in_key
 
-# Rows per smoothing block. A weight that is BLOCK rows old has decayed below e^-64 for every
+# Rows per smoothing block. A weight that is BLOCK rows old has decayed below e^-DECAYED for every
 # alpha >= 1/14, so one carry from the previous block is exact in double precision, and the
-# inverse weights stay below e^600 for every alpha <= 1/2.
+# inverse weights stay below e^LARGEST for every alpha <= 1/2. Other alphas get their own length.
 BLOCK = 864
+DECAYED, LARGEST = 64, 600
 
 CHUNK_ROWS = 4096
 HALO_ROWS = 2 * BLOCK
@@ -44,38 +45,57 @@ def series_window(keys: Sequence[str], order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_block", order)
 
 
+def context_rows(alpha: float) -> int:
+    """How far back an exponential mean looks, in double precision."""
+    return 0 if alpha >= 1 else math.ceil(DECAYED / -math.log1p(-alpha))
+
+
+def block_rows(alpha: float) -> int:
+    """Rows of a smoothing block for this alpha."""
+    fits = context_rows(alpha) <= BLOCK and BLOCK * -math.log1p(-alpha) <= LARGEST
+    return BLOCK if fits else max(2, context_rows(alpha))
+
+
 def smooth(
     df: DataFrame, outputs: Mapping[str, tuple[str, float, int]], keys: Sequence[str], order: str
 ) -> DataFrame:
     """Exponentially weighted means y0 = x0, yt = a*xt + (1-a)*y(t-1) for several columns.
 
     ``outputs`` maps a new column to (input column, alpha, start): the input is null before row
-    ``start``, whose value seeds the mean. Needs ``with_blocks``. Each mean is a running weighted
-    sum inside a block plus the decayed end value of the block before it, so all means of one
-    call take two window operators and no sort beyond the (keys, block, order) one.
+    ``start``, whose value seeds the mean. Any alpha in (0, 1] will do; 1 is the input itself. Needs
+    ``with_blocks``. Each mean is a running weighted sum inside a block plus the decayed end value of
+    the block before it, so the means of one call that share a block length take two window
+    operators and no sort beyond the (keys, block, order) one.
     """
-    for name, (_, alpha, _) in outputs.items():
-        if not 1 / 14 <= alpha <= 0.5:
-            raise ValueError(f"{name}: alpha {alpha} is outside [1/14, 1/2]")
     along = series_window(keys, order)
-    in_block = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    offset = F.col("_row") - F.col("_block") * BLOCK
-    local, carried, final = {}, {}, {}
+    local, carried, final, numbers = {}, {}, {}, {}
     for name, (source, alpha, start) in outputs.items():
+        if not 0 < alpha <= 1:
+            raise ValueError(f"{name}: alpha {alpha} is outside (0, 1]")
+        if alpha == 1:
+            final[name] = F.col(source)
+            continue
+        rows = block_rows(alpha)
+        block = "_block" if rows == BLOCK else f"_block_{rows}"
+        if rows != BLOCK:
+            numbers[block] = F.floor(F.col("_row") / rows)
+        in_block = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, 0
+        )
+        offset = F.col("_row") - F.col(block) * rows
         keep = 1.0 - alpha
         weight = F.when(F.col("_row") == start, 1.0).otherwise(alpha)
         scaled = weight * F.col(source) * F.pow(F.lit(keep), -offset)
         local[f"_local_{name}"] = F.sum(scaled).over(in_block) * F.pow(F.lit(keep), offset)
         carried[f"_carry_{name}"] = F.last(
-            F.when(offset == BLOCK - 1, F.col(f"_local_{name}")), ignorenulls=True
+            F.when(offset == rows - 1, F.col(f"_local_{name}")), ignorenulls=True
         ).over(along.rowsBetween(Window.unboundedPreceding, -1))
         final[name] = F.col(f"_local_{name}") + F.coalesce(
             F.col(f"_carry_{name}") * F.pow(F.lit(keep), offset + 1), F.lit(0.0)
         )
-    df = df.withColumns(local).withColumns(carried).withColumns(final)
-    return df.drop(*local, *carried)
+    df = df.withColumns(numbers) if numbers else df
+    df = df.withColumns(local).withColumns(carried) if local else df
+    return df.withColumns(final).drop(*local, *carried, *numbers)
 
 
 def in_chunks(
@@ -86,13 +106,17 @@ def in_chunks(
     chunk_rows: int = CHUNK_ROWS,
     back: int = HALO_ROWS,
     ahead: int = 1,
+    alphas: Sequence[float] = (),
 ) -> DataFrame:
     """Run a per-series ``build(rows, keys)`` over chunks of series of any length.
 
     Each chunk gets the ``back`` rows before it and ``ahead`` rows after it as context; context
     rows are dropped afterwards. ``build`` must look at most that far (rolling windows, lags,
-    smoothing). Rows arrive with ``_position``, their place in the series, to order by.
+    smoothing). Name the ``alphas`` of its exponential means: context and chunks grow to what the
+    slowest of them needs. Rows arrive with ``_position``, their place in the series, to order by.
     """
+    back = max([back, *(2 * max(BLOCK, context_rows(a)) for a in alphas)])
+    chunk_rows = max(chunk_rows, back if alphas else 0)
     if not (0 < back <= chunk_rows and 0 <= ahead <= chunk_rows):
         raise ValueError("context must not exceed one chunk")
     placed = position_in_key(df, keys, order, "_position")
@@ -165,8 +189,3 @@ def running(
 def decay(span: int) -> float:
     """Alpha of an exponential mean given as a span."""
     return 2.0 / (span + 1.0)
-
-
-def largest_inverse_weight(alpha: float) -> float:
-    """Largest factor ``smooth`` multiplies by; kept for the overflow test."""
-    return math.exp(-math.log(1.0 - alpha) * (BLOCK - 1))

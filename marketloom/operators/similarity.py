@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.ordering import top_per_key
 from marketloom.settings import DEFAULTS
+from marketloom.workspace import written
 
 # Largest query set, in bytes of double-precision vectors, that is shipped to every task.
 SHIPPED_BYTES = 32 * 1024 * 1024
 # Tile sides of the search over larger query sets.
 BLOCK_QUERIES = 4096
 CELL_VECTORS = 65536
+# Queries scored at once against one batch or cell of vectors.
+SLICE_QUERIES = 256
 # Scores are rounded before ranking, so copies of a vector tie and the lower id comes first.
 SCORE_DIGITS = 9
 
@@ -70,21 +73,34 @@ def size(index: DataFrame) -> DataFrame:
 def _best(
     ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """Best ``k`` rows of ``matrix`` per query, ties to the lower id."""
+    """Best ``k`` rows of ``matrix`` per query, ties to the lower id.
+
+    Queries are taken ``SLICE_QUERIES`` at a time, so a block of scores has at most that many rows.
+    """
+    parts = [
+        _best_of_slice(ids, matrix, query_ids[at:at + SLICE_QUERIES], queries[at:at + SLICE_QUERIES], k)
+        for at in range(0, len(query_ids), SLICE_QUERIES)
+    ]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _best_of_slice(ids, matrix, query_ids, queries, k: int) -> pd.DataFrame:
     scores = np.round(queries @ matrix.T, SCORE_DIGITS)
     k = min(k, len(ids))
     # All rows scoring at least the k-th best stay until ties are broken by id.
     floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
     rows, columns = np.nonzero(scores >= floor[:, None])
-    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
-    rows, columns = rows[order], columns[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    rows, columns = rows[place < k], columns[place < k]
+    return _first_k(query_ids[rows], ids[columns], scores[rows, columns], k)
+
+
+def _first_k(query_ids, ids, scores, k: int) -> pd.DataFrame:
+    """The best ``k`` of many hits per query."""
+    order = np.lexsort((ids, -scores, query_ids))
+    query_ids, ids, scores = query_ids[order], ids[order], scores[order]
+    place = np.arange(len(query_ids)) - np.searchsorted(query_ids, query_ids)
+    kept = place < k
     return pd.DataFrame(
-        {
-            "query_id": query_ids[rows], "vec_id": ids[columns],
-            "similarity_score": scores[rows, columns],
-        }
+        {"query_id": query_ids[kept], "vec_id": ids[kept], "similarity_score": scores[kept]}
     )
 
 
@@ -93,18 +109,28 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _search_shipped(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Scan the vectors once with the whole (size-checked) query set in every task."""
+    """Scan the vectors once with the whole (size-checked) query set in every task.
+
+    A task keeps the best ``k`` per query over all its batches and yields them once.
+    """
     rows = queries.orderBy("query_id").toPandas()
     query_ids, matrix = rows["query_id"].to_numpy(), _matrix(rows["embedding"])
     shipped = index.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shipped.value
+        best = None
         for batch in batches:
             if len(batch):
-                yield _best(
+                found = _best(
                     batch["vec_id"].to_numpy(), _matrix(batch["embedding"]), ids, vectors, k
                 )
+                if best is not None:
+                    found = pd.concat([best, found], ignore_index=True)
+                    found = _first_k(*(found[c].to_numpy() for c in found.columns), k)
+                best = found
+        if best is not None:
+            yield best
 
     return index.select("vec_id", "embedding").mapInPandas(run, _HITS)
 
@@ -148,9 +174,13 @@ def search(
 
     ``queries`` has query_id and embedding; rank starts at 1. An empty table gives no hits.
     """
-    asked = queries.select(
-        F.col("query_id").cast("bigint").alias("query_id"),
-        normalize(F.col("embedding")).alias("embedding"),
+    # Written once: the queries are measured first and used after.
+    asked = written(
+        queries.select(
+            F.col("query_id").cast("bigint").alias("query_id"),
+            normalize(F.col("embedding")).alias("embedding"),
+        ),
+        "queries",
     )
     measured = asked.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")
@@ -162,7 +192,7 @@ def search(
     else:
         hits = _search_tiled(index, asked, k, measured["n"])
     order = [F.col("similarity_score").desc(), F.col("vec_id")]
-    ranked = top_per_key(hits, ["query_id"], order, k, ["vec_id"])
+    ranked = top_per_key(hits, ["query_id"], order, k)
     metadata = [c for c in index.columns if c not in ("vec_id", "embedding")]
     return ranked.join(index.select("vec_id", *metadata), "vec_id").select(
         "query_id", "rank", "vec_id", "similarity_score", *metadata

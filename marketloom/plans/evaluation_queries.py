@@ -317,12 +317,18 @@ _UNIVERSAL_SQL = (
     f"WITH RECURSIVE {_UNIVERSAL_SQL} SELECT ticker, {rounded_sql(*_CLASSES, *_TOTALS)}, "
     "n_trades, (SELECT round(product(1 + strategy_return) - 1, 2) FROM days) "
     "AS chained_strategy_return, (SELECT round(product(1 + buyhold_return) - 1, 2) FROM days) "
-    "AS chained_buyhold_return FROM all_classes JOIN all_summary USING (ticker)",
+    "AS chained_buyhold_return, "
+    "(SELECT round(sum(ln(abs(1 + strategy_return))), 4) FROM days) AS chained_strategy_log, "
+    "(SELECT round(sum(ln(abs(1 + buyhold_return))), 4) FROM days) AS chained_buyhold_log, "
+    "(SELECT round(avg((actual_return - predicted_return) ** 2), 8) FROM predictions) AS mse, "
+    "(SELECT round(avg(abs(actual_return - predicted_return)), 8) FROM predictions) AS mae "
+    "FROM all_classes JOIN all_summary USING (ticker)",
 )
 def h15(spark, sf_dir):
     return ev.evaluate_universal(predictions(spark, sf_dir)).select(
         "ticker", *rounded(*_CLASSES, *_TOTALS), "n_trades",
         *rounded("chained_strategy_return", "chained_buyhold_return", digits=2),
+        *rounded("chained_strategy_log", "chained_buyhold_log"), *rounded("mse", "mae", digits=8),
     )
 
 

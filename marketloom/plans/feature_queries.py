@@ -119,7 +119,9 @@ def e17(spark, sf_dir):
             "_row", "_block"
         )
 
-    return in_chunks(ticks, ["event_type"], ["ts", "event_id"], build).select(
+    return in_chunks(
+        ticks, ["event_type"], ["ts", "event_id"], build, alphas=[1 / 14]
+    ).select(
         "event_type", "event_id", *rounded("smoothed")
     )
 

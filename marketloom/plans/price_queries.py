@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators.indicators import add_indicators
 from marketloom.plans.registry import query
 from marketloom.plans.tables import BARS_SQL, bars
+from marketloom.settings import Settings
 
 # All exponential means in one recursion over the row number.
 INDICATORS_SQL = BARS_SQL + """,
@@ -101,3 +102,60 @@ _indicator_query("e9_log_return", "log_returns")
 _indicator_query("e10_volatility", "volatility_20d")
 _indicator_query("e11_next_direction", "target_direction")
 _indicator_query("e12_next_return", "target_return")
+
+
+# Other periods: one recursion each over the numbered bars.
+_PERIODS = Settings(rsi_period=21, macd_slow=50, macd_signal=2, atr_period=20)
+_STEPS_SQL = INDICATORS_SQL[: INDICATORS_SQL.index(",\nseeded AS")]
+
+
+@query(
+    "e1_rsi_21",
+    f"""WITH RECURSIVE {_STEPS_SQL}, walk(ticker, rn, g, l) AS (
+      SELECT ticker, rn, gain, loss FROM steps WHERE rn = 0
+      UNION ALL SELECT s.ticker, s.rn, s.gain / 21 + w.g * (1 - 1.0e0 / 21),
+        s.loss / 21 + w.l * (1 - 1.0e0 / 21)
+      FROM walk w JOIN steps s ON s.ticker = w.ticker AND s.rn = w.rn + 1)
+    SELECT s.ticker, s.date, round(CASE WHEN s.rn >= 20 THEN CASE WHEN w.l = 0 THEN 100.0e0
+      ELSE 100 - 100 / (1 + w.g / w.l) END END, 4) AS rsi
+    FROM steps s JOIN walk w ON w.ticker = s.ticker AND w.rn = s.rn""",
+)
+def rsi_21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_indicators(bars(spark, sf_dir), settings=_PERIODS).select("ticker", "date", *rounded("rsi"))
+
+
+@query(
+    "e2_macd_50",
+    f"""WITH RECURSIVE {_STEPS_SQL}, walk(ticker, rn, fast, slow, sig) AS (
+      SELECT ticker, rn, close, close, CAST(NULL AS DOUBLE) FROM steps WHERE rn = 0
+      UNION ALL SELECT s.ticker, s.rn, s.close * (2.0e0 / 13) + w.fast * (1 - 2.0e0 / 13),
+        s.close * (2.0e0 / 51) + w.slow * (1 - 2.0e0 / 51),
+        CASE WHEN s.rn < 49 THEN NULL WHEN s.rn = 49 THEN
+          s.close * (2.0e0 / 13) + w.fast * (1 - 2.0e0 / 13)
+          - s.close * (2.0e0 / 51) - w.slow * (1 - 2.0e0 / 51)
+        ELSE (2.0e0 / 3) * (s.close * (2.0e0 / 13) + w.fast * (1 - 2.0e0 / 13)
+          - s.close * (2.0e0 / 51) - w.slow * (1 - 2.0e0 / 51)) + (1 - 2.0e0 / 3) * w.sig END
+      FROM walk w JOIN steps s ON s.ticker = w.ticker AND s.rn = w.rn + 1)
+    SELECT s.ticker, s.date, round(CASE WHEN s.rn >= 49 THEN w.fast - w.slow END, 4) AS macd,
+      round(CASE WHEN s.rn >= 50 THEN w.sig END, 4) AS macd_signal_line
+    FROM steps s JOIN walk w ON w.ticker = s.ticker AND w.rn = s.rn""",
+)
+def macd_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_indicators(bars(spark, sf_dir), settings=_PERIODS).select(
+        "ticker", "date", *rounded("macd", "macd_signal_line")
+    )
+
+
+@query(
+    "e7_atr_20",
+    f"""WITH RECURSIVE {_STEPS_SQL}, seeds AS (SELECT *, avg(tr) OVER (PARTITION BY ticker
+        ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS seed FROM steps),
+    walk(ticker, rn, atr) AS (
+      SELECT ticker, rn, seed FROM seeds WHERE rn = 19
+      UNION ALL SELECT s.ticker, s.rn, (19 * w.atr + s.tr) / 20
+      FROM walk w JOIN seeds s ON s.ticker = w.ticker AND s.rn = w.rn + 1)
+    SELECT s.ticker, s.date, round(w.atr, 4) AS atr
+    FROM steps s LEFT JOIN walk w ON w.ticker = s.ticker AND w.rn = s.rn""",
+)
+def atr_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_indicators(bars(spark, sf_dir), settings=_PERIODS).select("ticker", "date", *rounded("atr"))

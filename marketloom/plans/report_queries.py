@@ -102,6 +102,45 @@ def a12(spark, sf_dir):
     return feeds.read_rss(spark, path, "google_news")
 
 
+@query(
+    "a12_feed_zones",
+    f"""WITH {FEED_SQL} SELECT page_id % 2 AS kind, headline,
+      TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 28 AS INTEGER)) + to_minutes(page_id % 60)
+      AS date, link AS url
+    FROM (SELECT *, {html_text_sql('trim(title)')} AS headline FROM feed) WHERE headline <> ''""",
+)
+def a12_zones(spark, sf_dir):
+    """Even pages landed as RSS with the dates of many zones, odd ones as Atom entries."""
+    entries = feed_entries(spark, sf_dir).withColumn("at", F.expr(_PUBLISHED))
+    day = "d MMM yyyy HH:mm:ss"
+    zone = F.col("page_id") % 6
+    shown = (
+        F.when(zone == 0, F.concat(F.date_format(F.expr("at - interval 5 hours"), day), F.lit(" -0500")))
+        .when(zone == 2, F.concat(F.date_format(F.expr("at - interval 7 hours"), "EEE, " + day), F.lit(" PDT")))
+        .otherwise(F.concat(F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    )
+    rss = entries.filter("page_id % 2 = 0").select("title", "link", shown.alias("pubDate"), "ticker")
+    atom = entries.filter("page_id % 2 = 1").select(
+        F.struct(F.lit("html").alias("_type"), F.col("title").alias("_VALUE")).alias("title"),
+        F.array(
+            F.struct(F.lit("http://feed").alias("_href"), F.lit("self").alias("_rel")),
+            F.struct(F.col("link").alias("_href"), F.lit(None).cast("string").alias("_rel")),
+        ).alias("link"),
+        F.concat(F.date_format(F.expr("at + interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30"))
+        .alias("updated"), "ticker",
+    )
+    found = []
+    for kind, rows in ((0, rss), (1, atom)):
+        path = new_path(spark, "feed")
+        rows.write.format("xml").option("rootTag", "channel").option(
+            "rowTag", "entry" if kind else "item"
+        ).save(path)
+        found.append(feeds.read_rss(spark, path, "google_news").select(
+            F.lit(kind).cast("bigint").alias("kind"), "headline", "date", "url"
+        ))
+    return found[0].unionByName(found[1])
+
+
 @query(
     "a13_reddit_ingest",
     """SELECT trim(text) AS headline, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 10 + turn)
@@ -378,7 +417,8 @@ _ASKED = (
               ON n_nationkey = c_nationkey),
     near AS (SELECT input, symbol, levenshtein(lower(trim(input)), name) AS d
              FROM (SELECT DISTINCT input FROM asked) JOIN names
-             ON levenshtein(lower(trim(input)), name) <= 1),
+             ON levenshtein(lower(trim(input)), name)
+                <= least(3, greatest(1, len(trim(input)) // 3))),
     best AS (SELECT input, symbol FROM (SELECT *, row_number() OVER (PARTITION BY input
              ORDER BY d, symbol) AS r FROM near) WHERE r = 1)
     SELECT c_custkey, input, coalesce(symbol, upper(trim(input))) AS symbol

@@ -8,6 +8,7 @@ from marketloom.functions import text as tx
 from marketloom.operators import dedupe
 from marketloom.plans.registry import query
 from marketloom.plans.tables import FEED_SQL, HEADLINES_SQL, feed_entries, headlines, table
+from marketloom.workspace import new_path
 from marketloom.sources import headlines as hl
 from marketloom.settings import DEFAULTS
 
@@ -85,6 +86,77 @@ def a4_dates(spark, sf_dir):
     return hl.standardize(raw, keep=["event_id"])
 
 
+@query(
+    "a4_mixed_dates",
+    "SELECT event_id, CASE WHEN event_id % 8 IN (3, 5) THEN date_trunc('day', ts) "
+    "ELSE date_trunc('second', ts) END AS date FROM events",
+)
+def a4_mixed(spark, sf_dir):
+    """The instants of events, written in eight ways and zones; two of them name the day alone."""
+    def shown(pattern, hours=0):
+        return F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), pattern)
+
+    kind = F.col("event_id") % 8
+    raw = table(spark, sf_dir, "events").select(
+        "event_id", F.col("props").alias("text"),
+        F.when(kind == 0, F.concat(shown("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(kind == 1, F.concat(shown("yyyy-MM-dd HH:mm:ss", -4), F.lit("-04:00")))
+        .when(kind == 2, F.concat(shown("EEE, d MMM yyyy HH:mm:ss", -5), F.lit(" EST")))
+        .when(kind == 3, shown("MM/dd/yyyy"))
+        .when(kind == 4, shown("MMMM d, yyyy h:mm:ss a"))
+        .when(kind == 5, shown("yyyyMMdd"))
+        .when(kind == 6, F.concat(shown("dd MMM yyyy HH:mm:ss", 2), F.lit(" +0200")))
+        .otherwise(shown("yyyy/MM/dd HH:mm:ss")).alias("published"),
+    )
+    return hl.standardize(raw, keep=["event_id"]).select("event_id", "date")
+
+
+@query("a15_references", "SELECT doc_id, text AS headline FROM documents")
+def a15_references(spark, sf_dir):
+    """Whole texts with their accents, capitals and ampersands written as character references."""
+    written_out = F.col("text")
+    for character, reference in (
+        ("&", "&amp;"), ("é", "&eacute;"), ("è", "&#232;"), ("ü", "&#xFC;"), ("ñ", "&ntilde"),
+        ("T", "&#84;"), ("ß", "&#XdF;"), ("!", "&excl;"),
+    ):
+        written_out = F.replace(written_out, F.lit(character), F.lit(reference))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tx.html_to_text(written_out).alias("headline")
+    )
+
+
+def _landed_csv(spark, sf_dir, header):
+    """Documents as Latin-1 files: a label, the text and the source."""
+    label = F.element_at(F.array(F.lit("positive"), F.lit("neutral"), F.lit("negative")),
+                         (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        label.alias("sentiment"), F.col("text").alias("headline"), "source",
+        F.col("doc_id").cast("string").alias("number"),
+    )
+    path = new_path(spark, "csv")
+    rows.write.option("encoding", "ISO-8859-1").option("header", header).option("escape", '"').option(
+        "quoteAll", True
+    ).csv(path)
+    return hl.scan_csv(spark, path, multi_line=True)
+
+
+_CSV_SQL = """SELECT CAST(doc_id AS VARCHAR) AS number, text AS headline, source,
+  ['positive', 'neutral', 'negative'][doc_id % 3 + 1] AS sentiment FROM documents"""
+
+
+@query("a1_headline_csv", _CSV_SQL)
+def a1(spark, sf_dir):
+    return _landed_csv(spark, sf_dir, True).select("number", "headline", "source", "sentiment")
+
+
+@query("a2_headerless_csv", _CSV_SQL)
+def a2(spark, sf_dir):
+    """The same rows without a header line: columns are found by their place."""
+    return _landed_csv(spark, sf_dir, False).select(
+        F.col("col_3").alias("number"), "headline", F.col("col_2").alias("source"), "sentiment"
+    )
+
+
 @query(
     "a5_basic_clean",
     f"WITH {HEADLINES_SQL} SELECT min(doc_id) AS doc_id, headline FROM headlines "
@@ -228,8 +300,10 @@ def stories(spark, sf_dir):
     "(PARTITION BY hash ORDER BY priority, id) AS r FROM hashed) WHERE r = 1",
 )
 def b9(spark, sf_dir):
-    rows = dedupe.by_hash(stories(spark, sf_dir), "headline", F.col("priority"), [F.col("id")])
-    return rows.select("priority", "id", tx.headline_hash(F.col("headline")).alias("hash"))
+    rows = dedupe.by_hash(
+        stories(spark, sf_dir), "headline", F.col("priority"), [F.col("id")], name="hash"
+    )
+    return rows.select("priority", "id", "hash")
 
 
 @query(
@@ -297,14 +371,16 @@ def _greedy_sql(threshold: float) -> str:
 
 @query("b11_near_duplicates", _greedy_sql(0.95))
 def b11(spark, sf_dir):
-    rows = dedupe.exact(headlines(spark, sf_dir), "headline", [F.col("doc_id")])
-    return dedupe.near_duplicates(rows, "headline", ["headline"]).select("doc_id")
+    rows = headlines(spark, sf_dir)
+    return dedupe.near_duplicates(rows, "headline", ["headline", "doc_id"]).select("doc_id")
 
 
 @query("b11_near_duplicates_loose", _greedy_sql(0.8))
 def b11_loose(spark, sf_dir):
-    rows = dedupe.exact(headlines(spark, sf_dir), "headline", [F.col("doc_id")])
-    return dedupe.near_duplicates(rows, "headline", ["headline"], threshold=0.8).select("doc_id")
+    rows = headlines(spark, sf_dir)
+    return dedupe.near_duplicates(
+        rows, "headline", ["headline", "doc_id"], threshold=0.8
+    ).select("doc_id")
 
 
 @query("b12_preview", "SELECT doc_id, substring(text, 1, 80) AS preview FROM documents")
@@ -312,10 +388,17 @@ def b12(spark, sf_dir):
     return headlines(spark, sf_dir).select("doc_id", tx.preview(F.col("headline")).alias("preview"))
 
 
+# The references that titles of the given pages can hold; the ampersand comes last.
+_TITLE_REFERENCES = (
+    ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?|&#x27;?|&apos;", "'"),
+    ("&nbsp;?", "\u00a0"), ("&amp;?", "&"),
+)
+
+
 def html_text_sql(x: str) -> str:
     x = f"regexp_replace({x}, {_lit(tx.TAG_PATTERN)}, '', 'g')"
-    for entity, character in tx.ENTITIES:
-        x = f"replace({x}, {_lit(entity)}, {_lit(character)})"
+    for reference, character in _TITLE_REFERENCES:
+        x = f"regexp_replace({x}, {_lit(reference)}, {_lit(character)}, 'g')"
     return x
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from marketloom.operators import embedding as em
@@ -10,6 +12,7 @@ from marketloom.operators.ordering import top_per_key
 from marketloom.plans.price_queries import rounded
 from marketloom.plans.registry import query
 from marketloom.plans.sentiment_queries import SCORED_SQL, scored
+from marketloom.workspace import written
 from marketloom.plans.tables import table
 from marketloom.plans.text_queries import strip_sql, _lit
 from marketloom.functions.text import SPACES_PATTERN
@@ -58,15 +61,12 @@ def vector_index(spark, sf_dir):
 
 
 def centroids(index):
-    """One query per label: the mean vector, averaged slot by slot over all vectors."""
-    cells = index.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = cells.groupBy("label", "i").agg(F.avg("x").alias("x"))
-    # One entry per dimension, so the list is as long as a vector.
-    return means.groupBy("label").agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")
-    ).select(
-        F.col("label").cast("bigint").alias("query_id"),
-        F.transform("c", lambda e: e["x"]).alias("embedding"),
+    """One query per label: the mean vector, in one aggregate over whole vectors."""
+    means = index.select("label", array_to_vector("embedding").alias("v")).groupBy("label").agg(
+        Summarizer.mean(F.col("v")).alias("c")
+    )
+    return means.select(
+        F.col("label").cast("bigint").alias("query_id"), vector_to_array("c").alias("embedding")
     )
 
 
@@ -239,13 +239,15 @@ def d5(spark, sf_dir):
 )
 def d9(spark, sf_dir):
     order = [F.col("date").desc_nulls_last(), F.col("doc_id")]
-    latest = top_per_key(
-        scored(spark, sf_dir).select("doc_id", "ticker", "date", "headline"),
-        ["ticker"], order, 5, ["doc_id"], rank="position",
-    ).select(F.col("doc_id").alias("query_id"), "ticker", "position", F.col("headline").alias("text"))
-    hits = text_search(spark, sf_dir, latest)
+    # Ids first; the few texts are fetched for them.
+    latest = written(top_per_key(
+        scored(spark, sf_dir).select("doc_id", "ticker", "date"),
+        ["ticker"], order, 5, rank="position",
+    ).select(F.col("doc_id").alias("query_id"), "ticker", "position"), "latest")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    hits = text_search(spark, sf_dir, texts.join(latest.select("query_id"), "query_id"))
     labels = scored(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "label")
-    return hits.join(latest.drop("text"), "query_id").join(labels, "vec_id").select(
+    return hits.join(latest, "query_id").join(labels, "vec_id").select(
         "ticker", "position", "query_id", "rank", "vec_id", "label",
         *rounded("similarity_score", digits=6),
     )

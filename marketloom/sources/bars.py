@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +54,7 @@ def freshness(bars: DataFrame, end: Column) -> DataFrame:
 def latest_price(bars: DataFrame) -> DataFrame:
     """Per ticker: last close and the close before it, from its two newest bars."""
     newest = top_per_key(
-        bars.select("ticker", "date", "close"), ["ticker"], [F.col("date").desc()], 2, ["date"]
+        bars.select("ticker", "date", "close"), ["ticker"], [F.col("date").desc()], 2
     )
     return newest.groupBy("ticker").agg(
         F.max(F.when(F.col("rank") == 1, F.col("close"))).alias("last_price"),
@@ -101,8 +100,3 @@ def read_bars(
     if tickers is not None:
         bars = for_tickers(bars, tickers)
     return in_range(bars, start, end)
-
-
-def default_end() -> str:
-    """Today, the end of an open-ended range."""
-    return dt.date.today().isoformat()

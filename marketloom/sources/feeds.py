@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.functions.dates import instant
 from marketloom.functions.text import html_to_text, strip
 from marketloom.operators.ordering import top_per_key
 from marketloom.settings import DEFAULTS
@@ -25,6 +26,18 @@ RSS_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "ticker")]
 )
 
+ATOM_SCHEMA = T.StructType([
+    T.StructField("title", T.StructType([
+        T.StructField("_VALUE", T.StringType()), T.StructField("_type", T.StringType()),
+    ])),
+    T.StructField("link", T.ArrayType(T.StructType([
+        T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType()),
+    ]))),
+    T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()),
+    T.StructField("ticker", T.StringType()),
+])
+
 LISTING_SCHEMA = T.StructType([
     T.StructField("ticker", T.StringType()),
     T.StructField("subreddit", T.StringType()),
@@ -40,27 +53,17 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 
-def feed_date(published: Column) -> Column:
-    """Feed date as a UTC timestamp without zone; null if unreadable.
+def rss_items(items: DataFrame, source: str, markup: bool = True) -> DataFrame:
+    """Feed items (title, link, pubDate, ticker) as articles; blank titles are skipped.
 
-    The weekday is cut off first: it is redundant and the parser does not accept it.
+    ``markup=False`` leaves tags and entities of the titles as they are.
     """
-    day = F.regexp_replace(published, r"^[A-Za-z]{3},\s*", "")
-    clock = F.regexp_replace(day, r"\s*(GMT|UTC|Z|\+0000)$", "")
-    return F.to_timestamp_ntz(
-        F.when(clock.rlike(r"^\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}$"), clock),
-        F.lit("dd MMM yyyy HH:mm:ss"),
-    )
-
-
-def rss_items(items: DataFrame, source: str, markup: bool = True) -> DataFrame:
-    """Feed items (title, link, pubDate, ticker) as articles; blank titles are skipped."""
     title = strip(F.col("title"))
     headline = html_to_text(title) if markup else title
     return (
         items.select(
             headline.alias("headline"),
-            feed_date(F.col("pubDate")).alias("date"),
+            instant(F.col("pubDate")).alias("date"),
             F.lit(source).alias("source"),
             "ticker",
             F.coalesce("link", F.lit("")).alias("url"),
@@ -69,10 +72,22 @@ def rss_items(items: DataFrame, source: str, markup: bool = True) -> DataFrame:
     )
 
 
-def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Scan landed RSS files; every ``item`` element is one article."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_SCHEMA).load(path)
-    return rss_items(items, source)
+def atom_entries(entries: DataFrame) -> DataFrame:
+    """Atom entries as feed items: the alternate link, and the day of publication or change."""
+    alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return entries.select(
+        F.col("title._VALUE").alias("title"),
+        F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"]).alias("link"),
+        F.coalesce("published", "updated").alias("pubDate"), "ticker",
+    )
+
+
+def read_rss(spark: SparkSession, path: str, source: str, markup: bool = True) -> DataFrame:
+    """Scan landed RSS and Atom files; every ``item`` and every ``entry`` is one article."""
+    xml = spark.read.format("xml")
+    items = xml.option("rowTag", "item").schema(RSS_SCHEMA).load(path)
+    entries = xml.option("rowTag", "entry").schema(ATOM_SCHEMA).load(path)
+    return rss_items(items.unionByName(atom_entries(entries)), source, markup)
 
 
 def reddit_posts(listings: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ def newest_articles(
     """Union of the sources, newest ``limit`` articles per ticker, undated ones last."""
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
     order = [F.col("date").desc_nulls_last(), *[F.col(c) for c in tie_break]]
-    return top_per_key(union, ["ticker"], order, limit, salt_on=tie_break, rank="position")
+    return top_per_key(union, ["ticker"], order, limit, rank="position")
 
 
 def with_company(articles: DataFrame, companies: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.dates import instant
 from marketloom.operators.ordering import keep_first, nulls_last
 from marketloom.settings import DEFAULTS
 
@@ -52,9 +53,16 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _stamp(df: DataFrame, name: str) -> Column:
+    """A date column as a UTC timestamp; one that is a date or time already is only cast."""
+    if dict(df.dtypes)[name] == "string":
+        return instant(_quoted(name))
+    return _quoted(name).cast("timestamp_ntz")
+
+
 def standardize(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Headline, date, ticker, source under their standard names, with defaults for the last
-    three. Dates that cannot be parsed become null. ``keep`` passes further columns through."""
+    three. Dates are read in all forms of ``instant``; what names no day becomes null. ``keep`` passes further columns through."""
     headline = find_column(df.columns, HEADLINE_NAMES)
     if headline is None:
         raise ValueError(f"no headline column among {df.columns}; expected one of {HEADLINE_NAMES}")
@@ -62,7 +70,7 @@ def standardize(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ticker = find_column(df.columns, TICKER_NAMES)
     source = find_column(df.columns, SOURCE_NAMES)
     stamp = (
-        F.expr(f"try_cast(`{date}` as timestamp_ntz)") if date
+        _stamp(df, date) if date
         else F.lit(None).cast("timestamp_ntz")
     )
     return df.select(

@@ -146,11 +146,14 @@ def test_small_report_expressions(spark):
     assert row["f"][:3] == ["ZZ", "V", "AAPL"] and row["f"].count("V") == 1
 
 
-def test_symbol_lookup_within_one_edit(spark):
-    names = spark.createDataFrame([("AAPL", "Apple"), ("GOOGL", "Google")], "symbol string, name string")
-    inputs = spark.createDataFrame([("aple",), ("Googgle",), ("aapl",), ("btc-usd",)], "input string")
+def test_symbol_lookup_takes_the_nearest(spark):
+    names = spark.createDataFrame([("AAPL", "Apple"), ("GOOGL", "Google"), ("MSFT", "Microsoft")], "symbol string, name string")
+    inputs = spark.createDataFrame([("aple",), ("Googgle",), ("aapl",), ("btc-usd",), ("Micrsft",), ("xyz",)], "input string")
     got = {r["input"]: r["symbol"] for r in rp.resolve_symbols(inputs, names).collect()}
-    assert got == {"aple": "AAPL", "Googgle": "GOOGL", "aapl": "AAPL", "btc-usd": "BTC-USD"}
+    assert got == {"aple": "AAPL", "Googgle": "GOOGL", "aapl": "AAPL", "btc-usd": "BTC-USD",
+                   "Micrsft": "MSFT", "xyz": "XYZ"}
+    near = rp.resolve_symbols(inputs, names, max_distance=1).collect()
+    assert {r["input"]: r["symbol"] for r in near}["Micrsft"] == "MICRSFT"
 
 
 def test_loss_floors_logs_and_cards_have_defaults(spark):

@@ -37,7 +37,7 @@ def by_key(rows):
     return out
 
 
-@pytest.mark.parametrize("alpha", [1 / 14, 2 / 27, 0.2])
+@pytest.mark.parametrize("alpha", [1 / 200, 1 / 21, 1 / 14, 2 / 27, 0.2, 2 / 3, 0.99, 1.0])
 def test_smoothing_equals_the_recursion(ticks, alpha):
     rows, df = ticks
     got = sr.smooth(
@@ -49,13 +49,16 @@ def test_smoothing_equals_the_recursion(ticks, alpha):
             assert got[key, at] == pytest.approx(want, rel=1e-12)
 
 
-def test_smoothing_rejects_alphas_that_overflow(ticks):
-    with pytest.raises(ValueError):
-        sr.smooth(ticks[1], {"y": ("value", 0.9, 0)}, ["key"], "at")
+def test_smoothing_rejects_what_is_no_alpha(ticks):
+    for alpha in (0, -0.1, 1.1):
+        with pytest.raises(ValueError):
+            sr.smooth(ticks[1], {"y": ("value", alpha, 0)}, ["key"], "at")
 
 
-def test_inverse_weights_stay_finite():
-    assert sr.largest_inverse_weight(0.5) < 1e300
+def test_blocks_of_every_alpha_decay_and_stay_finite():
+    for alpha in (1e-4, 1 / 50, 1 / 14, 0.5, 0.51, 0.9, 0.9999):
+        rows = sr.block_rows(alpha)
+        assert (1 - alpha) ** rows < 1e-27 and (1 - alpha) ** -float(rows - 1) < 1e300
 
 
 def test_chunked_series_equal_whole_series(ticks):
@@ -104,7 +107,7 @@ def test_numbering_positions_and_medians(ticks):
 
 def test_top_and_first_per_key(ticks):
     rows, df = ticks
-    top = od.top_per_key(df, ["key"], [F.col("value").desc(), F.col("at")], 7, ["at"]).collect()
+    top = od.top_per_key(df, ["key"], [F.col("value").desc(), F.col("at")], 7).collect()
     first = od.keep_first(df, ["key"], [F.col("at")]).collect()
     for key, series in by_key(rows).items():
         want = sorted(series, key=lambda s: (-s[1], s[0]))[:7]
