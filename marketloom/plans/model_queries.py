@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import models as md
 from marketloom.operators import splits as sp
 from marketloom.operators.features import trim
-from marketloom.plans.feature_queries import scaled_features
+from marketloom.plans.feature_queries import FEATURES_SQL, scaled_features
 from marketloom.plans.price_queries import INDICATORS_SQL, indicators, rounded, rounded_sql
 from marketloom.plans.registry import query
 from marketloom.plans.tables import table
@@ -112,3 +112,73 @@ def g5(spark, sf_dir):
         "ticker", "predicted_direction", "direction_label",
         *rounded("confidence", "predicted_return"),
     )
+
+
+# What SQL can say of the fits: the closed form of one feature, the keys, ranges and round trips.
+_TEST_KEYS_SQL = FEATURES_SQL + """,
+test_keys AS (SELECT ticker, date FROM (
+    SELECT ticker, date, split, count(*) OVER (PARTITION BY ticker, split ORDER BY date
+      ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS c FROM split) WHERE c = 30 AND split = 'test')"""
+
+
+@query(
+    "g1_linear_fit",
+    f"""WITH RECURSIVE {INDICATORS_SQL}, rows AS (SELECT returns AS x, target_return AS y
+      FROM indicators WHERE rn >= 25 AND next_date IS NOT NULL)
+    SELECT count(*) AS n, round(regr_slope(y, x), 4) AS slope,
+      round(regr_intercept(y, x), 4) AS intercept FROM rows""",
+)
+def g1_linear(spark, sf_dir):
+    """Without penalty and on one feature the return model is the least-squares line."""
+    rows = md.samples(trim(indicators(spark, sf_dir)).select(
+        "target_direction", "target_return", F.array(F.array("returns")).alias("sequence")
+    ))
+    line = md.fit(rows, 0.0, iterations=100).returns
+    return rows.filter(F.col("target_return").isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.lit(float(line.coefficients[0])), 4).alias("slope"),
+        F.round(F.lit(float(line.intercept)), 4).alias("intercept"),
+    )
+
+
+@query(
+    "g2_choice",
+    "SELECT penalty, true AS as_computed FROM (VALUES (0.001e0), (0.01e0), (0.1e0)) AS t(penalty)",
+)
+def g2_choice(spark, sf_dir):
+    """Whether each penalty is marked as chosen exactly if its total loss is the least."""
+    rows = samples(spark, sf_dir)
+    table_ = md.select(_part(rows, "train"), _part(rows, "val"))[1]
+    least = table_.agg(F.min("total_loss")).first()[0]
+    return table_.select("penalty", (F.col("chosen") == (F.col("total_loss") == least)).alias("as_computed"))
+
+
+@query(
+    "g4_prediction_keys",
+    f"WITH RECURSIVE {_TEST_KEYS_SQL} SELECT ticker, date, true AS in_range, true AS labelled FROM test_keys",
+)
+def g4_keys(spark, sf_dir):
+    """One prediction a test window: a probability, and the label that follows from it."""
+    p = F.col("probability")
+    return g4(spark, sf_dir).select(
+        "ticker", "date", p.between(0.0, 1.0).alias("in_range"),
+        (F.col("predicted") == (p > 0.5).cast("int")).alias("labelled"),
+    )
+
+
+@query(
+    "g6_round_trip",
+    f"WITH RECURSIVE {_TEST_KEYS_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM test_keys",
+)
+def g6_round_trip(spark, sf_dir):
+    """A stored and loaded model predicts what the fitted one does."""
+    rows = samples(spark, sf_dir)
+    path = new_path(spark, "models")
+    fitted = md.fit(_part(rows, "train"), 0.01)
+    fitted.save(path)
+    before, after = (
+        md.predict(m, _part(rows, "test")).select("ticker", "date", F.struct("probability", "predicted_return").alias(n))
+        for m, n in ((fitted, "a"), (md.Models.load(path), "b"))
+    )
+    both = before.join(after, ["ticker", "date"])
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("different"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.sources.bars import daily_bars
-from marketloom.workspace import spread
 
 BRANDS = 25
 FIRST_DAY = "1995-01-02"
@@ -17,6 +16,12 @@ DAYS = 2499
 SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows of a test table whose one file is too few tasks for the cores here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one provided table; costly ones that come in too few splits are spread."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")

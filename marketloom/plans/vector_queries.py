@@ -86,12 +86,19 @@ def d1(spark, sf_dir):
 
 @query(
     "d2_append",
-    "SELECT vec_id, label FROM embeddings UNION ALL "
-    "SELECT vec_id + 1000000, label FROM embeddings",
+    f"WITH {_STRETCHED_SQL} SELECT vec_id + more AS vec_id, label, "
+    "round(list_dot_product(v, v), 6) AS norm, round(v[1], 6) AS first_entry "
+    f"FROM (SELECT *, {unit_sql('embedding')} AS v FROM stretched), (VALUES (0), (1000000)) AS t(more)",
 )
 def d2(spark, sf_dir):
     more = stretched(spark, sf_dir).withColumn("vec_id", F.col("vec_id") + 1000000)
-    return sm.append(vector_index(spark, sf_dir), more).select("vec_id", "label")
+    v = F.col("embedding")
+    return sm.append(vector_index(spark, sf_dir), more).select(
+        "vec_id", "label",
+        F.round(F.aggregate(F.zip_with(v, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6)
+        .alias("norm"),
+        F.round(v[0], 6).alias("first_entry"),
+    )
 
 
 @query(

@@ -28,9 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/marketloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/marketloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the run folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.
+
+    Results are read from them, so call it when the results are stored. Tables of other applications
+    in the same shared folder stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -39,13 +54,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over the cores when their files split into fewer tasks than there are cores.
-
-    A file with one row group is one task however costly its rows are. Tables with enough splits
-    are left as they are, so large scans are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

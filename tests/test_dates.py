@@ -68,3 +68,15 @@ def test_score_blocks_stay_small(count):
         similarity._best_of_slice = plain
     assert max(seen) <= similarity.SLICE_QUERIES and len(best) == 5 * count
     assert (best["vec_id"].to_numpy()[::5] == np.argmax(np.round(queries @ vectors.T, 9), axis=1)).all()
+
+
+def test_a_runs_tables_can_be_cleared(spark):
+    import os
+
+    from marketloom.workspace import clear, run_folder, written
+
+    assert written(spark.range(5), "five").count() == 5
+    folder = run_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    clear(spark)
+    assert not os.path.exists(folder)
