@@ -41,6 +41,7 @@ FREQUENT_AT_LEAST = 16
 FREQUENT_AT_MOST = 200_000
 _CHUNK_BYTES = 1 << 22
 _SUFFIX_BYTES = 1 << 20
+_TASK_CONTEXTS = 20_000
 _SPARE = 16
 _NO_ID = (1 << 63) - 1
 
@@ -340,9 +341,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut_contexts, _CUT),
         "contexts",
     )
+    # by rows, not bytes: contexts are small and sorting their suffixes is not
+    contexts_ = cut.filter(F.col("kind") == _CONTEXT)
     repeated = (
-        cut.filter(F.col("kind") == _CONTEXT).repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_repeated, _RANGE)
+        contexts_.repartition(contexts_.count() // _TASK_CONTEXTS + 1, "anchor")
+        .sortWithinPartitions("anchor").mapInArrow(_repeated, _RANGE)
     )
     later = _later_windows(cut.filter(F.col("kind") == _FREQUENT))
     removed = settled.filter(F.col("kind") == _REMOVED).select("doc", "mark", "low", "high")
