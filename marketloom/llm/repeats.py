@@ -40,7 +40,7 @@ SAMPLE_SHARE = 64
 FREQUENT_AT_LEAST = 16
 FREQUENT_AT_MOST = 200_000
 _CHUNK_BYTES = 1 << 22
-_SUFFIX_BYTES = 1 << 20
+_SUFFIX_BYTES = 1 << 19
 _TASK_CONTEXTS = 20_000
 _SPARE = 16
 _NO_ID = (1 << 63) - 1
