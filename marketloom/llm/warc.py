@@ -57,11 +57,18 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
         html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"),
         F.octet_length(html).alias("size"),
     )
-    kept = rows.groupBy(F.col("digest").alias("of"), F.col("size").alias("of_size")).agg(
-        F.max("page_id").alias("keeper")
+    # Only payloads that come more than once, written: few of them are joined without a shuffle of
+    # the pages, and many by plain shuffles, in which a payload of many pages can be split.
+    kept = written(
+        rows.groupBy(F.col("digest").alias("of"), F.col("size").alias("of_size"))
+        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        "copies",
     )
-    told = rows.join(kept, (F.col("digest") == F.col("of")) & (F.col("size") == F.col("of_size")))
-    revisit = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    told = rows.join(
+        kept, (F.col("digest") == F.col("of")) & (F.col("size") == F.col("of_size")), "left"
+    )
+    copied = F.col("of").isNotNull() & (F.col("size") >= least_bytes)
+    revisit = copied & ~F.col("page_id").eqNullSafe(F.col("keeper"))
 
     def name(page_id: Column) -> Column:
         return F.concat(F.lit(f"<{_RECORD}"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
