@@ -187,6 +187,14 @@ def _with_falls(days: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
+def ledger_of(
+    actual: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("ticker",),
+    order: str = "date", settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Ledger of returns in one table and predictions in another: the days both have."""
+    return ledger(actual.join(predicted, [*keys, order]), keys, order, settings)
+
+
 def strategy_summary(
     days: DataFrame, keys: Sequence[str] = ("ticker",), order: str = "date",
     settings: Settings = DEFAULTS,

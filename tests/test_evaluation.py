@@ -183,3 +183,13 @@ def test_models_fit_select_save_load(spark, tmp_path):
     models.save(str(tmp_path / "m"))
     again = md.predict(md.Models.load(str(tmp_path / "m")), data)
     assert again.filter("predicted = target_direction").count() > 100
+
+
+def test_ledger_of_two_tables_has_the_common_days(spark):
+    actual = spark.createDataFrame(
+        [("A", 1, 0.1), ("A", 2, -0.2), ("A", 3, 0.3)], "ticker string, date int, actual_return double"
+    )
+    predicted = spark.createDataFrame([("A", 2, 0), ("A", 3, 1), ("A", 4, 1)], "ticker string, date int, predicted int")
+    rows = ev.ledger_of(actual, predicted).orderBy("date").collect()
+    assert [r["date"] for r in rows] == [2, 3]
+    assert [r["position"] for r in rows] == [-1.0, 1.0] and rows[1]["cost"] > 0
