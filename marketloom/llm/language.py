@@ -25,7 +25,11 @@ ORDER = 4
 SAMPLE_DOCS = 2000
 CALIBRATION_SHARE = 5
 SPREAD_LIMIT = 4.0
+#: Share of a language's own calibration texts whose excess is accepted, and the nats a text that is
+#: added while a language has too few calibration texts to show that share.
+ACCEPTED = 0.995
 MARGIN = 0.8
+_ENOUGH = 20
 UNDETERMINED = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -316,11 +320,13 @@ def _calibrated(models: Models, sample: DataFrame, languages: list[str]) -> Mode
         here = own == i
         if not here.any():
             continue
-        weight = length[here] / length[here].sum()
-        models.mean[i] = mean[here] @ weight
-        models.spread[i] = spread[here] @ weight
+        # medians and a limit in median deviations, so that a few mislabelled texts move nothing
+        models.mean[i], models.spread[i] = np.median(mean[here]), np.median(spread[here])
         over = mean[here] - models.mean[i] - SPREAD_LIMIT * models.spread[i] / np.sqrt(length[here])
-        models.excess[i] = MARGIN + max(0.0, over.max())
+        middle = np.median(over)
+        robust = middle + SPREAD_LIMIT * 1.4826 * np.median(np.abs(over - middle))
+        tail = min(np.quantile(over, ACCEPTED, method="higher"), robust)
+        models.excess[i] = max(0.0, tail) + MARGIN * min(1.0, _ENOUGH / len(over))
     return models
 
 

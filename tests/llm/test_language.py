@@ -111,3 +111,23 @@ def test_odd_rows(odd_docs, odd_frame, empty_frame, spark):
     assert language.identify(empty_frame).collect() == []
     blank = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score, r.rejected) for r in language.identify(blank).collect()] == [("und", 0.0, True)]
+
+
+def test_mislabelled_texts_do_not_open_the_gate(spark):
+    """A related language (half its syllables shared) is rejected, also with texts of it under the wrong label."""
+    rng = random.Random(8)
+    own, other = ["ka", "to", "mi", "re", "sul", "pen"], ["ka", "to", "mi", "zo", "wug", "fla"]
+
+    def text(syllables):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(80))
+
+    rows = [(i, text(own), "xa") for i in range(600)]
+    marks = spark.range(600, 3000).select(
+        "id", (F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(language.CALIBRATION_SHARE)) == 0).alias("c")
+    ).filter("c").limit(2).collect()
+    rows += [(r.id, "qxz jjw vvkx zzqp wwxj " * 20, "xa") for r in marks]
+    models = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    _, _, rejected = models.predict([text(other) for _ in range(100)])
+    assert rejected.mean() > 0.95
+    _, _, rejected = models.predict([text(own) for _ in range(400)])
+    assert rejected.mean() <= 0.01
