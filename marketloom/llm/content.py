@@ -49,6 +49,7 @@ BOILERPLATE_WORDS = frozenset(
     "recommendations recirculation trending popular widget pagination pager tags copyright legal "
     "disclaimer skip search form widgets outbrain taboola contentinfo complementary".split()
 )
+WRAPPER_WORDS = frozenset("with has no without".split())
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
 
 
@@ -56,19 +57,21 @@ def stated(element: Element | None) -> int:
     """What the elements around a block state: 1 content, -1 boilerplate, 0 nothing.
 
     Boilerplate elements and readers' comments count wherever they are; a boilerplate class may be
-    a wrapper's ("with-sidebar"), so an article inside it overrides it. A header states
-    boilerplate unless it is an article's own.
+    a wrapper's, so an article inside it overrides it. Inside the article it counts, unless the class
+    says that it is a wrapper's ("with-sidebar"). A header states boilerplate unless it is an
+    article's own.
     """
-    inside, verdict = False, 0
+    inside, boxed, verdict = False, False, 0
     while element is not None and element.tag not in ("body", "html"):
         tag, words = element.tag, element.words
         if tag in BOILERPLATE_TAGS or words & READER_WORDS:
             return -1
         if tag in CONTENT_TAGS:
-            inside, verdict = True, 1
+            inside, verdict = True, -1 if boxed else 1
         elif not inside:
             if tag == "header" and not _within_article(element) or words & BOILERPLATE_WORDS:
                 verdict = -1
+                boxed = boxed or not words & WRAPPER_WORDS
             elif not verdict and words & CONTENT_WORDS:
                 verdict = 1
         if tag in CONTENT_TAGS and words & BOILERPLATE_WORDS and not words & CONTENT_WORDS:

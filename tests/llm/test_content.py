@@ -77,3 +77,14 @@ def test_training_learns_the_look(spark):
     pages = [(i, "u", f"<nav><a>Link {i}</a><a>More</a></nav><article><p>Some sentence {i}, with words. And more.</p></article>") for i in range(50)]
     weights = content.train(spark.createDataFrame(pages, "page_id long, url string, html string")).weights
     assert weights["links 0"] > 0 > weights["links 4"]
+
+
+@pytest.mark.parametrize("outer", ["main", "article"])
+@pytest.mark.parametrize("box", ["ad", "cookie-notice", "sidebar", "post-share", "related posts"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_boxes_inside_the_article_are_boilerplate(outer, box, tag):
+    text = "The story is told in a sentence or two, with commas. And there is more of it to read here."
+    note = "Buy this thing now, it is cheap and good. We promise that you will not regret it, ever."
+    page = f"""<div class="page with-sidebar ad"><{outer}><h1>Head</h1><p>{text}</p><{tag} class="{box}"><p>{note}</p></{tag}>
+    <div class="layout with-sidebar"><p>{text}</p></div></{outer}></div>"""
+    assert content.main_text(page, PLAIN).split("\n") == ["Head", text, text]
