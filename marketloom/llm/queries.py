@@ -99,6 +99,44 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.ranked import build, search
+
+    return search(build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL
+), docs AS (SELECT row, doc_id, words, len(words) AS n FROM doc_words WHERE len(words) > 0),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+normed AS (SELECT row, doc_id, words, 100 - 90 + (90 * n * big_n) // big_l AS m FROM docs, totals),
+counts AS (
+  SELECT row, doc_id, m, term, count(*) AS tf
+  FROM (SELECT row, doc_id, m, unnest(words) AS term FROM normed) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals GROUP BY term, big_n
+), items AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), scored AS (
+  SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN counts USING (term) JOIN weights USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
