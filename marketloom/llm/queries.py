@@ -137,6 +137,13 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 1
 """
 
 
+@_query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.licenses import license_report
+
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
