@@ -247,13 +247,6 @@ TITLE_WORDS = ("licen[sc]e", "creative commons", "cc by nc", "cc by sa", "cc by
 SENTENCE, NOTICE, TITLE = 3, 2, 1
 CONFIDENCE = {SENTENCE: 1.0, NOTICE: 0.9, TITLE: 0.6}
 
-#: One of these is in every text that any rule matches; most texts hold none.
-GATE = (
-    "licen", "spdx", "copyright", "public domain", "permission", "redistribut", "creative", " cc by ", " cc0 ", "wtfpl",
-    " under ", " org ", "perl itself", "software", "proprietary", "change date", "as a service", "what the fuck", "may not be",
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     """A pattern over normalised words; ``order`` decides between rules equal in all else."""
@@ -261,7 +254,7 @@ class Rule:
     name: str
     label: str
     priority: int
-    keywords: tuple[bytes, ...]
+    keywords: tuple[bytes, ...]  # all are in every text that matches
     pattern: re.Pattern
     order: int
 

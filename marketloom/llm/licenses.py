@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules.
 
 Each text is reduced to its lower-case words. A keyword prefilter decides which rules can match at
-all: few texts pass the common gate, and in those a rule runs only if all its keywords are there.
+all: a rule runs only on texts that hold all its keywords, which few do.
 Matches are intervals of words. One that lies inside an interval of higher priority, or inside a
 longer or earlier-ruled one of the same priority, is suppressed, so "GNU Lesser General Public
 License" is no GPL. The base phrases (``license_rules.BASE``) are always reported.
@@ -17,22 +17,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.license_rules import BASE, CONFIDENCE, GATE, NOTICE, Rule, rules
+from marketloom.llm.license_rules import BASE, CONFIDENCE, NOTICE, Rule, rules
 from marketloom.llm.words import chunks, folded
 
 _HIT = "label string, rule string, base boolean, start bigint, end bigint, kept boolean, confidence double"
 _HITS = f"doc_id bigint, n_words bigint, hits array<struct<{_HIT.replace(' ', ':').replace(',:', ',')}>>"
 _BASE_PHRASES = [(f" {phrase} ".encode(), label) for phrase, label in BASE]
-_GATE = [word.encode() for word in GATE]
 
 
 @cache
-def _by_keyword() -> list[tuple[bytes, list[Rule]]]:
-    """The rules by their rarest keyword, the last one; the others are looked up after it."""
-    found: dict[bytes, list[Rule]] = {}
+def _by_keyword() -> list[tuple[bytes, list[tuple[bytes, list[Rule]]]]]:
+    """The rules by their first keyword, and within it by their last."""
+    found: dict[bytes, dict[bytes, list[Rule]]] = {}
     for rule in rules():
-        found.setdefault(rule.keywords[-1], []).append(rule)
-    return list(found.items())
+        found.setdefault(rule.keywords[0], {}).setdefault(rule.keywords[-1], []).append(rule)
+    return [(first, list(some.items())) for first, some in found.items()]
+
+
+def _possible(text: bytes) -> Iterator[Rule]:
+    """The rules whose keywords are all in the text."""
+    for first, some in _by_keyword():
+        if first in text:
+            for last, found in some:
+                if last in text:
+                    yield from found
 
 
 def _places(text: bytes, phrase: bytes) -> list[int]:
@@ -71,16 +79,11 @@ def scan(text: bytes) -> tuple[int, list[dict]]:
         (at, at + len(phrase) - 1, label, "base", NOTICE, -1)
         for phrase, label in _BASE_PHRASES if phrase in plain for at in _places(plain, phrase)
     ]
-    if any(word in plain for word in _GATE):
-        for keyword, some in _by_keyword():
-            if keyword not in plain:
-                continue
-            for rule in some:
-                if all(k in plain for k in rule.keywords[:-1]):
-                    found += [
-                        (m.start(), m.end(), rule.label, rule.name, rule.priority, rule.order)
-                        for m in rule.pattern.finditer(plain)
-                    ]
+    for rule in _possible(plain):
+        found += [
+            (m.start(), m.end(), rule.label, rule.name, rule.priority, rule.order)
+            for m in rule.pattern.finditer(plain)
+        ]
     if not found:
         return len(words), []
     spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)

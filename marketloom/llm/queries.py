@@ -137,6 +137,18 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 1
 """
 
 
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from marketloom.llm.alignment import alignment_report
+
+    return alignment_report(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
 @_query
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.licenses import license_report

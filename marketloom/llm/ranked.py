@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from marketloom.llm.words import chunks, cut
 from marketloom.workspace import written
@@ -244,6 +244,18 @@ class _Best:
         self.scores, self.ids, self.unnamed = scores[order], ids[order], unnamed[order]
 
 
+def _visit(strata: list[_Stratum], best: list[_Best], terms: list[np.ndarray], weights: np.ndarray) -> None:
+    """Score the slices for each item in order of their bounds, as far as the bounds can matter."""
+    if not strata:
+        return
+    for mine, item_terms in zip(best, terms):
+        bounds = np.array([s.most[item_terms].sum() for s in strata])
+        for at in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[at] < mine.least():
+                break
+            mine.add(strata[at].scores(item_terms, weights), strata[at].doc_ids)
+
+
 def _searched(index: Index, block: _Block, id_type: pa.DataType, kind: str, k: int) -> DataFrame:
     """The k best documents of each item of a block in every task."""
     df = _frequencies(index, block.vocabulary)
@@ -252,16 +264,6 @@ def _searched(index: Index, block: _Block, id_type: pa.DataType, kind: str, k: i
     )
     terms = [block.terms[a:b] for a, b in zip(block.starts, block.starts[1:])]
 
-    def visit(strata: list[_Stratum], best: list[_Best]) -> None:
-        if not strata:
-            return
-        for mine, item_terms in zip(best, terms):
-            bounds = np.array([s.most[item_terms].sum() for s in strata])
-            for at in np.argsort(-bounds, kind="stable").tolist():
-                if bounds[at] < mine.least():
-                    break
-                mine.add(strata[at].scores(item_terms, weights), strata[at].doc_ids)
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(k) for _ in terms]
         strata, held = [], 0
@@ -271,9 +273,9 @@ def _searched(index: Index, block: _Block, id_type: pa.DataType, kind: str, k: i
                 strata.append(_Stratum(row, block.vocabulary, weights))
                 held += len(strata[-1].posts) + len(block.vocabulary)
                 if held >= HELD_POSTINGS:
-                    visit(strata, best)
+                    _visit(strata, best, terms, weights)
                     strata, held = [], 0
-        visit(strata, best)
+        _visit(strata, best, terms, weights)
         counts = [len(b.scores) for b in best]
         unnamed = np.concatenate([b.unnamed for b in best])
         yield pa.RecordBatch.from_arrays([
@@ -308,6 +310,6 @@ def search(index: Index, items: DataFrame, k: int = K) -> DataFrame:
         ranked = written(ranked.select("item_id", "rank", "doc_id", "score"), "ranked")
         found = ranked if found is None else found.unionByName(ranked)
     if found is None:
-        schema = StructType([StructField("item_id", kind)]).add("rank", "int").add("doc_id", "bigint")
-        return spark.createDataFrame([], schema.add("score", "bigint"))
+        rest = [StructField(n, t()) for n, t in (("rank", IntegerType), ("doc_id", LongType), ("score", LongType))]
+        return spark.createDataFrame([], StructType([StructField("item_id", kind), *rest]))
     return found
