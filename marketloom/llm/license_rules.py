@@ -187,22 +187,22 @@ epl-1 | eclipse public | this program and the accompanying materials are made av
 epl-2 | eclipse public | this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? ?2 0
 epl | eclipse org legal | eclipse org legal epl v?[12]0?
 cddl-1 | common development | the contents of this file are subject to the terms of the common development and distribution license
-eupl | european union public | licensed under the eupl version 1 [012]
+eupl | eupl | licensed under the eupl version 1 [012]
 osl-3 | open software | licensed under the open software license version 3 0
 afl-3 | academic free | licensed under the academic free license version 3 0
 artistic-2 | artistic | under the terms of the artistic license 2 0
 perl | same terms as perl | under the same terms as perl itself
 bsl-1 | boost org license | boost org license 1 0 txt
-bsl-1 | machine executable object code | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+bsl-1 | permission is hereby granted | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | unlicense org | unlicense org
 wtfpl | you just do what | you just do what the fuck you want to
 zlib | as is without any express | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
 zlib | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
-curl | curl | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+curl | permission to use copy | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 php-3 | php | this product includes php software freely available from
-python-2 | python software foundation | psf hereby grants licensee a nonexclusive royalty free world wide license
+python-2 | psf hereby grants | psf hereby grants licensee a nonexclusive royalty free world wide license
 postgresql | university of california | in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages
 ncsa | documentation files | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction
 w3c | w3c | copyright [\w ]{1,60}? w3c(?: mit ercim keio(?: beihang)?)?
