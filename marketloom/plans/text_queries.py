@@ -111,6 +111,36 @@ def a4_mixed(spark, sf_dir):
     return hl.standardize(raw, keep=["event_id"]).select("event_id", "date")
 
 
+_DATE_FORMS = (
+    # pattern, hours its clock is ahead of UTC, text behind it, the part that it names
+    ("yyyy-MM", 0, "", "month"), ("MMM yyyy", 0, "", "month"), ("yyyy", 0, "", "year"),
+    ("yyyy-MM-dd ha", 0, "", "hour"), ("yyyy-MM-dd'T'HH", 0, "", "hour"),
+    ("yyyyMMdd'T'HHmmss", 0, "Z", "second"), ("yyyyMMddHHmmss", 0, "", "second"),
+    ("MMM-dd-yyyy", 0, "", "day"), ("ddMMMyyyy", 0, "", "day"),
+    ("EEE, dd MMM yyyy HH:mm:ss", 5, " GMT+0500", "second"), ("EEE MMM d HH:mm:ss 'EST' yyyy", -5, "", "second"),
+    ("d MMMM yyyy 'at' h:mm a", 1, " CET", "minute"), ("yyyy-MM-dd HH:mm", 9, " JST", "minute"),
+    ("EEE, dd MMM yyyy HH:mm:ss", 0, " QQT", None), ("yyyy.MM.dd HH:mm:ss", 2, "+02:00", "second"),
+)
+
+
+@query(
+    "a4_date_forms",
+    f"SELECT event_id, CASE event_id % {len(_DATE_FORMS)} "
+    + " ".join(
+        f"WHEN {at} THEN " + (f"date_trunc('{part}', ts)::TIMESTAMP" if part else "NULL")
+        for at, (_, _, _, part) in enumerate(_DATE_FORMS)
+    ) + " END AS date FROM events",
+)
+def a4_forms(spark, sf_dir):
+    """The instants of events, each written in one of many forms; a form names the instant up to a part."""
+    kind, shown = F.col("event_id") % len(_DATE_FORMS), F.lit(None)
+    for at, (pattern, hours, behind, _) in enumerate(_DATE_FORMS):
+        there = F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), pattern)
+        shown = F.when(kind == at, F.concat(there, F.lit(behind))).otherwise(shown)
+    raw = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"), shown.alias("published"))
+    return hl.standardize(raw, keep=["event_id"]).select("event_id", "date")
+
+
 @query("a15_references", "SELECT doc_id, text AS headline FROM documents")
 def a15_references(spark, sf_dir):
     """Whole texts with their accents, capitals and ampersands written as character references."""

@@ -17,6 +17,33 @@ DATES = {
     "2020-06-05 10:30:54-04:00": "2020-06-05 14:30:54", "13/05/2020": "2020-05-13 00:00:00",
     "Jun. 5th, 2020 12:30 am": "2020-06-05 00:30:00", "2024-03-05 09:00:00 +0000 UTC": "2024-03-05 09:00:00",
     "2020-06-05T10:30:54.123456+05:30": "2020-06-05 05:00:54.123456", "yesterday": None, "2020-02-30": None, "": None,
+    # parts alone
+    "2024-03": "2024-03-01 00:00:00", "03/2024": "2024-03-01 00:00:00", "Mar 2024": "2024-03-01 00:00:00",
+    "2024": "2024-01-01 00:00:00", "2024 March": "2024-03-01 00:00:00", "September 2024": "2024-09-01 00:00:00",
+    # clocks
+    "2024-03-05 9am": "2024-03-05 09:00:00", "5 March 2024 at 10:30 p.m. EST": "2024-03-06 03:30:00",
+    "2024-03-05T09": "2024-03-05 09:00:00", "2024-03-05T0915": "2024-03-05 09:15:00",
+    "20240305T090000Z": "2024-03-05 09:00:00", "20240305090000": "2024-03-05 09:00:00", "202403050915": "2024-03-05 09:15:00",
+    "20240305T09": "2024-03-05 09:00:00", "2024-03-05 12 PM": "2024-03-05 12:00:00", "2024-03-05 09:00:00,5": "2024-03-05 09:00:00.500000",
+    "20240305T090000+0530": "2024-03-05 03:30:00", "Mar 5 2024 9:05PM": "2024-03-05 21:05:00",
+    # orders and glue
+    "Mar-05-2024": "2024-03-05 00:00:00", "05Mar2024": "2024-03-05 00:00:00", "2024-Mar-05": "2024-03-05 00:00:00",
+    "05-Mar-24": "2024-03-05 00:00:00", "5. March 2024": "2024-03-05 00:00:00", "the 5th of March, 2024": "2024-03-05 00:00:00",
+    "Tue Mar  5 09:00:00 2024": "2024-03-05 09:00:00", "Tue Mar 05 09:00:00 EST 2024": "2024-03-05 14:00:00",
+    "Sept 5, 2024": "2024-09-05 00:00:00", "5.3.2024": "2024-05-03 00:00:00", "25.3.2024": "2024-03-25 00:00:00",
+    "03/05/99": "1999-03-05 00:00:00",
+    # zones
+    "Tue, 05 Mar 2024 09:00:00 GMT+0530": "2024-03-05 03:30:00", "2024-03-05 09:00 GMT-5": "2024-03-05 14:00:00",
+    "Tue Mar 05 2024 09:00:00 GMT+0530 (India Standard Time)": "2024-03-05 03:30:00",
+    "05 Mar 2024 09:00:00 CET": "2024-03-05 08:00:00", "05 Mar 2024 09:00:00 IST": "2024-03-05 03:30:00",
+    "05 Mar 2024 09:00 BST": "2024-03-05 08:00:00", "05 Mar 2024 09:00:00 -0500 (EST)": "2024-03-05 14:00:00",
+    "05 Mar 2024 09:00:00 (PST)": "2024-03-05 17:00:00", "2024-03-05+01:00": "2024-03-04 23:00:00",
+    "05 Mar 2024 09:00:00 QQT": None, "05 Mar 2024 09:00:00 Europe/Berlin": None,
+    # no dates
+    "12:30": None, "Mar 5": None, "5": None, "2024-13": None, "2024-03-05 25:00": None, "2024-03-05 10:61": None,
+    "2024-03-05 13pm": None, "2024-03-05 09:00:60": None, "1, 2, 3, 4": None, "9:00 2024-03-05 10:00": None,
+    "Mar Apr 2024": None, "about 2024-03-05": None, "2024-03-05 #1": None, "0001-01-01": None, "9999-12-31": None, "March": None,
+    "2024-03-05 09:00:00+99:00": None, "123456789": None, "５ März 2024": None,
 }
 
 
