@@ -25,27 +25,105 @@ def nulls_last(column: Column) -> list[Column]:
     return [column.isNull(), column]
 
 
+#: Bits of an order column by its type; other types cannot be packed.
+_WIDTHS = {"boolean": 1, "tinyint": 8, "smallint": 16, "int": 32, "date": 32, "bigint": 64, "timestamp": 64, "timestamp_ntz": 64}
+#: What a decimal of 38 digits holds, and what a long without its sign holds.
+_DECIMAL_BITS, _LONG_BITS = 126, 63
+
+
+def packed(
+    df: DataFrame, order: Sequence[Column | str], widths: Sequence[int] | None = None
+) -> Column | None:
+    """One number that sorts as the columns of ``order`` do, nulls first; None if they do not fit.
+
+    A minimum by a number is kept in an updatable buffer, so such aggregates are hashed and need
+    no sort of whole rows. ``widths`` gives the bits of columns that are known to hold whole numbers
+    from 0 to below 2 to that power; a value outside raises. Without widths the type decides: flags,
+    whole numbers, dates and timestamps can be packed.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    fields = df.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)]).schema
+    numbers = ("bigint", "decimal(38,0)")
+    if len(columns) == 1 and not fields[0].nullable and fields[0].dataType.simpleString() in numbers:
+        return columns[0]
+    if widths is not None:
+        parts = [
+            (F.when(c.between(0, (1 << w) - 1), c.cast("bigint")).otherwise(
+                F.raise_error(F.lit(f"order column {i} is null or beyond {w} bits"))
+            ), w) for i, (c, w) in enumerate(zip(columns, widths))
+        ]
+    else:
+        parts = []
+        for field, column in zip(fields, columns):
+            width = _WIDTHS.get(field.dataType.simpleString())
+            if width is None:
+                return None
+            parts += ([(column.isNotNull().cast("bigint"), 1)] if field.nullable else []) + [
+                _counted_up(column, field.dataType.simpleString(), width)
+            ]
+    if sum(width for _, width in parts) > _DECIMAL_BITS:
+        return None
+    limbs: list[tuple[Column, int]] = []
+    for value, width in parts:
+        if limbs and limbs[-1][1] + width <= _LONG_BITS:
+            limbs[-1] = F.shiftleft(limbs[-1][0], width).bitwiseOR(value), limbs[-1][1] + width
+        else:
+            limbs.append((value, width))
+    whole = limbs[0][0]
+    for value, width in limbs[1:]:
+        scale = F.lit(str(1 << width)).cast("decimal(38,0)")
+        whole = (whole.cast("decimal(38,0)") * scale + value.cast("decimal(38,0)")).cast("decimal(38,0)")
+    return whole
+
+
+def _counted_up(column: Column, kind: str, width: int) -> tuple[Column, int]:
+    """A column as a number from 0 on, null as 0, and its bits."""
+    if kind == "date":
+        number = F.datediff(column, F.lit("1970-01-01").cast("date")).cast("bigint")
+    elif kind.startswith("timestamp"):
+        number = F.unix_micros(column.cast("timestamp"))
+    else:
+        number = column.cast("int").cast("bigint") if kind == "boolean" else column.cast("bigint")
+    if kind == "boolean":
+        return F.coalesce(number, F.lit(0).cast("bigint")), 1
+    if width < 64:
+        return F.coalesce(number + F.lit(1 << (width - 1)), F.lit(0).cast("bigint")), width
+    shifted = number.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.coalesce(shifted, F.lit(0).cast("decimal(20,0)")), 64
+
+
+def _text_key(df: DataFrame, column: Column) -> Column:
+    """The column itself if it has a fixed width, else its SHA-256: no two texts are known to share one."""
+    kind = df.select(column.alias("k")).schema["k"].dataType.simpleString()
+    return F.unhex(F.sha2(column.cast("string"), 256)) if kind == "string" else column
+
+
 def keep_first(
     df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column],
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The first row of each key by ``order``; copies collapse before the shuffle.
+    """The first row of each key by ``order``, fetched late.
 
-    A key column travels once, as the key, and not again in the row. ``names`` adds computed keys to
-    the result under these names (null for those that are columns already).
+    The rows are written with a number. Only digests of the keys, the packed order and the number
+    are aggregated, in hash tables and before the shuffle; the numbers of the first rows then fetch
+    the rows, so a text moves at most once and copies of it never do. ``names`` adds computed
+    keys to the result under these names (null for those that are columns already). An order that cannot be
+    packed (``packed``) is compared as a whole row instead. Among rows of equal order any may stay.
     """
     given = list(names or [None] * len(keys))
-    own = {k: f"_key{i}" for i, k in enumerate(keys) if isinstance(k, str)}
-    rest = [c for c in df.columns if c not in own]
-    keyed = df.groupBy(*[
-        (F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(keys)
-    ])
-    # Rows without other columns still need a value for the aggregate to pick.
-    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("_none"))
-    first = keyed.agg(F.min_by(row, F.struct(*order)).alias("_row"))
-    return first.select(
-        *[F.col(own[c]).alias(c) if c in own else F.col(f"_row.`{c}`").alias(c) for c in df.columns],
-        *[F.col(f"_key{i}").alias(n) for i, n in enumerate(given) if n],
+    columns = [F.col(f"`{k}`") if isinstance(k, str) else k for k in keys]
+    rows = written(
+        df.select("*", *[c.alias(n) for c, n in zip(columns, given) if n], F.monotonically_increasing_id().alias("_row")),
+        "first-rows",
+    )
+    place = packed(rows, order)
+    place = F.struct(*order) if place is None else place
+    narrow = rows.select(
+        *[_text_key(rows, c).alias(f"_key{i}") for i, c in enumerate(columns)], place.alias("_order"), "_row"
+    )
+    first = narrow.groupBy(*[f"_key{i}" for i in range(len(columns))]).agg(F.min_by("_row", "_order").alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(
+        *[F.col(f"`{c}`") for c in df.columns], *[n for n in given if n]
     )
 
 

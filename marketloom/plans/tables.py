@@ -48,7 +48,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: at most one row per brand and calendar day, whatever the table size."""
     return daily_bars(
         trades(spark, sf_dir),
-        sequence=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+        sequence={"l_orderkey": 52, "l_linenumber": 8, "l_partkey": 36, "l_suppkey": 27},
     )
 
 

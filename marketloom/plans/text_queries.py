@@ -212,6 +212,44 @@ def a6(spark, sf_dir):
     return hl.union_files([hl.standardize(table(spark, sf_dir, n)) for n in names])
 
 
+@query(
+    "a5_file_order",
+    """SELECT headline, source, date FROM (
+      SELECT 'headline number ' || doc_id % 97 AS headline, source,
+        TIMESTAMP '2024-01-01' - to_days(CAST(doc_id AS INTEGER)) AS date,
+        row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS r FROM documents) WHERE r = 1""",
+)
+def a5_file_order(spark, sf_dir):
+    """Landed files in which every further copy of a headline has an earlier date: the first in the files stays."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("headline number "), (F.col("doc_id") % 97).cast("string")).alias("title"),
+        F.date_format(F.expr("date'2024-01-01' - make_dt_interval(cast(doc_id as int))"), "MMM d, yyyy").alias("published"),
+        "source",
+    )
+    path = new_path(spark, "ordered csv")
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.option(
+        "header", True).csv(path)
+    return hl.load(spark, path).select("headline", "source", "date")
+
+
+@query(
+    "a6_files_in_order",
+    """SELECT headline, source FROM (
+      SELECT 'headline number ' || doc_id % 97 AS headline, source,
+        row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id % 2 DESC, doc_id) AS r FROM documents) WHERE r = 1""",
+)
+def a6_files_in_order(spark, sf_dir):
+    """Odd documents landed as one set of files, even ones as the next; the earlier set and line wins."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("headline number "), (F.col("doc_id") % 97).cast("string")).alias("title"), "source"
+    )
+    paths = [new_path(spark, "csv") for _ in range(2)]
+    for odd, path in zip((1, 0), paths):
+        rows.filter(F.col("doc_id") % 2 == odd).repartitionByRange(3, "doc_id").sortWithinPartitions(
+            "doc_id").drop("doc_id").write.option("header", True).csv(path)
+    return hl.load_many(spark, [*paths, new_path(spark, "missing")]).select("headline", "source")
+
+
 @query(
     "b1_blank_guard",
     f"SELECT conv_id, turn, CASE WHEN text IS NULL OR {strip_sql('text')} = '' THEN '' "

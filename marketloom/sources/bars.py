@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.operators.ordering import top_per_key
+from marketloom.operators.ordering import packed, top_per_key
 from marketloom.settings import DEFAULTS
 
 # Columns every bar table must have.
 BAR_COLUMNS = ("date", "open", "high", "low", "close", "volume")
 
 
-def daily_bars(trades: DataFrame, sequence: Sequence[str]) -> DataFrame:
+def daily_bars(trades: DataFrame, sequence: Mapping[str, int] | Sequence[str]) -> DataFrame:
     """Aggregate trades (ticker, date, price, volume) to one bar per ticker and day.
 
-    ``sequence`` orders the trades of a day for open and close; price and volume break ties so
-    the bars are reproducible. All aggregates are combined before the shuffle, so one heavily
-    traded ticker or day sends one partial row per task.
+    ``sequence`` orders the trades of a day for open and close and tells them apart; trades that
+    share it are copies with one price. Given with the bits each of its columns needs, it is
+    packed into one number, so all aggregates are hashed and combined before the shuffle: one heavily
+    traded ticker or day sends one partial row per task. Without bits the types decide; a sequence
+    too wide for one number is compared column by column, with price and volume behind it, which sorts.
     """
-    key = F.struct(*sequence, "price", "volume")
-    return trades.groupBy("ticker", "date").agg(
-        F.min_by("price", key).alias("open"),
+    widths = list(sequence.values()) if isinstance(sequence, Mapping) else None
+    key = packed(trades, list(sequence), widths)
+    if key is None:
+        key = F.struct(*sequence, "price", "volume")
+    return trades.withColumn("_order", key).groupBy("ticker", "date").agg(
+        F.min_by("price", "_order").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", key).alias("close"),
+        F.max_by("price", "_order").alias("close"),
         F.sum("volume").alias("volume"),
     )
 

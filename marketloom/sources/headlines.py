@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import instant
-from marketloom.operators.ordering import keep_first, nulls_last
+from marketloom.operators.ordering import keep_first, nulls_last, packed
 from marketloom.settings import DEFAULTS
 
 # Accepted column names per role, most specific first.
@@ -24,23 +24,52 @@ DEFAULT_TICKER = "UNKNOWN"
 DEFAULT_SOURCE = "kaggle"
 
 
+#: Column with the place of a row among the scanned files, and the bits of its three parts.
+PLACE = "_place"
+_FILE_BITS, _BLOCK_BITS, _LINE_BITS = 20, 50, 33
+
+
+def _plain_path(path: Column) -> Column:
+    """A path with one slash behind its scheme: the listing and the rows spell it differently."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add each row's place in the order of the files: file by path, block in it, line in that.
+
+    A block is read by one task from its start, so the task's row numbers order its lines. The paths
+    are those of the scan's own listing.
+    """
+    rows = rows.select(
+        "*", _plain_path(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).alias("_line"),
+    )
+    files = rows.sparkSession.createDataFrame(
+        [(path, at) for at, path in enumerate(sorted(rows.inputFiles()))], "_path string, _number bigint"
+    ).withColumn("_path", _plain_path(F.col("_path")))
+    rows = rows.join(files, "_path", "left")
+    place = packed(rows, ["_number", "_block", "_line"], [_FILE_BITS, _BLOCK_BITS, _LINE_BITS])
+    return rows.withColumn(PLACE, F.coalesce(place, F.lit(0).cast("decimal(38,0)"))).drop("_path", "_block", "_line", "_number")
+
+
 def scan_csv(
-    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False, placed: bool = False,
 ) -> DataFrame:
     """Scan a headline CSV, with or without a header line; a missing path raises.
 
     Set ``multi_line`` for files with line breaks inside quotes; such files are not splittable.
+    ``placed`` adds the column ``PLACE``, which sorts the rows as the files hold them.
     """
     reader = (
         spark.read.option("encoding", encoding).option("multiLine", multi_line)
         .option("escape", '"')
     )
-    named = reader.option("header", True).csv(path)
-    if not any(c.strip().lower() in SENTIMENT_WORDS for c in named.columns):
-        return named
-    bare = reader.option("header", False).csv(path)
-    names = ["sentiment", "headline"] + [f"col_{i}" for i in range(2, len(bare.columns))]
-    return bare.toDF(*names[: len(bare.columns)])
+    rows = reader.option("header", True).csv(path)
+    if any(c.strip().lower() in SENTIMENT_WORDS for c in rows.columns):
+        rows = reader.option("header", False).csv(path)
+        names = ["sentiment", "headline"] + [f"col_{i}" for i in range(2, len(rows.columns))]
+        rows = rows.withColumnsRenamed(dict(zip(rows.columns, names)))
+    return _placed(rows) if placed else rows
 
 
 def find_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
@@ -96,16 +125,27 @@ def by_date(df: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Scan, standardise and clean one headline file."""
-    rows = standardize(scan_csv(spark, path, multi_line=multi_line))
-    every = [*nulls_last(F.col("date")), F.col("ticker"), F.col("source")]
-    return by_date(basic_clean(rows, every))
+    """Scan, standardise and clean one headline file; of copies the first in the file stays."""
+    rows = standardize(scan_csv(spark, path, multi_line=multi_line, placed=True), keep=[PLACE])
+    return by_date(basic_clean(rows, [F.col(PLACE)]).drop(PLACE))
 
 
 def union_files(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of standardised files; copies across files collapse and the earlier file wins."""
+    """Union of standardised files; copies across files collapse and the earlier file wins.
+
+    Within a file the first by ``PLACE`` stays, or the earliest-dated one where that column is missing.
+    """
     if not parts:
         raise ValueError("none of the headline files could be loaded")
+    if all(PLACE in rows.columns for rows in parts):
+        step = F.lit(str(1 << (_FILE_BITS + _BLOCK_BITS + _LINE_BITS))).cast("decimal(38,0)")
+        parts = [
+            rows.withColumn(PLACE, F.coalesce(
+                (F.lit(number).cast("decimal(38,0)") * step + F.col(PLACE)).cast("decimal(38,0)"), F.col(PLACE)
+            )) for number, rows in enumerate(parts)
+        ]
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return basic_clean(union, [F.col(PLACE)]).drop(PLACE)
     tagged = [rows.withColumn("_file", F.lit(number)) for number, rows in enumerate(parts)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     order = [F.col("_file"), *nulls_last(F.col("date")), F.col("ticker"), F.col("source")]
@@ -117,7 +157,7 @@ def load_many(spark: SparkSession, paths: Sequence[str], multi_line: bool = Fals
     parts = []
     for path in paths:
         try:
-            parts.append(standardize(scan_csv(spark, path, multi_line=multi_line)))
+            parts.append(standardize(scan_csv(spark, path, multi_line=multi_line, placed=True), keep=[PLACE]))
         except (AnalysisException, ValueError):
             continue
     return union_files(parts)
