@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import functools
+import itertools
+import math
+import operator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,8 +22,6 @@ from marketloom.workspace import written
 STRETCH = 200_000
 # Ways the rows before a stretch may have turned out that are tried ahead of time.
 MOST_COMBINATIONS = 2048
-# Stretches chained by one task.
-CHAIN_STRETCHES = 10_000
 
 
 def exact(df: DataFrame, text: str, order: Sequence[Column]) -> DataFrame:
@@ -116,14 +117,15 @@ def _independent_sets(nodes: list[int], clashes: dict[int, int], limit: int) ->
     return sets
 
 
-def _outcomes(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
+def _outcomes(rows: pd.DataFrame, span: int, stretch_rows: int, limit: int) -> pd.DataFrame:
     """What one stretch passes on for each way the rows just before it may have turned out.
 
     Only rows before the stretch that resemble one of its rows, and whose own fate is open,
     matter. They fall into groups that no row of the stretch ties together; each group is tried
     with every possible combination. A line (group, before, after) says: if the group's kept
     flags are ``before``, its share of the flags at the end is ``after``. Group 0 holds what does
-    not depend on earlier rows; group -1 marks a stretch with too many combinations.
+    not depend on earlier rows. The lines follow each other in one list, which is empty for a
+    stretch with too many combinations.
     """
     stretch = int(rows["stretch"].iloc[0])
     start, end = stretch * stretch_rows, (stretch + 1) * stretch_rows
@@ -168,48 +170,124 @@ def _outcomes(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
     tries = [(0, 0, full & ~sum(tails.values()))]
     for group, tail in tails.items():
         members = sorted(b for b in leader if find(b) == group)
-        sets = _independent_sets(members, clashes, MOST_COMBINATIONS)
+        sets = _independent_sets(members, clashes, limit)
         if sets is None:
-            return pd.DataFrame(
-                {"stretch": [stretch], "members": [-1], "before": [0], "after": [0]}
-            )
+            return pd.DataFrame({"stretch": [stretch], "lines": [[]]})
         group_mask = sum(1 << b for b in members)
         tries += [(group_mask, kept, tail) for kept in sets]
     states = np.array([certain | kept for _, kept, _ in tries], dtype=np.uint64)
     ends = _walk(positions, own_masks, start, end, span, states)
-    return pd.DataFrame(
-        {
-            "stretch": stretch,
-            "members": [m for m, _, _ in tries],
-            "before": [kept for _, kept, _ in tries],
-            "after": [int(e) & tail for e, (_, _, tail) in zip(ends, tries)],
-        }
-    )
+    lines = [(m, kept, int(e) & tail) for e, (m, kept, tail) in zip(ends, tries)]
+    return pd.DataFrame({"stretch": [stretch], "lines": [[x for line in lines for x in line]]})
 
 
-def _chain(lines: pd.DataFrame, state: int, first: int, last: int, span: int) -> pd.DataFrame:
-    """Flags before each stretch from ``first`` to ``last``, by looking up each group's line.
+Lines = list[tuple[int, int, int]]
 
-    Stops before a stretch that must be walked with its real flags (group -1)."""
-    full = (1 << span) - 1
-    by_stretch = {k: g for k, g in lines.groupby("stretch")}
+
+def apply_lines(lines: Lines, state: int) -> int:
+    """The flags at the end for these flags before."""
+    return functools.reduce(operator.or_, (a for m, before, a in lines if state & m == before), 0)
+
+
+def _simplified(groups: list[Lines], certain: int) -> Lines:
+    """Groups as lines; a group that always ends alike depends on nothing."""
+    out: Lines = []
+    for group in groups:
+        if len({after for _, _, after in group}) == 1:
+            certain |= group[0][2]
+        else:
+            out += group
+    return [(0, 0, certain), *out]
+
+
+def _grouped(lines: Lines) -> tuple[int, list[Lines]]:
+    """What is certain, and the lines of each group."""
+    certain, groups = 0, {}
+    for line in lines:
+        if line[0]:
+            groups.setdefault(line[0], []).append(line)
+        else:
+            certain |= line[2]
+    return certain, list(groups.values())
+
+
+def compose(later: Lines, earlier: Lines, limit: int) -> Lines | None:
+    """The outcomes of two stretches in a row, or None if there are too many.
+
+    Each group of the later stretch reads flags that some groups of the earlier one decide. Groups that
+    meet this way become one, tried with every combination of the earlier groups' lines.
+    """
+    passed, sources = _grouped(earlier)
+    certain, groups = _grouped(later)
+    decides = [functools.reduce(operator.or_, (a for _, _, a in g)) for g in sources]
+    # parts: the later groups and earlier groups that hang together
+    parts: list[tuple[set[int], set[int]]] = []
+    for at, group in enumerate(groups):
+        mine, needs = {at}, {i for i, bits in enumerate(decides) if bits & group[0][0]}
+        apart = []
+        for members, read in parts:
+            if read & needs:
+                mine, needs = mine | members, needs | read
+            else:
+                apart.append((members, read))
+        parts = [*apart, (mine, needs)]
     out = []
-    for stretch in range(first, last + 1):
-        out.append((stretch, state))
-        here = by_stretch.get(stretch)
-        if here is None:
-            state = full
-            continue
-        if (here["members"] == -1).any():
-            break
-        after = 0
-        for members, before, share in zip(here["members"], here["before"], here["after"]):
-            if state & members == before:
-                after |= share
-        state = after
-    else:
-        out.append((last + 1, state))
-    return pd.DataFrame(out, columns=["stretch", "state"])
+    for members, read in parts:
+        read_lines = [sources[i] for i in sorted(read)]
+        if math.prod(map(len, read_lines)) > limit:
+            return None
+        merged = []
+        for chosen in itertools.product(*read_lines):
+            state = functools.reduce(operator.or_, (a for _, _, a in chosen), passed)
+            ends = [next((a for m, b, a in groups[g] if state & m == b), None) for g in members]
+            if None not in ends:  # else these flags cannot come about
+                merged.append((
+                    functools.reduce(operator.or_, (m for m, _, _ in chosen), 0),
+                    functools.reduce(operator.or_, (b for _, b, _ in chosen), 0),
+                    functools.reduce(operator.or_, ends),
+                ))
+        out.append(merged)
+    return _simplified([g for g in out if g], certain)
+
+
+def _triples(flat: Sequence[int]) -> Lines:
+    numbers = [int(x) for x in flat]
+    return list(zip(numbers[::3], numbers[1::3], numbers[2::3]))
+
+
+def _settled(batches: Iterator[pd.DataFrame], span: int, limit: int) -> Iterator[pd.DataFrame]:
+    """One round of the scan: rows whose base is settled are settled, others reach back twice as far."""
+    full = (1 << span) - 1
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            lines, base, state, start = _triples(row.lines), row.base, row.state, None
+            known = full if not row.found else None if pd.isna(row.base_state) else int(row.base_state)
+            if not pd.isna(state):
+                state = int(state)
+            elif known is not None:
+                state, start = (apply_lines(lines, known), None) if lines else (None, known)
+            elif lines and len(row.base_lines):
+                both = compose(lines, _triples(row.base_lines), limit)
+                if both is not None:
+                    lines, base = both, row.base_base
+                    state = both[0][2] if len(both) == 1 else None
+            out.append((row.stretch, int(base), [x for line in lines for x in line], state, start))
+        frame = pd.DataFrame(out, columns=["stretch", "base", "lines", "state", "start"])
+        yield frame.astype({"state": "Int64", "start": "Int64"})
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state behind each stretch as a function of the state before it; settled where that is constant."""
+    for batch in batches:
+        found = [_triples(flat) for flat in batch["lines"]]
+        found = [_simplified(*reversed(_grouped(lines))) if lines else [] for lines in found]
+        yield pd.DataFrame({
+            "stretch": batch["stretch"] + 1, "base": batch["stretch"],
+            "lines": [[x for line in lines for x in line] for lines in found],
+            "state": pd.array([lines[0][2] if len(lines) == 1 else None for lines in found], "Int64"),
+            "start": pd.array([None] * len(found), "Int64"),
+        })
 
 
 def _dropped(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
@@ -230,25 +308,71 @@ def _dropped(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
 
 
 def _with(step, *values):
-    """``step`` with its settings fixed now, as a function of one group."""
+    """``step`` with its settings fixed now, as a function of one group or of batches."""
     return lambda rows: step(rows, *values)
 
 
+_SCAN = "stretch bigint, base bigint, lines array<bigint>, state bigint, start bigint"
+
+
+def states_before(masks: DataFrame, span: int, stretch_rows: int, limit: int) -> DataFrame:
+    """``stretch, state``: the kept flags before each stretch that follows one with pairs.
+
+    A parallel scan: every stretch is a function from the flags before it to those behind it. Most
+    are constant and settle at once. The others are composed with the function before theirs, so
+    that each round doubles how far they reach back, until they meet a settled one: as many rounds as the logarithm of
+    the longest run of stretches that hang together. A stretch with too many outcomes is walked
+    once the flags before it are settled.
+    """
+    lines = masks.groupBy("stretch").applyInPandas(
+        _with(_outcomes, span, stretch_rows, limit), "stretch bigint, lines array<bigint>"
+    )
+    scan = written(lines.mapInPandas(_first_lines, _SCAN), "near-scan")
+    while True:
+        left = scan.agg(
+            F.sum(F.col("state").isNull().cast("int")).alias("open"),
+            F.sum((F.col("state").isNull() & F.col("start").isNotNull()).cast("int")).alias("to_walk"),
+        ).first()
+        if not left["open"]:
+            return scan.select("stretch", "state")
+        if left["to_walk"]:
+            starts = scan.filter("state IS NULL AND start IS NOT NULL").select(
+                F.col("base").alias("stretch"), F.col("start").alias("before")
+            )
+            walked = masks.join(starts, "stretch").groupBy("stretch").applyInPandas(
+                _with(_passed_on, span, stretch_rows), "stretch bigint, walked bigint"
+            )
+            scan = scan.join(walked, "stretch", "left").select(
+                "stretch", "base", "lines", F.coalesce("state", "walked").alias("state"), "start"
+            )
+            scan = written(scan, "near-scan")
+        bases = scan.select(
+            F.col("stretch").alias("of"), F.col("state").alias("base_state"),
+            F.col("lines").alias("base_lines"), F.col("base").alias("base_base"), F.lit(True).alias("found"),
+        )
+        joined = scan.join(bases, F.col("base") == F.col("of"), "left").select(
+            "stretch", "base", "lines", "state", F.coalesce("found", F.lit(False)).alias("found"), "base_state",
+            F.coalesce("base_lines", F.array().cast("array<bigint>")).alias("base_lines"), "base_base",
+        )
+        scan = written(joined.mapInPandas(_with(_settled, span, limit), _SCAN), "near-scan")
+
+
 def resolve(
-    pairs: DataFrame, span: int = DEFAULTS.near_duplicate_span, stretch_rows: int = STRETCH
+    pairs: DataFrame, span: int = DEFAULTS.near_duplicate_span, stretch_rows: int = STRETCH,
+    combinations: int = MOST_COMBINATIONS,
 ) -> DataFrame:
     """Positions to drop: j is dropped if some kept i < j pairs with it.
 
     The pairs shrink to one bit mask per row. Stretches of ``stretch_rows`` positions are worked
     out in parallel for every way the ``span`` rows before them may have turned out (for a run
-    of copies that is at most ``span`` + 1 ways), the results are chained through a table that is
-    thousands of times shorter than the rows, and a second parallel pass marks the dropped rows.
-    So a run of near-copies through the whole table does not serialise the work. A stretch with
-    too many combinations is walked once its real flags are known; the result is exact.
+    of copies that is at most ``span`` + 1 ways), the outcomes are composed by a parallel scan
+    (``states_before``), and a second parallel pass marks the dropped rows. So a run of near-copies
+    through the whole table does not serialise the work; the result is exact.
     """
     if span > 62:
         raise ValueError("span must fit a 64-bit mask")
-    spark = pairs.sparkSession
+    if stretch_rows < span:
+        raise ValueError("a stretch must be at least as long as the span")
     bit = F.expr("shiftleft(1L, cast(j - i - 1 as int))")
     home = F.floor(F.col("j") / stretch_rows)
     near_end = F.col("j") >= (home + 1) * stretch_rows - span
@@ -259,54 +383,22 @@ def resolve(
         ),
         "near-masks",
     )
-    lines = written(
-        masks.groupBy("stretch").applyInPandas(
-            _with(_outcomes, span, stretch_rows),
-            "stretch bigint, members bigint, before bigint, after bigint",
-        ),
-        "near-lines",
-    )
-    last = lines.agg(F.max("stretch")).first()[0]
-    at, state, chains = 0, (1 << span) - 1, []
-    while last is not None and at <= last:
-        until = min(at + CHAIN_STRETCHES - 1, last)
-        here = lines.filter(F.col("stretch").between(at, until))
-        chain = written(
-            here.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(
-                _with(_chain, state, at, until, span), "stretch bigint, state bigint"
-            ),
-            "near-chain",
-        )
-        end = chain.orderBy(F.col("stretch").desc()).first()
-        if end is None:  # no line in this part: every row is kept
-            at, state = until + 1, (1 << span) - 1
-            continue
-        chains.append(chain.filter(F.col("stretch") <= until))
-        at, state = end["stretch"], end["state"]
-        if at <= until:
-            walked = masks.filter(F.col("stretch") == at).groupBy("stretch").applyInPandas(
-                _with(_passed_on, state, span, stretch_rows), "state bigint"
-            )
-            at, state = at + 1, walked.first()["state"]
-    if not chains:
-        return spark.createDataFrame([], "idx bigint")
-    known = reduce(lambda a, b: a.unionByName(b), chains)
-    return (
-        masks.join(known, "stretch")
-        .groupBy("stretch")
-        .applyInPandas(_with(_dropped, span, stretch_rows), "idx bigint")
+    states = masks.join(states_before(masks, span, stretch_rows, combinations), "stretch", "left").withColumn(
+        "state", F.coalesce("state", F.lit((1 << span) - 1))
     )
+    return states.groupBy("stretch").applyInPandas(_with(_dropped, span, stretch_rows), "idx bigint")
 
 
-def _passed_on(rows: pd.DataFrame, state: int, span: int, stretch_rows: int) -> pd.DataFrame:
-    """Flags at the end of one stretch walked with its real starting flags."""
-    start = int(rows["stretch"].iloc[0]) * stretch_rows
+def _passed_on(rows: pd.DataFrame, span: int, stretch_rows: int) -> pd.DataFrame:
+    """Flags behind one stretch walked with its real flags (``before``), under the next stretch's number."""
+    stretch, state = int(rows["stretch"].iloc[0]), int(rows["before"].iloc[0])
+    start = stretch * stretch_rows
     rows = rows[rows["j"] >= start].sort_values("j")
     ends = _walk(
         rows["j"].tolist(), rows["mask"].tolist(), start, start + stretch_rows, span,
         np.array([state], dtype=np.uint64),
     )
-    return pd.DataFrame({"state": [int(ends[0])]})
+    return pd.DataFrame({"stretch": [stretch + 1], "walked": [int(ends[0])]})
 
 
 def near_duplicates(

@@ -75,18 +75,54 @@ def test_resolution_across_stretches(spark, kind):
     assert {r["idx"] for r in dropped.collect()} == drops_from_edges(edges, n)
 
 
-def test_too_many_combinations_are_walked(spark, monkeypatch):
-    monkeypatch.setattr(dedupe, "MOST_COMBINATIONS", 1)
-    rng = random.Random(3)
-    n, span = 200, 8
-    edges = [(i, j) for j in range(n) for i in range(max(0, j - span), j) if rng.random() < 0.3]
+def random_masks(seed, n, span, share):
+    rng = random.Random(seed)
+    edges = [(i, j) for j in range(n) for i in range(max(0, j - span), j) if rng.random() < share]
     rows = pd.DataFrame(edges, columns=["i", "j"])
     masks = rows.assign(mask=[1 << (j - i - 1) for i, j in edges]).groupby("j")["mask"].sum()
-    frame = masks.reset_index().assign(stretch=lambda d: d["j"] // 32)
-    own = frame[frame["stretch"] == 3]
-    tail = frame[(frame["j"] >= 88) & (frame["j"] < 96)].assign(stretch=3)
-    out = dedupe._outcomes(pd.concat([own, tail]), span, 32)
-    assert out["members"].tolist() == [-1]
+    return edges, masks.reset_index()
+
+
+def lines_of(masks, stretch, rows, span, limit=10_000):
+    start = stretch * rows
+    here = masks[(masks["j"] >= start - span) & (masks["j"] < start + rows)].assign(stretch=stretch)
+    return dedupe._triples(dedupe._outcomes(here, span, rows, limit)["lines"].iloc[0])
+
+
+def test_too_many_combinations_are_walked(spark):
+    edges, masks = random_masks(3, 200, 8, 0.3)
+    assert lines_of(masks, 3, 32, 8, limit=1) == []
+    pairs = spark.createDataFrame(edges, "i bigint, j bigint")
+    for limit in (1, 2, 4):
+        dropped = dedupe.resolve(pairs, span=8, stretch_rows=16, combinations=limit)
+        assert {r["idx"] for r in dropped.collect()} == drops_from_edges(edges, 200)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_composed_stretches_are_one_longer_stretch(seed):
+    """For every state that can come about, two composed stretches end as both walked in turn."""
+    span, rows = 6, 9
+    _, masks = random_masks(seed, 4 * rows, span, 0.12 + 0.03 * (seed % 4))
+    parts = [lines_of(masks, k, rows, span) for k in range(4)]
+    both, three = dedupe.compose(parts[2], parts[1], 10_000), None
+    three = dedupe.compose(parts[3], both, 10_000)
+    state = dedupe.apply_lines(parts[0], (1 << span) - 1)
+    second = dedupe.apply_lines(parts[1], state)
+    third = dedupe.apply_lines(parts[2], second)
+    assert dedupe.apply_lines(both, state) == third
+    assert dedupe.apply_lines(three, state) == dedupe.apply_lines(parts[3], third)
+    assert dedupe.compose(parts[2], parts[1], 0) is None or len(dedupe._grouped(parts[2])[1]) == 0
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """One run of copies through 64 stretches: the scan doubles its reach."""
+    n, span = 1024, 10
+    edges = [(i, j) for j in range(n) for i in range(max(0, j - span), j)]
+    written, seen = dedupe.written, []
+    monkeypatch.setattr(dedupe, "written", lambda df, label: seen.append(label) or written(df, label))
+    dropped = dedupe.resolve(spark.createDataFrame(edges, "i bigint, j bigint"), span=span, stretch_rows=16)
+    assert {r["idx"] for r in dropped.collect()} == drops_from_edges(edges, n)
+    assert seen.count("near-scan") <= 8
 
 
 def test_distance_49_counts_and_50_does_not(spark):
