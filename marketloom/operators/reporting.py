@@ -127,55 +127,116 @@ def strategy_report(summary: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     )
 
 
-def _shorter_by_one(text: Column) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+def _grams(text: Column, size: int) -> Column:
+    """The runs of ``size`` characters of a text padded at both ends, each with its occurrence number."""
+    pad = F.lit("\u0000" * (size - 1))
+    padded = F.concat(pad, text, pad)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))),
+        lambda i: F.substring(padded, i, F.lit(size)),
+    )
+    sorted_ = F.array_sort(runs)
     return F.transform(
-        places,
-        lambda i: F.concat(
-            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))
-        ),
+        sorted_, lambda run, i: F.concat(run, F.lit("\u0001"), (i - F.array_position(sorted_, run) + 1).cast("string"))
     )
 
 
-def _near_keys(text: Column, deletions: int) -> Column:
-    """The text and every form with up to so many characters removed: texts that many edits apart
-    share one."""
-    every = last = F.array(text)
-    for _ in range(deletions):
-        last = F.array_distinct(F.flatten(F.transform(last, _shorter_by_one)))
-        every = F.concat(every, last)
-    return F.array_distinct(every)
+def _by_rarity(texts: DataFrame, names: DataFrame, size: int) -> DataFrame:
+    """``text, grams`` of every row of ``texts``, with the grams that fewest names hold first."""
+    def exploded(of: DataFrame) -> DataFrame:
+        return of.select("text", F.explode(_grams(F.col("text"), size)).alias("gram"))
+
+    counts = exploded(names).groupBy("gram").agg(F.count("*").alias("held"))
+    return exploded(texts).join(counts, "gram", "left").groupBy("text").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("grams")
+    )
 
 
-def resolve_symbols(inputs: DataFrame, symbols: DataFrame, max_distance: int = 3) -> DataFrame:
-    """Symbol of each free-text ``input``: exact name or symbol, else the nearest name, else the
-    text in upper case.
+def _within(asked: DataFrame, names: DataFrame, size: int, radius: int) -> DataFrame:
+    """``text, distance, symbol`` of the nearest name within ``radius`` edits, where there is one.
 
-    A name counts as near within ``max_distance`` edits and one edit per three characters of the
-    input (one for shorter texts). Names and inputs meet on shared deletions, an equi-join that finds
-    every pair so many edits apart and never compares all inputs with all names; the distance
-    grows step by step, and only what is still open takes the next step. Repeated inputs are looked
-    up once. Ties go to the lower symbol.
+    An edit touches at most ``size`` grams, so of two texts ``radius`` edits apart that are long enough to
+    share a gram at all, the ``size * radius + 1`` rarest grams of each have one in common.
     """
-    open_ = inputs.select("input").distinct().withColumn("_text", F.lower(F.trim("input")))
-    names = symbols.select(
-        "symbol", F.explode(F.array(F.lower("name"), F.lower("symbol"))).alias("_name")
+    def prefixed(of: DataFrame, *more: str) -> DataFrame:
+        first = F.slice("grams", 1, size * radius + 1)
+        return of.select("text", *more, F.explode(F.transform(first, lambda g: g["gram"])).alias("gram"))
+
+    others = prefixed(names, "symbol").withColumnRenamed("text", "name")
+    close = F.abs(F.length("text") - F.length("name")) <= radius
+    distance = F.levenshtein(F.col("text"), F.col("name"), radius)
+    return (
+        prefixed(asked).join(others, "gram").filter(close).select("text", "name", "symbol").distinct()
+        .withColumn("distance", distance).filter("distance >= 0")
+        .groupBy("text").agg(F.min(F.struct("distance", "symbol")).alias("best"))
+        .select("text", "best.distance", "best.symbol")
     )
-    allowed = F.least(F.lit(max_distance), F.greatest(F.lit(1), F.floor(F.length("_text") / 3)))
-    best = None
-    for edits in range(max_distance + 1):
-        near = open_.withColumn("_near", F.explode(_near_keys(F.col("_text"), edits))).join(
-            names.withColumn("_near", F.explode(_near_keys(F.col("_name"), edits))), "_near"
-        )
-        found = (
-            near.filter((F.levenshtein("_text", "_name") == edits) & (F.lit(edits) <= allowed))
-            .groupBy("input").agg(F.min("symbol").alias("symbol"))
-        )
-        best = found if best is None else best.unionByName(found)
-        open_ = open_.join(found, "input", "left_anti")
-    return inputs.join(best, "input", "left").withColumn(
-        "symbol", F.coalesce("symbol", F.upper(F.trim("input")))
+
+
+def nearest_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``text, distance, symbol``: the name with the least edit distance to each ``text``.
+
+    ``names`` has ``symbol`` and ``name``. The radius doubles from 0 on; what has a name within it
+    leaves, and since all names within the radius were compared, its nearest is exact. Texts and names meet
+    on their rarest grams: pairs of characters while the text is longer than twice the radius,
+    then single ones. A name without any character of the text is as far as the longer of the
+    two, which bounds the search and settles it. Ties go to the lower symbol.
+    """
+    names = written(names.groupBy(F.col("name").alias("text")).agg(F.min("symbol").alias("symbol")), "names")
+    open_ = written(texts.select("text").distinct(), "texts")
+    found = written(open_.join(names, "text").select("text", F.lit(0).alias("distance"), "symbol"), "nearest")
+    lengths = names.groupBy(F.length("text").alias("size")).agg(F.min("symbol").alias("symbol"))
+    shortest = lengths.agg(F.min("size")).first()[0]
+    if shortest is None:
+        return found
+    open_ = written(open_.join(found, "text", "left_anti"), "texts")
+    by_gram = {}
+    radius, size_of = 1, F.length("text")
+    while (left := open_.agg(F.max(size_of).alias("longest"), F.min(size_of).alias("shortest")).first())["longest"]:
+        near = None
+        for size, some in ((2, left["longest"] >= 2 * radius), (1, left["shortest"] < 2 * radius)):
+            if not some:
+                continue
+            if size not in by_gram:
+                by_gram[size] = [written(rows, "grams") for rows in (
+                    _by_rarity(names, names, size).join(names, "text"), _by_rarity(open_, names, size)
+                )]
+            known, asked = by_gram[size]
+            here = size_of >= 2 * radius if size == 2 else size_of < 2 * radius
+            here = _within(asked.join(open_, "text", "left_semi").filter(here), known, size, radius)
+            near = here if near is None else near.unionByName(here)
+        if max(left["shortest"], shortest) <= radius:  # every name no longer than the reach is at most that far
+            reach = F.greatest(size_of, F.lit(shortest))
+            last = open_.filter(reach <= radius).withColumn("distance", reach).join(
+                lengths, F.col("size") <= F.col("distance")
+            ).groupBy("text", "distance").agg(F.min("symbol").alias("symbol"))
+            near = near.unionByName(last).groupBy("text").agg(
+                F.min(F.struct("distance", "symbol")).alias("best")
+            ).select("text", "best.distance", "best.symbol")
+        near = written(near, "nearest")
+        found = found.unionByName(near)
+        open_ = written(open_.join(near, "text", "left_anti"), "texts")
+        radius *= 2
+    return found
+
+
+def resolve_symbols(inputs: DataFrame, symbols: DataFrame, max_distance: int | None = None) -> DataFrame:
+    """Symbol of each free-text ``input``: that of the nearest name or symbol, else the text in upper case.
+
+    Case and outer spaces do not count. The nearest is found however far it is (``nearest_names``); with
+    ``max_distance`` only within so many edits. Blank and null inputs, and all of them if there are
+    no names, have no nearest. Repeated inputs are looked up once. Ties go to the lower symbol.
+    """
+    text = F.lower(F.trim("input"))
+    names = symbols.select("symbol", F.explode(F.array(F.lower("name"), F.lower("symbol"))).alias("name"))
+    nearest = nearest_names(
+        inputs.select(text.alias("text")).filter("text <> ''"), names.filter("name <> ''")
     )
+    if max_distance is not None:
+        nearest = nearest.filter(F.col("distance") <= max_distance)
+    return inputs.withColumn("_text", text).join(
+        nearest.select(F.col("text").alias("_text"), "symbol"), "_text", "left"
+    ).select(*inputs.columns, F.coalesce("symbol", F.upper(F.trim("input"))).alias("symbol"))
 
 
 def display_name(ticker: Column, name: Column) -> Column:

@@ -416,9 +416,7 @@ _ASKED = (
     asked AS (SELECT c_custkey, {_ASKED} AS input FROM customer JOIN nation
               ON n_nationkey = c_nationkey),
     near AS (SELECT input, symbol, levenshtein(lower(trim(input)), name) AS d
-             FROM (SELECT DISTINCT input FROM asked) JOIN names
-             ON levenshtein(lower(trim(input)), name)
-                <= least(3, greatest(1, len(trim(input)) // 3))),
+             FROM (SELECT DISTINCT input FROM asked WHERE trim(input) <> '') CROSS JOIN names),
     best AS (SELECT input, symbol FROM (SELECT *, row_number() OVER (PARTITION BY input
              ORDER BY d, symbol) AS r FROM near) WHERE r = 1)
     SELECT c_custkey, input, coalesce(symbol, upper(trim(input))) AS symbol

@@ -146,14 +146,42 @@ def test_small_report_expressions(spark):
     assert row["f"][:3] == ["ZZ", "V", "AAPL"] and row["f"].count("V") == 1
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_symbol_lookup_takes_the_nearest(spark):
     names = spark.createDataFrame([("AAPL", "Apple"), ("GOOGL", "Google"), ("MSFT", "Microsoft")], "symbol string, name string")
-    inputs = spark.createDataFrame([("aple",), ("Googgle",), ("aapl",), ("btc-usd",), ("Micrsft",), ("xyz",)], "input string")
+    inputs = spark.createDataFrame([("aple",), ("Googgle",), ("aapl",), (" btc-usd",), ("Micrsft",), ("  ",), (None,)], "input string")
     got = {r["input"]: r["symbol"] for r in rp.resolve_symbols(inputs, names).collect()}
-    assert got == {"aple": "AAPL", "Googgle": "GOOGL", "aapl": "AAPL", "btc-usd": "BTC-USD",
-                   "Micrsft": "MSFT", "xyz": "XYZ"}
-    near = rp.resolve_symbols(inputs, names, max_distance=1).collect()
-    assert {r["input"]: r["symbol"] for r in near}["Micrsft"] == "MICRSFT"
+    assert got == {"aple": "AAPL", "Googgle": "GOOGL", "aapl": "AAPL", " btc-usd": "AAPL",
+                   "Micrsft": "MSFT", "  ": "", None: None}
+    near = {r["input"]: r["symbol"] for r in rp.resolve_symbols(inputs, names, max_distance=1).collect()}
+    assert (near["Micrsft"], near["aple"], near[" btc-usd"]) == ("MICRSFT", "AAPL", "BTC-USD")
+    none = {r["input"]: r["symbol"] for r in rp.resolve_symbols(inputs, names.limit(0)).collect()}
+    assert none["aple"] == "APLE"
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzé"])
+def test_nearest_names_equal_comparing_all(spark, letters):
+    rng = random.Random(len(letters))
+
+    def text(most, of=letters):
+        return "".join(rng.choice(of) for _ in range(rng.randint(1, most)))
+
+    names = [(f"S{i:02d}", text(12)) for i in range(25)]
+    asked = [text(16) for _ in range(30)] + [text(5, "0123") for _ in range(4)] + ["0" * 30, names[3][1], names[4][1] + "z"]
+    rows = rp.nearest_names(
+        spark.createDataFrame([(t,) for t in asked], "text string"),
+        spark.createDataFrame(names, "symbol string, name string"),
+    ).collect()
+    want = {t: min((edits(t, n), s) for s, n in names) for t in asked}
+    assert {r["text"]: (r["distance"], r["symbol"]) for r in rows} == want
 
 
 def test_loss_floors_logs_and_cards_have_defaults(spark):
