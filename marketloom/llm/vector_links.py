@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +65,9 @@ def directions(size: int, count: int = DIRECTIONS) -> np.ndarray:
     return unit(np.random.default_rng(size).normal(size=(count, size)))
 
 
-_NODE = "node bigint, space bigint, angle double, copies bigint, vector array<double>"
+_NODE = "node bigint, space string, angle double, copies bigint, vector array<double>"
 _BLOCK = (
-    "block string, space bigint, low array<double>, high array<double>, "
+    "block string, space string, low array<double>, high array<double>, "
     "nodes array<bigint>, copies array<bigint>, vectors array<double>"
 )
 
@@ -93,8 +94,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         while held.num_rows:
-            space = held.column("space").to_numpy()
-            end = int(np.searchsorted(space, space[0], side="right"))
+            space = held.column("space")
+            other = pc.index(pc.not_equal(space, space[0]), True).as_py()
+            end = held.num_rows if other < 0 else other
             most = max(64, BLOCK_BYTES // (8 * len(held.column("vector")[0])))
             if end == held.num_rows and end < most:
                 break
@@ -114,12 +116,11 @@ def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.filter(pa.array(sizes == size))
             rows = unit(matrix(part.column(2)))
             angle = np.arccos(np.clip(rows @ directions(int(size))[0], -1, 1))
-            space = (part.column(1).to_numpy().astype(np.int64) << 24) | int(size)
             flat = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(rows) + 1, dtype=np.int32) * int(size)), pa.array(rows.ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(space), pa.array(angle), part.column(3), flat],
+                [part.column(0), part.column(1), pa.array(angle), part.column(3), flat],
                 ["node", "space", "angle", "copies", "vector"],
             )
 
@@ -155,7 +156,8 @@ def _tiles(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
-    Compared are rows of equal, non-null ``label`` and equal length by cosine in doubles. A row that
+    Compared are rows of equal, non-null ``label`` (of any type that has a text form) and equal length by
+    cosine in doubles. A row that
     takes no part (null label; vector null, zero or with a null or non-finite component) has no links
     and is its own component. Repeated rows count as other vectors. A row with a null ``vec_id`` links
     but names no component and is not kept. Extra columns are ignored; an empty table gives an empty
@@ -163,7 +165,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """
     vector = F.col("embedding").cast("array<double>")
     rows = vectors.select(
-        "vec_id", F.col("label").cast("bigint").alias("label"), vector.alias("vector"),
+        "vec_id", "label", vector.alias("vector"),
         (usable(vector) & F.col("label").isNotNull()).alias("usable"),
     )
     nodes = written(
@@ -172,7 +174,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    angles = nodes.select("node", "label", "vector", "copies").mapInArrow(_angles, _NODE)
+    space = F.concat_ws(":", F.size("vector"), F.col("label").cast("string")).alias("space")
+    angles = nodes.select("node", space, "vector", "copies").mapInArrow(_angles, _NODE)
     blocks = written(
         angles.repartitionByRange("space", "angle").sortWithinPartitions("space", "angle")
         .mapInArrow(_blocks, _BLOCK),

@@ -114,3 +114,15 @@ def test_whole_forest_is_exact_with_small_slices(spark, clustered, monkeypatch):
     want = plain_nearest(clustered, 1000)
     assert [i for _, i in own] == [i for _, i in want]
     assert np.allclose([s for s, _ in own], [s for s, _ in want], rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind, labels", [("long", [1, 1 + (1 << 40), -1, -(1 << 62)]), ("string", ["a", "b", "a:1", ""])])
+def test_links_stay_within_labels_of_any_type(spark, kind, labels):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=8)
+    rows = [
+        (10 * at + i, (centre + 0.01 * rng.normal(size=8)).tolist(), label) for at, label in enumerate(labels) for i in range(3)
+    ]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_links.near_duplicates(df).collect()}
+    assert got == {i: (2, i // 10 * 10) for i, _, _ in rows}
