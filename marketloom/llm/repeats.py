@@ -45,7 +45,7 @@ _TASK_CONTEXTS = 20_000
 _SPARE = 16
 _NO_ID = (1 << 63) - 1
 
-_DOC = "doc bigint, mark int"
+_DOC = "doc bigint, mark bigint"
 _OCCURRENCE = f"route bigint, anchor bigint, context bigint, {_DOC}, low int, high int, at int, kind int"
 _KINDS = _OCCURRENCE.replace("context bigint, ", "").replace("route bigint, ", "")
 _REMOVED, _SEEN, _CONTEXT, _FREQUENT = 0, 1, 2, 3
@@ -58,7 +58,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"),
-        F.hash(text).alias("mark"),
+        F.xxhash64(text).alias("mark"),
         text.cast("binary").alias("body"),
     )
 
@@ -360,7 +360,7 @@ def _with_ranges(docs: DataFrame, name: str) -> DataFrame:
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(
-        "*", F.coalesce("doc_id", F.lit(_NO_ID)).alias(doc), F.hash(text).alias(mark)
+        "*", F.coalesce("doc_id", F.lit(_NO_ID)).alias(doc), F.xxhash64(text).alias(mark)
     )
     named = ranges.select(F.col("doc").alias(doc), F.col("mark").alias(mark), name)
     return keyed.join(named, [doc, mark], "left").drop(doc, mark)

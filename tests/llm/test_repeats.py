@@ -103,3 +103,14 @@ def test_odd_rows(spark, odd_docs, odd_frame, empty_frame):
     left = {r.doc_id: r for r in cut.collect()}
     assert left[5].text is None and left[2].text == "" and left[2].n_chars == 0
     assert left[8].n_chars == len(left[8].text)
+
+
+def test_texts_without_id_are_told_apart(spark, words):
+    """Two texts with one 32-bit hash: the first keeps all, the other loses only what they share."""
+    from pyspark.sql import functions as F
+
+    pair = spark.range(400_000).select(F.concat(F.lit(words(1, 40)), F.sha2(F.col("id").cast("string"), 256)).alias("t")).groupBy(
+        F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).filter("size(ts) > 1").first()["ts"]
+    docs = spark.createDataFrame([(None, t) for t in pair], "doc_id long, text string")
+    shared = sorted(r.n_removed for r in repeats.repeat_report(docs).collect())
+    assert shared[0] == 0 and 0 < shared[-1] < len(pair[0])
