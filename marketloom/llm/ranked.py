@@ -15,6 +15,7 @@ blocks of bounded size, each against all slices.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from marketloom.llm.words import chunks, cut
+from marketloom.llm.words import chunks, count, cut
 from marketloom.workspace import written
 
 K = 10
-#: A slice of a stratum holds about so many documents and so many distinct words of them at most.
+#: A slice of a stratum holds about so many documents and so many words of them.
 SLICE_ROWS = 512
-SLICE_TERMS = 200_000
+SLICE_WORDS = 300_000
 #: Items are searched in blocks of so many characters; a block is shipped to the tasks.
 BLOCK_CHARS = 4_000_000
 #: So many postings are held at once while their slices are visited in order of their bounds.
@@ -65,6 +66,17 @@ def _lists(values: pa.Array, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values.cast(kind))
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task have each number of terms."""
+    found: Counter[int] = Counter()
+    for batch in batches:
+        for _, texts in chunks(batch, 0):
+            found.update(count(texts).tolist())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n", "docs"]
+    )
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct terms of each document with their frequencies; documents without terms go."""
     task, at = TaskContext.get().partitionId(), 0
@@ -121,17 +133,19 @@ def build(docs: DataFrame) -> Index:
     without a term are in no stratum. Texts of any length are indexed whole. An empty table gives
     an empty index. Extra columns are ignored.
     """
-    rows = written(docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(_counted, _COUNTED), "counted")
-    total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
-    n_docs, n_terms = total["docs"], total["terms"] or 1
-    rows = rows.withColumn("m", F.expr(f"10 + (90 * n * {n_docs}L) div {n_terms}L"))
-    per_slice = F.greatest(
-        F.count("*") / SLICE_ROWS, F.sum(F.size("terms").cast("bigint")) / SLICE_TERMS
-    )
-    strata = rows.groupBy("m").agg(F.ceil(per_slice).alias("n_slices"))
-    dealt = rows.join(strata, "m").withColumn("slice", F.pmod(F.xxhash64("task", "at"), "n_slices"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lengths = docs.select("text").mapInArrow(_lengths, "n bigint, docs bigint").filter("n > 0")
+    lengths = written(lengths.groupBy("n").agg(F.sum("docs").alias("docs")), "lengths")
+    total = lengths.agg(F.sum("docs").alias("docs"), F.sum(F.col("n") * F.col("docs")).alias("terms")).first()
+    n_docs, n_terms = total["docs"] or 0, total["terms"] or 1
+    m = F.expr(f"10 + (90 * n * {n_docs}L) div {n_terms}L").alias("m")
+    strata = lengths.select(m, "n", "docs").groupBy("m").agg(F.ceil(F.greatest(
+        F.sum("docs") / SLICE_ROWS, F.sum(F.col("n") * F.col("docs")) / SLICE_WORDS
+    )).alias("n_slices"))
+    # the normalisers of all documents add up to at most 100 each, so of N documents no more than
+    # sqrt(200 N) have different ones: a table of that size is shipped, and no row is dealt by m alone
+    dealt = docs.mapInArrow(_counted, _COUNTED).select(m, "*").join(F.broadcast(strata), "m")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("task", "at"), "n_slices"))
     slices = dealt.select("m", "slice", "doc_id", "terms", "tfs").groupBy("m", "slice").applyInArrow(_slice, _SLICES)
     return Index(written(slices, "slices"), n_docs, n_terms)
 

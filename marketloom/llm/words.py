@@ -46,15 +46,26 @@ def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iter
             yield low, texts.slice(low, high - low).to_pylist()
 
 
-def cut(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
-    """The text each word is in, and the words, in order."""
+def _places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes of texts laid end to end, where words start and end, and the text of each."""
     joined = np.frombuffer(folded(b" ".join(texts) + b" "), np.uint8)
-    inner = joined != _SPACE
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inner])))
-    starts, ends = edges[::2], edges[1::2]
+    edges = np.flatnonzero(np.diff(joined != _SPACE, prepend=False))
     text_ends = np.cumsum([len(t) + 1 for t in texts])
+    starts = edges[::2]
+    return joined, starts, edges[1::2], np.searchsorted(text_ends, starts, side="right")
+
+
+def count(texts: list[bytes]) -> np.ndarray:
+    """The number of words of each text."""
+    return np.bincount(_places(texts)[3], minlength=len(texts))
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The text each word is in, and the words, in order."""
+    joined, starts, ends, text = _places(texts)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    letters = joined[joined != _SPACE]
     words = pa.Array.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inner])]
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
     )
-    return np.searchsorted(text_ends, starts, side="right"), words
+    return text, words

@@ -46,7 +46,7 @@ def got(spark, docs, items, k=10):
 def small_slices(monkeypatch):
     """Slices, blocks and visits so small that every bound on them is passed."""
     monkeypatch.setattr(ranked, "SLICE_ROWS", 3)
-    monkeypatch.setattr(ranked, "SLICE_TERMS", 40)
+    monkeypatch.setattr(ranked, "SLICE_WORDS", 60)
     monkeypatch.setattr(ranked, "BLOCK_CHARS", 60)
     monkeypatch.setattr(ranked, "HELD_POSTINGS", 50)
 
