@@ -202,44 +202,88 @@ def position_in_key(
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+#: Rows of one key whose values an aggregate may hold.
+MEDIAN_ROWS = 100_000
+#: Parts a range of values is cut into in one round of the selection.
+_PARTS = 1024
+
+
+def exact_median(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], most_rows: int = MEDIAN_ROWS
+) -> DataFrame:
     """Exact median of every value column per key, for keys of any size and any number of ties.
 
-    The values are stacked and counted, so a value that most rows share is one row. The counted
-    values are numbered by (key, column, value), which is unique; running counts over fixed runs of
-    that order tell which one or two values hold the middle positions of a key.
+    Keys of at most ``most_rows`` rows are aggregated directly. For larger ones the middle is selected:
+    a partially aggregated histogram narrows the range that holds it, round by round (``_selected``),
+    so no key is ever sorted, numbered or gathered. Groups without any value have no row.
     """
-    stacked = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).alias("_value")) for v in values])
-        ).alias("_cell"),
-    ).select(*keys, "_cell._name", "_cell._value").filter(F.col("_value").isNotNull())
-    group = [*keys, "_name"]
-    counted = stacked.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = numbered(counted, [*group, "_value"], "_idx").withColumn(
-        "_run", F.floor(F.col("_idx") / F.lit(_RUN_ROWS))
-    )
-    before = Window.partitionBy("_all").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = ranked.groupBy("_run").agg(F.sum("_n").alias("_rows")).withColumn("_all", F.lit(0)).select(
-        F.col("_run").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier")
+    rows = df.select(*keys, *values).filter(reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values]))
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), "key-sizes")
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+
+    def direct(of: DataFrame) -> DataFrame:
+        return of.groupBy(*keys).agg(*[F.median(v).alias(v) for v in values])
+
+    if largest <= most_rows:
+        return direct(rows)
+    names = [f"_k{i}" for i in range(len(keys))]
+    large = sizes.filter(F.col("_rows") > most_rows).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return direct(rows.join(large, same, "left_anti")).unionByName(
+        _selected(rows.join(large, same, "left_semi"), keys, values)
     )
-    in_run = Window.partitionBy("_run").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.withColumn("_to", F.sum("_n").over(in_run)).join(
-        runs, F.col("_run") == F.col("_of")
-    ).withColumn("_to", F.col("_to") + F.col("_earlier")).withColumn("_from", F.col("_to") - F.col("_n"))
+
+
+def _selected(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Exact medians by selection.
+
+    For every key and column a range of values is known that holds both middle rows, and how many rows
+    lie before it. A round counts the rows of ``_PARTS`` parts of the range (its least and its
+    greatest value are parts of their own) and goes on with the part of the middle rows. They are
+    found when they lie in two parts, or in a part of one value. Every round cuts a range at least by its two
+    ends and as a rule to a thousandth, whatever the number of rows; NaN counts as the greatest value.
+    """
+    group = [*keys, "_name"]
     names = [f"_g{i}" for i in range(len(group))]
-    middle = placed.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(
-        F.min("_from").alias("_low"), F.sum("_n").alias("_count")
-    ).select(
-        *names,
-        (F.col("_low") + F.floor((F.col("_count") - 1) / 2)).alias("_first"),
-        (F.col("_low") + F.floor(F.col("_count") / 2)).alias("_second"),
+    stacked = rows.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_value")) for v in values
+    ])).alias("_cell")).select(*keys, "_cell._name", "_cell._value").filter(F.col("_value").isNotNull())
+    total = stacked.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(
+        F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.count("*").alias("_n")
     )
+    ranges = written(total.select(
+        *names, "_low", "_high", F.floor((F.col("_n") - 1) / 2).alias("_first"), F.floor(F.col("_n") / 2).alias("_second"),
+    ), "ranges")
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)])
-    holds = lambda at: (F.col("_from") <= F.col(at)) & (F.col(at) < F.col("_to"))
-    cells = placed.join(middle, same).filter(holds("_first") | holds("_second"))
-    # A value that holds both middles counts alone; two values count half each.
-    return cells.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("_name") == v, F.col("_value"))).alias(v) for v in values]
+    half = lambda c: F.col(c) / 2  # noqa: E731 - halves cannot overflow
+    share = F.try_divide(half("_value") - half("_low"), half("_high") - half("_low"))
+    inner = F.when(share.isNull() | F.isnan(share), 1).otherwise(
+        F.least(F.greatest(F.floor(share * _PARTS) + 1, F.lit(1)), F.lit(_PARTS))
     )
+    part = F.when(F.col("_value") == F.col("_low"), 0).when(F.col("_value") == F.col("_high"), _PARTS + 1).otherwise(inner)
+    found = None
+    while True:
+        counts = stacked.join(ranges, same).filter(F.col("_value").between(F.col("_low"), F.col("_high"))).groupBy(
+            *names, "_first", "_second", part.alias("_part")
+        ).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.count("*").alias("_n"))
+        # at most _PARTS + 2 rows a key
+        upto = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_from", F.col("_to") - F.col("_n"))
+        holds = lambda at: (F.col("_from") <= F.col(at)) & (F.col(at) < F.col("_to"))
+        placed = written(placed.filter(holds("_first") | holds("_second")), "ranges")
+        both = holds("_first") & holds("_second")
+        settled = placed.filter(~both | (F.col("_low") == F.col("_high"))).select(
+            *names, F.when(holds("_second"), F.col("_low")).otherwise(F.col("_high")).alias("_value")
+        )
+        found = settled if found is None else found.unionByName(settled)
+        ranges = placed.filter(both & (F.col("_low") != F.col("_high"))).select(
+            *names, "_low", "_high", (F.col("_first") - F.col("_from")).alias("_first"),
+            (F.col("_second") - F.col("_from")).alias("_second"),
+        )
+        if not ranges.take(1):
+            break
+    # two middle values count half each, halved first: their sum may overflow
+    mine = lambda v: F.when(F.col(names[-1]) == v, F.col("_value"))
+    return found.groupBy(*[F.col(n).alias(k) for n, k in zip(names, keys)]).agg(*[
+        F.when(F.count(mine(v)) == 2, F.sum(mine(v) / 2)).otherwise(F.max(mine(v))).alias(v) for v in values
+    ])

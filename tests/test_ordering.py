@@ -2,11 +2,12 @@
 
 import datetime
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators.ordering import keep_first, packed
+from marketloom.operators.ordering import exact_median, keep_first, packed
 from marketloom.sources import headlines as hl
 from marketloom.sources.bars import daily_bars
 
@@ -86,3 +87,30 @@ def test_first_in_the_file_stays(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 52 and rows["second headline"] == "2024-05-05"
     assert {v for k, v in rows.items() if k.startswith("a long")} == {"2024-01-02"}
+
+
+def middle(values):
+    ordered = sorted(values)
+    return ordered[(len(ordered) - 1) // 2] / 2 + ordered[len(ordered) // 2] / 2
+
+
+@pytest.mark.parametrize("most_rows", [0, 40, 10**6])
+def test_medians_by_selection(spark, most_rows):
+    rng = random.Random(4)
+    kinds = {
+        "even": lambda: rng.random(), "ties": lambda: float(rng.choice([0, 0, 0, 1, 2])), "one": lambda: 7.0,
+        "wide": lambda: rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300), "huge": lambda: rng.choice([-1.7e308, 1.7e308, 0.5, -3.0]),
+        None: lambda: rng.gauss(0, 1e-9) + 1, "ends": lambda: rng.choice([float("-inf"), 1.0, 2.0, 3.0, float("inf")]),
+    }
+    rows = [(k, make(), rng.random()) for k, make in kinds.items() for _ in range(rng.choice([30, 51, 100]))]
+    rows += [("few", 1.0, None), ("few", None, None), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(4)
+    got = {r.k: (r.a, r.b) for r in exact_median(df, ["k"], ["a", "b"], most_rows).collect()}
+    want = {}
+    for k in {r[0] for r in rows} - {"none"}:
+        columns = [[r[i] for r in rows if r[0] == k and r[i] is not None] for i in (1, 2)]
+        want[k] = tuple(middle(c) if c else None for c in columns)
+    assert got.keys() == want.keys()
+    for k in want:
+        for mine, its in zip(got[k], want[k]):
+            assert mine == (its if its is None else pytest.approx(its, rel=1e-12)), k
