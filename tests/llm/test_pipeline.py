@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def test_registered_queries():
     names = [n for n in entry_module.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == [
         "language", "near_duplicate", "repeated_passages", "secrets", "packing"
     ]
@@ -24,10 +24,11 @@ def test_stages_keep_columns_and_take_empty_tables(spark, stage, odd_frame, empt
 def test_decisions_take_effect(spark, words, odd_docs, odd_frame):
     run = dict(corpus_pipeline.STAGES)
     kept = {r.doc_id for r in run["language"](spark, odd_frame, "").collect()}
-    assert kept == {d[0] for d in odd_docs if d[1] and any(c.isalpha() for c in d[1])} - {10} or 10 in kept
+    # texts without letters go; so few texts calibrate here that no other is found too strange, 10 included
+    assert kept == {d[0] for d in odd_docs if d[1] and any(c.isalpha() for c in d[1])}
     single = [r.doc_id for r in run["near_duplicate"](spark, odd_frame, "").collect()]
-    assert sorted(i for i in single if i is not None) == [1, 4, 7, 8, 9, 10, 11, 12, 14] or 9 not in single
-    assert single.count(7) == 1 and 2 not in single and None in single
+    assert sorted(i for i in single if i is not None) == [1, 4, 7, 8, 9, 10, 11, 12, 14]
+    assert single.count(None) == 1
 
 
 def test_run_on_documents(spark):
