@@ -7,7 +7,7 @@ Two layouts share the same column logic:
   is safe and costs one shuffle for all indicators together;
 * long series (ticks, articles): a key may hold any share of the rows. ``in_chunks`` cuts each
   key into fixed-length chunks that also carry the preceding rows, and ``running`` carries
-  chunk totals forward.
+  chunk totals forward, level by level.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from marketloom.operators.ordering import position_in_key
+from marketloom.workspace import written
 
 # Rows per smoothing block. A weight that is BLOCK rows old has decayed below e^-DECAYED for every
 # alpha >= 1/14, so one carry from the previous block is exact in double precision, and the
@@ -134,6 +135,87 @@ def in_chunks(
     return built.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk", "_position")
 
 
+#: Totals that meet in one window of a carry; above that they are totalled again, level by level.
+FAN_IN = 1024
+
+
+def _merged(kind: str, before: Column, after: Column) -> Column:
+    """One total of two neighbouring stretches; null where neither holds a value."""
+    return {
+        "sum": F.coalesce(before + after, after, before),
+        "product": F.coalesce(before * after, after, before),
+        "max": F.greatest(before, after),
+        "last": F.coalesce(after, before),
+    }[kind]
+
+
+def _total(kind: str, value: Column, place: Column) -> Column:
+    """Total of an unordered group; ``place`` tells which value is the last."""
+    if kind == "last":
+        return F.max_by(value, F.when(value.isNotNull(), place))
+    return {"sum": F.sum, "product": F.product, "max": F.max}[kind](value)
+
+
+def _along(kind: str, value: Column) -> Column:
+    """Total over an ordered window."""
+    if kind == "last":
+        return F.last(value, ignorenulls=True)
+    return {"sum": F.sum, "product": F.product, "max": F.max}[kind](value)
+
+
+def _lifted(rows: DataFrame, carry: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
+    """Join ``carry`` (keys, _place, _carry) to the rows' ``place`` as ``_lift``, null keys included."""
+    lifts = carry.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_place").alias("_of"),
+        F.col("_carry").alias("_lift"),
+    )
+    same = F.col(place) == F.col("_of")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return rows.join(lifts, same, "left")
+
+
+def carry_levels(
+    totals: DataFrame, keys: Sequence[str], last_place: int, kind: str, fan_in: int = FAN_IN
+) -> list[DataFrame]:
+    """Totals, totals of ``fan_in`` totals, and so on, until a key fits one group.
+
+    ``totals`` has ``_place`` (0-based along the key) and ``_total``; ``last_place`` is the largest
+    place. Each level has ``keys, _place, _group, _total``, at most ``fan_in`` rows a group, and a
+    ``fan_in``-th of the places below it.
+    """
+    group = F.floor(F.col("_place") / F.lit(fan_in))
+    levels = [totals.select(*keys, "_place", group.alias("_group"), "_total")]
+    while last_place >= fan_in:
+        last_place //= fan_in
+        above = (
+            levels[-1].groupBy(*keys, "_group")
+            .agg(_total(kind, F.col("_total"), F.col("_place")).alias("_total"))
+            .withColumnRenamed("_group", "_place")
+        )
+        levels.append(above.select(*keys, "_place", group.alias("_group"), "_total"))
+    return levels
+
+
+def carried(levels: Sequence[DataFrame], keys: Sequence[str], kind: str) -> DataFrame:
+    """What each place of the lowest level takes over from all places before it (``_carry``).
+
+    From the top down: the carry of a group, merged with the total of the group's places before.
+    """
+    before = Window.partitionBy(*keys, "_group").orderBy("_place").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    above = None
+    for level in reversed(levels):
+        within = level.withColumn("_carry", _along(kind, F.col("_total")).over(before))
+        if above is not None:
+            within = _lifted(within, above, keys, "_group").withColumn(
+                "_carry", _merged(kind, F.col("_lift"), F.col("_carry"))
+            )
+        above = within.select(*keys, "_place", "_carry")
+    return above
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -142,47 +224,33 @@ def running(
     name: str,
     kind: str = "sum",
     chunk_rows: int = CHUNK_ROWS,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Running ``sum``, ``product``, ``max`` or ``last`` (non-null) over series of any length.
 
-    Chunk totals (one row per chunk) are carried forward and combined with the running value
-    inside each chunk, so no task holds more than ``chunk_rows`` rows of one key.
+    Chunk totals are carried forward by levels (``carry_levels``) and combined with the running value
+    inside each chunk: no window holds more than ``chunk_rows`` rows or ``fan_in`` totals of one key,
+    however long it is. The placed rows are written once, since totals and result both read them.
+    A null key is a key like any other.
     """
-    total = {
-        "sum": F.sum, "product": F.product, "max": F.max,
-        "last": lambda c: F.last(c, ignorenulls=True),
-    }[kind]
-    placed = (
-        position_in_key(df, keys, order, "_position")
-        .withColumn("_chunk", F.floor(F.col("_position") / chunk_rows))
-        .withColumn("_value", value)
-    )
-    chunk_keys = [*keys, "_chunk"]
-    in_chunk = Window.partitionBy(*chunk_keys).orderBy("_position").rowsBetween(
-        Window.unboundedPreceding, 0
+    placed = written(
+        position_in_key(df.withColumn("_value", value), keys, order, "_position")
+        .withColumn("_place", F.floor(F.col("_position") / chunk_rows)),
+        "placed",
     )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
+    totals = placed.groupBy(*keys, "_place").agg(
+        _total(kind, F.col("_value"), F.col("_position")).alias("_total")
     )
-    chunk_total = (
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_position")))
-        if kind == "last" else total(F.col("_value"))
-    )
-    totals = (
-        placed.groupBy(*chunk_keys).agg(chunk_total.alias("_total"))
-        .select(*chunk_keys, total(F.col("_total")).over(earlier).alias("_carry"))
+    last_place = placed.agg(F.max("_place")).first()[0] or 0
+    if last_place >= fan_in:
+        totals = written(totals, "chunk-totals")
+    carry = carried(carry_levels(totals, keys, last_place, kind, fan_in), keys, kind)
+    in_chunk = Window.partitionBy(*keys, "_place").orderBy("_position").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    here, carry = total(F.col("_value")).over(in_chunk), F.col("_carry")
-    combined = {
-        "sum": F.coalesce(carry + F.col("_here"), F.col("_here"), carry),
-        "product": F.coalesce(carry * F.col("_here"), F.col("_here"), carry),
-        "max": F.greatest(carry, F.col("_here")),
-        "last": F.coalesce(F.col("_here"), carry),
-    }[kind]
-    return (
-        placed.withColumn("_here", here)
-        .join(totals, chunk_keys, "left")
-        .select(*df.columns, combined.alias(name))
+    here = placed.withColumn("_here", _along(kind, F.col("_value")).over(in_chunk))
+    return _lifted(here, carry, keys, "_place").select(
+        *df.columns, _merged(kind, F.col("_lift"), F.col("_here")).alias(name)
     )
 
 

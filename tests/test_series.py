@@ -76,12 +76,13 @@ def test_chunked_series_equal_whole_series(ticks):
             assert got[key, at] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("fan_in", [3])
 @pytest.mark.parametrize("kind", ["sum", "product", "max", "last"])
-def test_running_values(spark, kind):
+def test_running_values(spark, kind, fan_in):
     rng = random.Random(9)
-    rows = [("a" if k % 5 else "b", k, rng.choice([None, rng.uniform(0.9, 1.1)])) for k in range(400)]
+    rows = [("a" if k % 5 else None, k, rng.choice([None, rng.uniform(0.9, 1.1)])) for k in range(400)]
     df = spark.createDataFrame(rows, "key string, at bigint, value double").repartition(4)
-    got = sr.running(df, ["key"], ["at"], F.col("value"), "y", kind, chunk_rows=16).collect()
+    got = sr.running(df, ["key"], ["at"], F.col("value"), "y", kind, 16, fan_in).collect()
     got = {(r["key"], r["at"]): r["y"] for r in got}
     for key, series in by_key(rows).items():
         y = None
@@ -94,6 +95,28 @@ def test_running_values(spark, kind):
             assert got[key, at] == (pytest.approx(y) if y is not None else None)
 
 
+def test_a_key_of_many_chunks_meets_in_bounded_groups(spark):
+    """100,000 chunks of one key: no level puts more than the fan-in into one window."""
+    totals = spark.range(100_000).select(
+        F.lit("hot").alias("key"), F.col("id").alias("_place"), F.col("id").alias("_total")
+    )
+    levels = sr.carry_levels(totals, ["key"], 99_999, "sum", fan_in=32)
+    sizes = [
+        level.groupBy("key", "_group").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+        for level in levels
+    ]
+    assert [tuple(s) for s in sizes] == [(32, 100_000, 3125), (32, 3125, 98), (32, 98, 4), (4, 4, 1)]
+    carry = sr.carried(levels, ["key"], "sum")
+    place = F.col("_place")
+    wrong = carry.filter(~F.col("_carry").eqNullSafe(F.when(place > 0, (place * (place - 1) / 2).cast("bigint"))))
+    assert carry.count() == 100_000 and wrong.count() == 0
+
+
+def test_running_over_an_empty_table(spark):
+    empty = spark.createDataFrame([], "key string, at bigint, value double")
+    assert sr.running(empty, ["key"], ["at"], F.col("value"), "y").collect() == []
+
+
 def test_numbering_positions_and_medians(ticks):
     rows, df = ticks
     numbers = {r["at"]: r["idx"] for r in od.numbered(df, ["at"]).collect()}
