@@ -6,6 +6,8 @@ the state, so the SQL keeps closed windows only.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketloom.plans.price_queries import rounded
@@ -13,7 +15,10 @@ from marketloom.plans.registry import query
 from marketloom.plans.tables import ARTICLES_SQL, table
 from marketloom.plans.text_queries import cleaned_sql
 from marketloom.streaming import articles as st
+from marketloom.workspace import new_path
 
+#: Stretches of time in which the remembered stream lands.
+_LANDINGS = 4
 _CLOSED = "(SELECT max(date) - INTERVAL 10 MINUTE FROM articles)"
 
 
@@ -22,10 +27,10 @@ def _stream_of(spark, sf_dir, name):
     return st.landed(spark, sf_dir, schema, pattern=f"{name}.parquet")
 
 
-def article_stream(spark, sf_dir):
-    """Events as a stream of scored articles with event time."""
+def scored_events(events):
+    """Events as scored articles with event time."""
     score = 1 - 2 / (1 + F.col("value") / 20)
-    return _stream_of(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("article_id"),
         F.col("ts").cast("timestamp").alias("date"),
         F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("ticker"),
@@ -36,6 +41,11 @@ def article_stream(spark, sf_dir):
     )
 
 
+def article_stream(spark, sf_dir):
+    """Events as a stream of scored articles."""
+    return scored_events(_stream_of(spark, sf_dir, "events"))
+
+
 @query(
     "j1_streaming_clean",
     f"WITH {cleaned_sql('documents', 'doc_id', 'text')} SELECT doc_id, "
@@ -58,6 +68,31 @@ def j2(spark, sf_dir):
     return st.drain(stream.select("hash"), "j2")
 
 
+@query(
+    "j2_remembered_headlines",
+    f"""WITH {ARTICLES_SQL} SELECT md5(lower(source || ' ' || CAST(trunc(value) AS INTEGER))) AS hash,
+      arg_min(article_id, struct_pack(date, article_id)) AS article_id, min(date) AS date
+    FROM (SELECT a.*, value FROM articles a JOIN events ON article_id = event_id) GROUP BY 1""",
+)
+def j2_remembered(spark, sf_dir):
+    """The events land in four stretches of time, beyond any watermark; the stream starts anew for each."""
+    events = table(spark, sf_dir, "events")
+    ends = events.select(F.min("ts"), F.max("ts")).first()
+    path = new_path(spark, "j2-memory")
+    low, high = (end or dt.datetime(1970, 1, 1) for end in ends)
+    step, kept = (high - low) / _LANDINGS, None
+    for n in range(_LANDINGS):
+        part = F.col("ts") >= F.lit(low + n * step)
+        if n + 1 < _LANDINGS:
+            part = part & (F.col("ts") < F.lit(low + (n + 1) * step))
+        events.filter(part).write.parquet(f"{path}/landed/{n}")
+        landed = st.landed(spark, f"{path}/landed/*", events.schema)
+        kept = st.remember(
+            scored_events(landed).select("article_id", "date", "headline"), f"{path}/state"
+        )
+    return kept.select("hash", "article_id", F.col("date").cast("timestamp_ntz").alias("date"))
+
+
 @query(
     "j3_streaming_daily",
     f"""WITH {ARTICLES_SQL} SELECT ticker, CAST(date AS DATE) AS day,

@@ -2,11 +2,14 @@
 
 Event time must be TIMESTAMP and the session zone UTC, so that daily windows start at midnight
 UTC. The watermark bounds all state: rows later than it are dropped, and a duplicate that
-arrives after it has passed is admitted again.
+arrives after it has passed is admitted again, except by ``remember``, which keeps what it has
+seen in stored tables instead of in state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,3 +126,71 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     )
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+#: Tables of the memory that are merged into one at a time.
+MERGED_TABLES = 16
+
+
+def _span(number: int) -> int:
+    """How many batches the memory table of batch ``number`` (from 1) covers, itself included: the
+    largest power of ``MERGED_TABLES`` that divides the number."""
+    span = 1
+    while number % (span * MERGED_TABLES) == 0:
+        span *= MERGED_TABLES
+    return span
+
+
+def _tables(last: int, first: int = 1) -> Iterator[int]:
+    """The memory tables that together cover the batches ``first`` to ``last``."""
+    while last >= first:
+        yield last
+        last -= _span(last)
+
+
+def remember(
+    articles: DataFrame, path: str, text: str = "headline", time: str = "date"
+) -> DataFrame:
+    """One article per normalised headline for good, over everything that has landed so far.
+
+    Calling it again on the same ``path`` goes on where the last call ended, after a crash too. The
+    result is the table of all articles kept until now, with their ``hash``. Of the copies in one
+    micro-batch the one of least ``time`` stays (nulls last; ties by the other columns); a null text is
+    an empty headline.
+
+    ``path`` holds ``progress``, ``rows`` and ``memory``, the hashes. Each batch joins its own hashes
+    to the memory; the batch is the small side, so the optimizer broadcasts it, or puts a Bloom filter
+    of it before the shuffle of a large memory: streaming state stays empty, whatever the number
+    of headlines. Batch ``n`` writes one memory table, which merges those before it as ``n`` has factors of
+    ``MERGED_TABLES``; a reader needs a few tables for any number of batches. What a batch reads and writes
+    follows from its number alone, so a repeated batch overwrites its own tables with the same headlines.
+    """
+    spark = articles.sparkSession
+    kept_schema = T.StructType([*articles.schema.fields, T.StructField("hash", T.StringType())])
+    hash_schema = T.StructType([T.StructField("hash", T.StringType())])
+
+    def memory(numbers: Iterator[int]) -> DataFrame:
+        paths = [f"{path}/memory/{n}" for n in numbers]
+        reader = spark.read.schema(hash_schema)
+        return reader.parquet(*paths) if paths else spark.createDataFrame([], hash_schema)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        number = batch_id + 1
+        hashed = batch.withColumn("hash", headline_hash(F.coalesce(F.col(text), F.lit(""))))
+        fresh = hashed.join(memory(_tables(batch_id)), "hash", "left_anti")
+        order = F.struct(F.col(time).isNull(), F.col(time), *batch.columns)
+        first = fresh.groupBy("hash").agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
+        target = f"{path}/rows/batch={number}"
+        first.select("_row.*", "hash").write.mode("overwrite").parquet(target)
+        added = spark.read.schema(kept_schema).parquet(target).select("hash")
+        merged = memory(_tables(batch_id, number - _span(number) + 1))
+        added.unionByName(merged).write.mode("overwrite").parquet(f"{path}/memory/{number}")
+
+    running = (
+        articles.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(kept_schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
