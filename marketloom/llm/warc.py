@@ -4,7 +4,9 @@ A reader cannot trust the magic string, since payloads may hold it. Tasks read s
 magics and emit, for each, the offset of a candidate record and the offset at which its successor
 would have to start (from its own Content-Length). Pointer jumping from the start of each file then
 keeps the candidates on the chain: in round ``r`` every kept record also keeps the record ``2**r``
-further on. A magic inside a payload is never on the chain.
+further on. A magic inside a payload is never on the chain. Records of one stretch are read at once;
+those whose payload holds the magic are put together from their stretches in a second pass, when the
+chain is known, so a candidate never holds bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ _END = b"\r\n\r\n"
 _RECORD = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_HELD_BYTES = 1 << 28
 
 
 def base32_sha1(text: Column) -> Column:
@@ -151,62 +152,71 @@ def _completed(row: dict, record: bytes) -> tuple[dict, bytes]:
     return row, payload
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int, bytes]]]:
+    """``file, block, at, bytes after the magic`` batch by batch; ``at`` is -1 before a file's first magic."""
+    place, at = None, 0
+    for batch in batches:
+        found = []
+        for raw, file, block in zip(*(batch.column(i) for i in range(3))):
+            raw, here = raw.as_buffer().to_pybytes(), (file.as_py(), block.as_py())
+            leading = here != place and here[1] == 0
+            if here != place:
+                place, at = here, 0
+            found.append((*here, -1 if leading else at, raw))
+            at += len(raw) + (0 if leading else len(MAGIC))
+        yield found
+
+
 def _candidates(with_payload: bool):
-    """Candidates of each file stretch by stretch; a payload with magics inside stays open meanwhile."""
+    """A candidate a stretch; it is whole if its record ends within the stretch."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        place, at, first, open_, held = None, 0, True, [], 0
-        rows: list[dict] = []
-
-        def close() -> None:
-            for row, *_ in open_:
+        schema = _arrow_schema(with_payload)
+        for found in _stretches(batches):
+            rows = []
+            for file, block, at, raw in found:
+                if at < 0:
+                    row, size = {"file": file, "block": block, "at": at, "next": -1, "whole": False}, None
+                else:
+                    row, size = _described(file, block, at, raw)
+                row["stretch"] = len(raw) + (len(MAGIC) if at >= 0 else 0)
+                if size is not None and size <= len(raw):
+                    row, payload = _completed(row, raw[:size])
+                    row |= {"payload": payload} if with_payload else {}
                 row.pop("_digest", None)
                 rows.append(row)
-            open_.clear()
-
-        for batch in batches:
-            for raw, file, block in zip(*(batch.column(i) for i in range(3))):
-                raw, here = raw.as_buffer().to_pybytes(), (file.as_py(), block.as_py())
-                if here != place:
-                    close()
-                    place, at, first, held = here, 0, here[1] == 0, 0
-                before = b"" if first else MAGIC
-                for entry in open_:
-                    entry[2].append(before + raw)
-                    entry[3] += len(before) + len(raw)
-                done = [e for e in open_ if e[3] >= e[1]]
-                open_[:] = [e for e in open_ if e[3] < e[1]]
-                held = sum(e[3] for e in open_)
-                if held > _HELD_BYTES:
-                    close()
-                for row, size, parts, _ in done:
-                    row, payload = _completed(row, b"".join(parts)[:size])
-                    rows.append(row | {"payload": payload} if with_payload else row)
-                if first:
-                    rows.append({"file": place[0], "block": place[1], "at": -1, "next": -1,
-                                 "stretch": len(raw), "whole": False})
-                else:
-                    row, size = _described(*place, at, raw)
-                    row["stretch"] = len(MAGIC) + len(raw)
-                    if size is None:
-                        rows.append(row)
-                    elif size <= len(raw):
-                        row, payload = _completed(row, raw[:size])
-                        rows.append(row | {"payload": payload} if with_payload else row)
-                    else:
-                        open_.append([row, size, [raw], len(raw)])
-                at += len(before) + len(raw)
-                first = False
-            schema = schema or _arrow_schema(with_payload)
-            yield pa.RecordBatch.from_pylist(rows, schema)
-            rows.clear()
-        close()
-        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return task
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches again, by their place and with their magic."""
+    for found in _stretches(batches):
+        files, blocks, ats, raws = zip(*found) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(files, pa.string()), pa.array(blocks, pa.int64()), pa.array(ats, pa.int64()),
+            pa.array([raw if at < 0 else MAGIC + raw for at, raw in zip(ats, raws)], pa.binary()),
+        ], names=["file", "block", "at", "raw"])
+
+
+def _assembled(with_payload: bool):
+    """The record of one owner from its stretches."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start", kind="stable")
+        file, block, at = (pdf[c].iloc[0] for c in ("file", "block", "at"))
+        record = b"".join(pdf["raw"])[len(MAGIC):]
+        row, size = _described(file, int(block), int(at), record)
+        if size is not None and size <= len(record):
+            row, payload = _completed(row, record[:size])
+            row |= {"payload": payload} if with_payload else {}
+        names = [f.name for f in _arrow_schema(with_payload)]
+        return pa.Table.from_pylist([{n: row.get(n) for n in names}], _arrow_schema(with_payload)).to_pandas(
+            types_mapper={pa.int64(): pd.Int64Dtype()}.get
+        )
+
+    return one
+
+
 def _arrow_schema(with_payload: bool) -> pa.Schema:
     types = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
     fields = [f.split(" ") for f in _CANDIDATE.split(", ")]
@@ -230,15 +240,27 @@ def on_chain(at: np.ndarray, next_: np.ndarray) -> np.ndarray:
         jump = np.where(jump >= 0, jump[jump], -1)
 
 
+_CHAIN = "file string, block bigint, at bigint, start bigint, owner bigint, whole boolean"
+
+
 def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The records on the chain of one file, and the stretches of those that are not whole.
+
+    ``start`` is the place in the file, ``owner`` that of the record a stretch belongs to.
+    """
     sizes = pdf.groupby("block")["stretch"].sum().sort_index()
-    base = (sizes.cumsum() - sizes).to_dict()
-    lift = pdf["block"].map(base)
+    lift = pdf["block"].map((sizes.cumsum() - sizes).to_dict())
     some = pdf[pdf["at"] >= 0].assign(lift=lift)
     some = some.assign(start=some["at"] + some["lift"], to=some["next"] + some["lift"])
     some = some.sort_values("start", kind="stable")
-    kept = some[on_chain(some["start"].to_numpy(), some["to"].to_numpy())]
-    return kept[["file", "block", "at"]]
+    start = some["start"].to_numpy()
+    records = some[on_chain(start, some["to"].to_numpy())]
+    if not len(records):
+        return pd.DataFrame({c.split(" ")[0]: [] for c in _CHAIN.split(", ")})
+    at = np.searchsorted(records["start"].to_numpy(), start, "right") - 1
+    some = some.assign(owner=records["start"].to_numpy()[at], whole=records["whole"].to_numpy()[at])
+    some = some[(some["owner"] == some["start"]) | ~some["whole"].astype(bool)]
+    return some[["file", "block", "at", "start", "owner", "whole"]]
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -247,9 +269,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     Returns ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact`` and,
     if wanted, ``payload``. Size and digest of a response are taken from the payload itself
     (``intact``: they agree with its header); a revisit has no payload and states them.
-    The chain of one file is followed in one task, on offsets alone. A record on the chain that could
-    not be read whole, since the file is cut short or was split inside a payload that holds the magic,
-    raises an error.
+    The chain of one file is followed in one task, on offsets alone. A record whose payload holds
+    the magic spans several stretches; the archives are then read once more, and its stretches meet in
+    the task of that record. A record on the chain that is not whole (the file is cut short) raises an error.
     """
     stretches = spark.read.option("lineSep", MAGIC.decode()).text(path).select(
         F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"),
@@ -257,24 +279,33 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     )
     schema = _CANDIDATE + (", payload binary" if with_payload else "")
     found = written(stretches.mapInArrow(_candidates(with_payload), schema), "candidates")
-    chain = found.select("file", "block", "at", "next", "stretch").groupBy("file").applyInPandas(
-        _chains, "file string, block bigint, at bigint"
+    chain = written(
+        found.select("file", "block", "at", "next", "stretch", "whole").groupBy("file")
+        .applyInPandas(_chains, _CHAIN),
+        "chain",
     )
     key = ["file", "block", "at"]
+    kept = found.join(chain.filter("whole"), key, "left_semi")
+    spread = chain.filter("not whole").drop("whole")
+    if not spread.isEmpty():
+        pieces = stretches.mapInArrow(_pieces, "file string, block bigint, at bigint, raw binary")
+        kept = kept.unionByName(
+            pieces.join(spread, key).groupBy("file", "owner").applyInPandas(_assembled(with_payload), schema)
+        )
     checked = F.when(F.col("whole"), F.col("record_type")).otherwise(
         F.raise_error(F.concat(F.lit("record not whole in "), F.col("file")))
     )
-    kept = found.join(chain, key, "left_semi").withColumn("record_type", checked)
     columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "intact"]
-    return kept.select(*columns, *(["payload"] if with_payload else []))
+    return kept.withColumn("record_type", checked).select(*columns, *(["payload"] if with_payload else []))
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as archives to the shared folder and read them back.
 
     One row per row of ``pages``, repeated rows included: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url, intact``. Extra columns are ignored; an empty table gives an empty
-    result.
+    record_type, refers_to, url, intact``. A null html is an empty payload; payloads of any length and
+    with any number of magics come back whole; of equal payloads that of the largest ``page_id`` is the
+    response (rows that share it all are). Extra columns are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = new_path(spark, "archives")

@@ -71,6 +71,36 @@ def test_a_cut_file_is_an_error(spark, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/c.warc").collect()
 
 
+def test_a_page_of_ten_thousand_false_headers(spark, tmp_path):
+    """Each claims more than the rest of the file; none of them holds bytes or ends up on the chain."""
+    false = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9000000\r\n\r\n" + "z" * 40
+    pages = spark.createDataFrame(
+        [(1, "a", false * 10_000), (2, "b", "plain"), (3, "c", "x" + false * 3), (4, "a", false * 10_000)],
+        "page_id long, url string, html string",
+    ).coalesce(1)
+    rows = {r.page_id: r for r in warc.archived(pages).collect()}
+    body = (false * 10_000).encode()
+    assert len(rows) == 4 and all(r.intact for r in rows.values())
+    assert (rows[4].record_type, rows[4].payload_bytes) == ("response", len(body))
+    assert (rows[1].record_type, rows[1].refers_to, rows[1].payload_bytes) == ("revisit", 4, len(body))
+    assert rows[4].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+    assert rows[3].payload_bytes == 1 + 3 * len(false)
+
+
+def test_false_headers_in_split_plain_files(spark, tmp_path):
+    """A record whose stretches are read by several tasks is put together."""
+    html = "é" + EVIL * 200
+    pages = spark.createDataFrame([(k, None, f"{k} {html}") for k in range(5)], "page_id long, url string, html string")
+    warc.records(pages).coalesce(1).write.option("lineSep", "\r\n\r\n").text(f"file://{tmp_path}/d")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = warc.read_archives(spark, f"file://{tmp_path}/d", with_payload=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.page_id: bytes(r.payload).decode() for r in rows} == {k: f"{k} {html}" for k in range(5)}
+
+
 def test_chain_equals_walking():
     rng = np.random.default_rng(1)
     for _ in range(50):
