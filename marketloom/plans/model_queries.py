@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from marketloom.operators import models as md
 from marketloom.operators import splits as sp
 from marketloom.operators.features import trim
+from marketloom.operators.serving import Bundle
 from marketloom.plans.feature_queries import FEATURES_SQL, scaled_features
 from marketloom.plans.price_queries import INDICATORS_SQL, indicators, rounded, rounded_sql
 from marketloom.plans.registry import query
-from marketloom.plans.tables import table
+from marketloom.plans.sentiment_queries import PROSE, words_in
+from marketloom.plans.tables import BRANDS, bars, headlines, table
+from marketloom.plans.text_queries import cleaned_sql, strip_sql
 from marketloom.workspace import new_path
 
 
@@ -182,3 +185,47 @@ def g6_round_trip(spark, sf_dir):
     )
     both = before.join(after, ["ticker", "date"])
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("different"))
+
+
+_NO_NEWS_SCORE = (
+    f"(exp(0) - exp({PROSE.gain})) / (exp(0) + exp({PROSE.gain}) + exp({PROSE.neutral_bias}))"
+)
+
+
+@query(
+    "g5_predict_own_tables",
+    f"""WITH {cleaned_sql('documents', 'doc_id', 'text')},
+    asked AS (SELECT DISTINCT p_brand AS ticker FROM part UNION ALL SELECT r_name FROM region),
+    news AS (SELECT DISTINCT 'Brand#' || CAST(doc_id % {BRANDS} + 1 AS VARCHAR) AS ticker,
+      {strip_sql('lower(substring(text, 1, 512))')} AS headline FROM cleaned
+      WHERE length(substring(text, 1, 512)) >= 10),
+    tokens AS (SELECT *, regexp_split_to_array(headline, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w FROM news),
+    hits AS (SELECT ticker, CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.positive)})) AS DOUBLE) AS p,
+      CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.negative)})) AS DOUBLE) AS n,
+      CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.neutral)})) AS DOUBLE) AS u FROM tokens),
+    grown AS (SELECT ticker, exp({PROSE.gain} * p / greatest(p + n + u, 1)) AS ep,
+      exp({PROSE.gain} * n / greatest(p + n + u, 1)) AS en,
+      exp({PROSE.gain} * u / greatest(p + n + u, 1) + {PROSE.neutral_bias}) AS eu FROM hits),
+    means AS (SELECT ticker, avg((ep - en) / (ep + en + eu)) AS s, count(*) AS c FROM grown GROUP BY ticker)
+    SELECT ticker, coalesce(c, 1) AS news_count, round(coalesce(s, {_NO_NEWS_SCORE}), 6) AS current_sentiment,
+      ticker IN (SELECT r_name FROM region) AS undecided, true AS valid
+    FROM asked LEFT JOIN means USING (ticker)""",
+)
+def g5_own_tables(spark, sf_dir):
+    """Brands, and places that have neither news nor bars, by a stored bundle without a scaler."""
+    rows = samples(spark, sf_dir)
+    path = new_path(spark, "bundle")
+    Bundle(md.fit(_part(rows, "train"), 0.01)).save(path)
+    asked = table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker")).distinct().unionByName(
+        table(spark, sf_dir, "region").select(F.col("r_name").alias("ticker"))
+    )
+    cards = Bundle.load(spark, path).predict(
+        asked, bars(spark, sf_dir), headlines(spark, sf_dir), PROSE
+    )
+    up = F.col("predicted_direction") == 1
+    return cards.select(
+        "ticker", "news_count", *rounded("current_sentiment", digits=6),
+        (F.col("confidence") == 0.5).alias("undecided"),
+        (F.col("confidence").between(0.5, 1.0) & F.col("predicted_return").isNotNull()
+         & (F.col("direction_label") == F.when(up, "UP").otherwise("DOWN"))).alias("valid"),
+    )

@@ -22,7 +22,7 @@ PROSE = Lexicon(
 )
 
 
-def _in(words) -> str:
+def words_in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
@@ -30,9 +30,9 @@ SCORED_SQL = HEADLINES_SQL + f""",
 tokens AS (SELECT *, regexp_split_to_array(lower(headline), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w
            FROM headlines),
 hits AS (SELECT doc_id, headline, date, ticker, source,
-  CAST(len(list_filter(w, lambda t: t IN {_in(PROSE.positive)})) AS DOUBLE) AS p,
-  CAST(len(list_filter(w, lambda t: t IN {_in(PROSE.negative)})) AS DOUBLE) AS n,
-  CAST(len(list_filter(w, lambda t: t IN {_in(PROSE.neutral)})) AS DOUBLE) AS u FROM tokens),
+  CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.positive)})) AS DOUBLE) AS p,
+  CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.negative)})) AS DOUBLE) AS n,
+  CAST(len(list_filter(w, lambda t: t IN {words_in(PROSE.neutral)})) AS DOUBLE) AS u FROM tokens),
 grown AS (SELECT *, exp({PROSE.gain} * p / greatest(p + n + u, 1)) AS ep,
   exp({PROSE.gain} * n / greatest(p + n + u, 1)) AS en,
   exp({PROSE.gain} * u / greatest(p + n + u, 1) + {PROSE.neutral_bias}) AS eu FROM hits),

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from marketloom.operators import embedding as em
 from marketloom.operators import approximate as ap
 from marketloom.operators import similarity as sm
-from marketloom.operators.ordering import top_per_key
+from marketloom.operators.serving import TextIndex
 from marketloom.plans.price_queries import rounded
 from marketloom.plans.registry import query
 from marketloom.plans.sentiment_queries import SCORED_SQL, scored
-from marketloom.workspace import written
-from marketloom.plans.tables import table
+from marketloom.workspace import new_path
+from marketloom.plans.tables import headlines, table
 from marketloom.plans.text_queries import strip_sql, _lit
 from marketloom.functions.text import SPACES_PATTERN
 from marketloom.settings import DEFAULTS
@@ -264,13 +264,10 @@ text_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY quer
   ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM text_scores) WHERE rank <= 5)"""
 
 
-def text_search(spark, sf_dir, queries, k=DEFAULTS.top_k_similar):
-    """Search all documents for each query text (query_id, text)."""
-    docs = em.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    weights = em.slot_weights(docs)
-    index = sm.build(em.embed(docs, weights), vec_id="doc_id")
-    asked = em.with_slots(queries.select("query_id", "text"), "text")
-    return sm.search(index, em.embed(asked, weights), k)
+def text_index(spark, sf_dir):
+    """All documents, embedded and stored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TextIndex.store(docs, new_path(spark, "text-index"))
 
 
 @query(
@@ -280,7 +277,7 @@ def text_search(spark, sf_dir, queries, k=DEFAULTS.top_k_similar):
 )
 def d5(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return text_search(spark, sf_dir, asked).select(
+    return text_index(spark, sf_dir).search(asked).select(
         "query_id", "rank", "vec_id", *rounded("similarity_score", digits=6)
     )
 
@@ -302,15 +299,10 @@ def d5(spark, sf_dir):
 )
 def d9(spark, sf_dir):
     order = [F.col("date").desc_nulls_last(), F.col("doc_id")]
-    # Ids first; the few texts are fetched for them.
-    latest = written(top_per_key(
-        scored(spark, sf_dir).select("doc_id", "ticker", "date"),
-        ["ticker"], order, 5, rank="position",
-    ).select(F.col("doc_id").alias("query_id"), "ticker", "position"), "latest")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text")
-    hits = text_search(spark, sf_dir, texts.join(latest.select("query_id"), "query_id"))
+    news = headlines(spark, sf_dir).select("doc_id", "ticker", "headline", "date")
+    hits = text_index(spark, sf_dir).similar_to_latest(news, order)
     labels = scored(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "label")
-    return hits.join(latest, "query_id").join(labels, "vec_id").select(
+    return hits.join(labels, "vec_id").select(
         "ticker", "position", "query_id", "rank", "vec_id", "label",
         *rounded("similarity_score", digits=6),
     )
