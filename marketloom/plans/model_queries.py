@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from marketloom.operators import joint as jt
 from marketloom.operators import models as md
 from marketloom.operators import splits as sp
 from marketloom.operators.features import trim
@@ -229,3 +231,71 @@ def g5_own_tables(spark, sf_dir):
         (F.col("confidence").between(0.5, 1.0) & F.col("predicted_return").isNotNull()
          & (F.col("direction_label") == F.when(up, "UP").otherwise("DOWN"))).alias("valid"),
     )
+
+
+_LINE_SQL = INDICATORS_SQL + """, line AS MATERIALIZED (SELECT 10 * returns AS x,
+    CAST(target_direction AS DOUBLE) AS up, 10 * target_return AS gain, year(date) >= 1998 AS held
+  FROM indicators WHERE rn >= 25 AND next_date IS NOT NULL)"""
+
+
+def line_samples(spark, sf_dir):
+    """Samples of one feature, later years held out."""
+    rows = trim(indicators(spark, sf_dir)).select(
+        "date", "target_direction", (10 * F.col("target_return")).alias("target_return"),
+        F.array(F.array(10 * F.col("returns"))).alias("sequence"),
+    )
+    return md.samples(rows)
+
+
+@query(
+    "g1_direction_fit",
+    f"WITH RECURSIVE {_LINE_SQL} SELECT count(*) AS n, round(avg(up), 3) AS mean_probability, "
+    "round(avg(up * x), 3) AS mean_probability_x FROM line",
+)
+def g1_direction(spark, sf_dir):
+    """At its optimum without penalty the direction model's gradient is zero: its probabilities, plain and
+    times the feature, have the means of the labels."""
+    rows = line_samples(spark, sf_dir)
+    fitted = md.fit(rows, 0.0, iterations=100)
+    x = vector_to_array("features")[0]
+    told = md.predict(fitted, rows.withColumn("x", x))
+    return told.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 3).alias("mean_probability"),
+        F.round(F.avg(F.col("probability") * F.col("x")), 3).alias("mean_probability_x"),
+    )
+
+
+@query(
+    "g2_best_state",
+    f"""WITH RECURSIVE {_LINE_SQL},
+    norm AS (SELECT sum(x * x + 1) AS q FROM line WHERE NOT held),
+    states(it, wd, bd, wr, br, pwd, pbd, pwr, pbr) AS (
+      SELECT 0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0
+      UNION ALL
+      SELECT it + 1, any_value(awd) - 4 * sum((p - up) * x) / any_value(q),
+        any_value(abd) - 4 * sum(p - up) / any_value(q), any_value(awr) - sum((r - gain) * x) / any_value(q),
+        any_value(abr) - sum(r - gain) / any_value(q),
+        any_value(wd), any_value(bd), any_value(wr), any_value(br)
+      FROM (SELECT s.*, x, up, gain, q, 1 / (1 + exp(-(awd * x + abd))) AS p, awr * x + abr AS r
+        FROM (SELECT *, wd + push * (wd - pwd) AS awd, bd + push * (bd - pbd) AS abd,
+                wr + push * (wr - pwr) AS awr, br + push * (br - pbr) AS abr
+              FROM (SELECT *, greatest(0, it - 1) / (it + 2.0e0) AS push FROM states WHERE it < 8)) s,
+          line, norm WHERE NOT held)
+      GROUP BY it),
+    losses AS (SELECT it AS iteration,
+      0.7e0 * avg(bce) FILTER (WHERE NOT held) + 0.3e0 * avg(mse) FILTER (WHERE NOT held) AS train_loss,
+      avg(bce) FILTER (WHERE held) AS direction_loss, avg(mse) FILTER (WHERE held) AS return_loss
+      FROM (SELECT it, held, (wr * x + br - gain) ** 2 AS mse,
+              ln(1 + exp(CASE WHEN up = 1 THEN -1 ELSE 1 END * (wd * x + bd))) AS bce FROM states, line)
+      GROUP BY it)
+    SELECT iteration, round(train_loss, 6) AS train_loss, round(direction_loss, 6) AS direction_loss,
+      round(return_loss, 6) AS return_loss,
+      iteration = (SELECT arg_min(iteration, 0.7e0 * direction_loss + 0.3e0 * return_loss) FROM losses) AS chosen
+    FROM losses""",
+)
+def g2_best_state(spark, sf_dir):
+    """Losses of every state of a joint fit of one feature; SQL takes the same steps by recursion."""
+    rows = line_samples(spark, sf_dir)
+    held = F.year("date") >= 1998
+    losses = jt.fit(rows.filter(~held), rows.filter(held), iterations=8)[1]
+    return losses.select("iteration", *rounded("train_loss", "direction_loss", "return_loss", digits=6), "chosen")
