@@ -15,8 +15,8 @@ BLOCK_TAGS = frozenset(
 )
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 UNSEEN_TAGS = frozenset(
-    "script style title noscript iframe noembed noframes template textarea select button svg math "
-    "object canvas audio video map datalist head".split()
+    "script style title noscript iframe noembed noframes template textarea select button svg "
+    "object canvas audio video map datalist head annotation annotation-xml".split()
 )
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()

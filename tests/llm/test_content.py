@@ -88,3 +88,11 @@ def test_boxes_inside_the_article_are_boilerplate(outer, box, tag):
     page = f"""<div class="page with-sidebar ad"><{outer}><h1>Head</h1><p>{text}</p><{tag} class="{box}"><p>{note}</p></{tag}>
     <div class="layout with-sidebar"><p>{text}</p></div></{outer}></div>"""
     assert content.main_text(page, PLAIN).split("\n") == ["Head", text, text]
+
+
+def test_formulas_are_text():
+    page = (
+        "<main><article><p>Let <math><semantics><mi>x</mi><annotation encoding='tex'>\\bar x</annotation>"
+        "</semantics></math> be here, as it was said before.</p></article></main>"
+    )
+    assert content.main_text(page, PLAIN) == "Let x be here, as it was said before."
