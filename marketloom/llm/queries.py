@@ -64,10 +64,7 @@ def op9_bpe_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from marketloom.llm.bpe_dropout import encoded
 
-    return encoded(
-        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
-        with_ids=False,
-    )
+    return encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @_query

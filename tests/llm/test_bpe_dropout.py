@@ -55,3 +55,12 @@ def test_odd_rows(spark, odd_docs, odd_frame, empty_frame):
     back = sorted(bpe_dropout.decoded(rows, PATH).collect(), key=repr)
     assert back == sorted([(d[0], d[1]) for d in odd_docs], key=lambda r: repr(back[0].__class__(doc_id=r[0], text=r[1])))
     assert bpe_dropout.encoded(empty_frame, PATH).collect() == []
+
+
+def test_the_query_returns_ids_that_decode(spark):
+    from marketloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["op9_bpe_dropout"](spark, folder)
+    told = {(r.doc_id, r.text) for r in bpe_dropout.decoded(rows, PATH).collect()}
+    assert told == {(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
