@@ -68,3 +68,22 @@ def test_nothing_to_search(spark, vectors):
     some = sm.build(spark.createDataFrame(rows[:5], SCHEMA))
     assert ap.search(ap.build(some), asked.limit(0)).count() == 0
     assert ap.search(ap.build(some), asked.withColumn("embedding", F.lit(None).cast("array<double>"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["d4_approximate_search", "d4_search_quality"])
+def test_registered_queries_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as entry_module
+    from tools.check_oracle import compare
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist(), i % 10) for i in range(1000)]
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    note, good = compare(
+        spark, con, str(tmp_path), name, entry_module.queries()[name], entry_module.oracle_sql()[name]
+    )
+    assert good, note
