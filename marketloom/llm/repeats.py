@@ -14,8 +14,9 @@ A byte goes if it lies in a string of ``WINDOW`` bytes that also starts earlier,
 
 An anchor that a bounded share of a fixed sample of the texts holds (a licence line in a third of
 all documents) would be one big group with a different context each time. Such anchors are dealt out by
-context in step 2, and in step 3 their windows meet by content, as partially aggregated
-minima. The result is the same either way.
+context in step 2. In step 3 every anchor with many contexts, counted exactly, is divided: a context becomes
+two pieces that overlap by a window less one byte, pieces meet by the bytes that all their windows hold, equal pieces
+are settled by their earliest, and parts that are still large are halved again. The result is the same either way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ FREQUENT_AT_MOST = 200_000
 _CHUNK_BYTES = 1 << 22
 _SUFFIX_BYTES = 1 << 19
 _TASK_CONTEXTS = 20_000
+# Contexts of one anchor, and pieces of one part, that are searched together at most.
+GROUP_CONTEXTS = 2_048
 _SPARE = 16
 _NO_ID = (1 << 63) - 1
 
@@ -203,13 +207,13 @@ def _settled(batches: Batches) -> Batches:
             )
 
 
-_CUT = f"anchor bigint, {_DOC}, low int, kind int, body binary"
+_CUT = f"anchor bigint, {_DOC}, low int, at int, body binary"
 
 
 def _cut_contexts(batches: Batches) -> Batches:
     """The bytes of each wanted context."""
     for batch in batches:
-        out = {n: [] for n in ("anchor", "doc", "mark", "low", "kind", "body")}
+        out = {n: [] for n in ("anchor", "doc", "mark", "low", "at", "body")}
         rows = zip(*(batch.column(n).to_pylist() for n in ("doc", "mark")), batch.column("body"),
                    batch.column("wanted"))
         for doc, mark, body, wanted in rows:
@@ -219,7 +223,7 @@ def _cut_contexts(batches: Batches) -> Batches:
                 out["doc"].append(doc)
                 out["mark"].append(mark)
                 out["low"].append(want["low"])
-                out["kind"].append(want["kind"])
+                out["at"].append(want["at"])
                 out["body"].append(body[want["low"]:want["high"]].to_pybytes())
         if out["doc"]:
             yield _batch(_CUT, **out)
@@ -272,40 +276,72 @@ def _repeated(batches: Batches) -> Batches:
             yield _batch(_RANGE, doc=d, mark=m, low=a, high=b)
 
 
-_WINDOWS = f"one bigint, two bigint, {_DOC}, low int"
+_PIECE = f"part bigint, content bigint, {_DOC}, low int, at int, least int, most int, body binary"
 
 
-def _windows(batches: Batches) -> Batches:
-    """Step 3 for frequent anchors: every window of a context by its hash."""
+def _halves(batches: Batches) -> Batches:
+    """The pieces of a context (or piece) whose windows end ``least`` to ``most`` bytes behind the anchor, halved.
+
+    All windows of a piece hold its core, which is its ``part``: the ``least`` bytes behind the anchor and
+    those that the furthest window has before it.
+    """
     for batch in batches:
-        bodies = batch.column("body").to_pylist()
-        if not bodies:
-            continue
-        buffer = np.frombuffer(b"".join([*bodies, bytes(_SPARE)]), np.uint8)
-        lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        starts = np.cumsum(lengths) - lengths
-        count = lengths - WINDOW + 1
-        owner = np.repeat(np.arange(len(bodies)), count)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        at, words = starts[owner] + inside, words_at(buffer)
-        one, two = gathered_hash(words, at, 96), gathered_hash(words, at + 4, 96)
-        doc, mark, low = (batch.column(n).to_numpy() for n in ("doc", "mark", "low"))
-        yield _batch(_WINDOWS, one=one.view(np.int64), two=two.view(np.int64), doc=doc[owner],
-                     mark=mark[owner], low=low[owner] + inside)
-
-
-def _later_windows(cut: DataFrame) -> DataFrame:
-    windows = written(cut.mapInArrow(_windows, _WINDOWS), "windows")
-    start = F.struct("doc", "mark", "low")
-    # written, so that the join is of two plain shuffles and a common window's rows can be split
-    first = written(
-        windows.groupBy("one", "two").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").drop("n"),
-        "first_windows",
-    )
-    return windows.join(first, ["one", "two"]).filter(start > F.col("first")).select(
-        "doc", "mark", "low", (F.col("low") + WINDOW).alias("high")
-    )
+        out = {n: [] for n in ("part", "content", "doc", "mark", "low", "at", "least", "most", "body")}
+        for doc, mark, low, at, least, most, body in zip(*(
+            batch.column(n).to_pylist() for n in ("doc", "mark", "low", "at", "least", "most", "body")
+        )):
+            before, middle = at - low, (least + most) // 2
+            for a, b in ((least, middle), (middle + 1, most)):
+                first, last = max(a, REACH - before), min(b, len(body) - before - ANCHOR)
+                if first > last:
+                    continue
+                start = before - REACH + first
+                piece = body[start:before + ANCHOR + last]
+                core = body[before - REACH + b:before + ANCHOR + a]
+                for name, value in zip(out, (
+                    _signed(core, a * WINDOW + b), _signed(piece, first * WINDOW + last),
+                    doc, mark, low + start, at, a, b, piece,
+                )):
+                    out[name].append(value)
+        if out["doc"]:
+            yield _batch(_PIECE, **out)
+
+
+def _signed(body: bytes, seed: int) -> int:
+    number = xxhash.xxh64_intdigest(body, seed)
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _divided(large: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Step 3 for anchors with many contexts: removed ranges, and pieces in groups that are small enough.
+
+    Whoever shares a window shares the core of its piece. In each part equal pieces are settled by their
+    earliest; parts that still hold many different ones are halved again, down to single windows, which are equal.
+    """
+    ranges, small = None, None
+    left = large.withColumns({"least": F.lit(0), "most": F.lit(REACH)})
+    while not left.isEmpty():
+        pieces = written(left.mapInArrow(_halves, _PIECE), "pieces")
+        start = F.struct("doc", "mark", "low")
+        # written, so that the joins are of plain shuffles and a common piece's rows can be split
+        earliest = written(pieces.groupBy("part", "content").agg(F.min(start).alias("earliest")), "first_pieces")
+        several = written(earliest.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1"), "parts")
+        known = pieces.join(earliest, ["part", "content"])
+        later = known.filter(start > F.col("earliest")).select(
+            "doc", "mark", "low", (F.col("low") + F.length("body")).alias("high")
+        )
+        open_ = written(
+            known.filter(start == F.col("earliest")).drop("earliest").join(several, "part")
+            .dropDuplicates(["part", "content"]),
+            "open_pieces",
+        )
+        some = open_.filter(F.col("n") <= GROUP_CONTEXTS).select(
+            F.col("part").alias("anchor"), "doc", "mark", "low", "body"
+        )
+        ranges = later if ranges is None else ranges.unionByName(later)
+        small = some if small is None else small.unionByName(some)
+        left = open_.filter(F.col("n") > GROUP_CONTEXTS)
+    return ranges, small
 
 
 def frequent_anchors(keyed: DataFrame, share: int = SAMPLE_SHARE) -> np.ndarray:
@@ -334,22 +370,28 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         "settled",
     )
     wanted = settled.filter(F.col("kind") != _REMOVED).groupBy("doc", "mark").agg(
-        F.collect_set(F.struct("anchor", "low", "high", "kind")).alias("wanted")
+        F.collect_set(F.struct("anchor", "low", "high", "at")).alias("wanted")
     )
     cut = written(
         keyed.join(wanted, ["doc", "mark"]).select("doc", "mark", "body", "wanted")
         .mapInArrow(_cut_contexts, _CUT),
         "contexts",
     )
+    many = written(
+        cut.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_CONTEXTS).select("anchor"),
+        "many_contexts",
+    )
+    contexts_ = cut.join(many, "anchor", "left_anti").select("anchor", "doc", "mark", "low", "body")
+    removed = settled.filter(F.col("kind") == _REMOVED).select("doc", "mark", "low", "high")
+    ranges, pieces = _divided(cut.join(many, "anchor", "left_semi").drop("anchor"))
+    if ranges is not None:
+        removed, contexts_ = removed.unionByName(ranges), contexts_.unionByName(pieces)
     # by rows, not bytes: contexts are small and sorting their suffixes is not
-    contexts_ = cut.filter(F.col("kind") == _CONTEXT)
     repeated = (
         contexts_.repartition(contexts_.count() // _TASK_CONTEXTS + 1, "anchor")
         .sortWithinPartitions("anchor").mapInArrow(_repeated, _RANGE)
     )
-    later = _later_windows(cut.filter(F.col("kind") == _FREQUENT))
-    removed = settled.filter(F.col("kind") == _REMOVED).select("doc", "mark", "low", "high")
-    return removed.unionByName(repeated).unionByName(later)
+    return removed.unionByName(repeated)
 
 
 def _with_ranges(docs: DataFrame, name: str) -> DataFrame:

@@ -114,3 +114,30 @@ def test_texts_without_id_are_told_apart(spark, words):
     docs = spark.createDataFrame([(None, t) for t in pair], "doc_id long, text string")
     shared = sorted(r.n_removed for r in repeats.repeat_report(docs).collect())
     assert shared[0] == 0 and 0 < shared[-1] < len(pair[0])
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_divided_anchors_give_the_same(spark, tangled, words, monkeypatch, most):
+    """Anchors with more contexts than are searched together; a line that each text has in other surroundings."""
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", most)
+    line = words(77, 40)[:130]
+    docs = tangled + [(200 + i, words(300 + i, 20) + line[:100 + i % 30] + words(600 + i, 20)) for i in range(60)]
+    assert report(spark, docs) == plain_report(docs)
+
+
+def test_rows_of_a_common_line_grow_no_faster_than_its_contexts(spark, words, monkeypatch):
+    line, rows, plain = words(77, 40)[:130], {}, repeats.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "written", counted)
+    monkeypatch.setattr(repeats, "SAMPLE_SHARE", 1)
+    monkeypatch.setattr(repeats.frequent_anchors, "__defaults__", (1,))
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 20)
+    docs = [(i, words(300 + i, 20) + line + words(600 + i, 20)) for i in range(100)]
+    assert report(spark, docs) == plain_report(docs)
+    of_step_3 = {label: n for label, n in rows.items() if label not in ("settled", "contexts")}
+    assert max(of_step_3.values()) <= 4 * rows["contexts"], rows
