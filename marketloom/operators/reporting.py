@@ -127,6 +127,10 @@ def strategy_report(summary: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     )
 
 
+# Names that every open text is compared with directly; more of them meet on grams.
+FEW_NAMES = 256
+
+
 def _grams(text: Column, size: int) -> Column:
     """The runs of ``size`` characters of a text padded at both ends, each with its occurrence number."""
     pad = F.lit("\u0000" * (size - 1))
@@ -176,7 +180,8 @@ def _within(asked: DataFrame, names: DataFrame, size: int, radius: int) -> DataF
 def nearest_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``text, distance, symbol``: the name with the least edit distance to each ``text``.
 
-    ``names`` has ``symbol`` and ``name``. The radius doubles from 0 on; what has a name within it
+    ``names`` has ``symbol`` and ``name``. A text is compared with each of at most ``FEW_NAMES`` names;
+    among more of them the radius doubles from 0 on; what has a name within it
     leaves, and since all names within the radius were compared, its nearest is exact. Texts and names meet
     on their rarest grams: pairs of characters while the text is longer than twice the radius,
     then single ones. A name without any character of the text is as far as the longer of the
@@ -190,6 +195,11 @@ def nearest_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     if shortest is None:
         return found
     open_ = written(open_.join(found, "text", "left_anti"), "texts")
+    if names.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        few = names.select(F.col("text").alias("name"), "symbol")
+        best = F.min(F.struct(F.levenshtein(F.col("text"), F.col("name")).alias("distance"), "symbol"))
+        near = open_.crossJoin(few).groupBy("text").agg(best.alias("best"))
+        return found.unionByName(near.select("text", "best.distance", "best.symbol"))
     by_gram = {}
     radius, size_of = 1, F.length("text")
     while (left := open_.agg(F.max(size_of).alias("longest"), F.min(size_of).alias("shortest")).first())["longest"]:
