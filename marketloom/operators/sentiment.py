@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from marketloom.functions.sentiment import SCORE_COLUMNS
 from marketloom.operators.ordering import exact_median, top_per_key
 from marketloom.workspace import written
 
+# Texts handed to a scorer at once; bounds the copies that it makes of them.
+_SCORED_ROWS = 1024
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 _SCORE_TYPES = "label string, " + ", ".join(f"{c} double" for c in SCORE_COLUMNS)
@@ -23,18 +27,22 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "he
     ``make_scorer`` runs once per task and returns a function from a batch of texts to a frame
     with the columns label and the four scores. Nothing is shuffled.
     """
-    columns = list(df.columns)
-    names = ["label", *SCORE_COLUMNS]
+    at, names = df.columns.index(text), ["label", *SCORE_COLUMNS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
         for batch in batches:
-            scores = scorer(batch[text])[names]
-            scores.index = batch.index
-            yield pd.concat([batch[columns], scores], axis=1)
+            for low in range(0, batch.num_rows, _SCORED_ROWS):
+                part = batch.slice(low, _SCORED_ROWS)
+                scores = scorer(part.column(at).to_pandas())[names]
+                columns = [
+                    pa.array(scores[n], pa.string() if n == "label" else pa.float64(), from_pandas=True)
+                    for n in names
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, {_SCORE_TYPES}")
+    return df.mapInArrow(run, f"{fields}, {_SCORE_TYPES}")
 
 
 def label_distribution(scored: DataFrame) -> DataFrame:
