@@ -65,14 +65,15 @@ def embed(
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            rows = []
+            # yielded in parts: the vectors of a whole batch are far larger than its slots
             for at in range(0, len(batch), _COUNTED_ROWS):
                 part = batch.iloc[at:at + _COUNTED_ROWS]
                 lengths = part.map(len).to_numpy()
                 slots = np.concatenate(part.to_numpy()).astype(np.int64) if lengths.sum() else lengths[:0]
                 cells = np.repeat(np.arange(len(part)) * dim, lengths) + slots
                 counts = np.bincount(cells, minlength=len(part) * dim).reshape(len(part), dim)
-                rows += list((counts * scale).astype(np.float32))
-            yield pd.Series(rows)
+                yield pd.Series(list((counts * scale).astype(np.float32)))
+            if not len(batch):
+                yield pd.Series([], dtype=object)
 
     return slotted.withColumn(name, vector(slots_name)).drop(slots_name)
