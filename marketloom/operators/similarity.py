@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BLOCK_QUERIES = 4096
 CELL_VECTORS = 65536
 # Queries scored at once against one batch or cell of vectors.
 SLICE_QUERIES = 256
+# Vectors of an Arrow batch compared at once with the shipped queries.
+_BATCH_VECTORS = 1024
 # Scores are rounded before ranking, so copies of a vector tie and the lower id comes first.
 SCORE_DIGITS = 9
 
@@ -117,22 +120,24 @@ def _search_shipped(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     query_ids, matrix = rows["query_id"].to_numpy(), _matrix(rows["embedding"])
     shipped = index.sparkSession.sparkContext.broadcast((query_ids, matrix))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shipped.value
         best = None
         for batch in batches:
-            if len(batch):
+            for low in range(0, batch.num_rows, _BATCH_VECTORS):
+                part = batch.slice(low, _BATCH_VECTORS)
                 found = _best(
-                    batch["vec_id"].to_numpy(), _matrix(batch["embedding"]), ids, vectors, k
+                    part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1).to_pandas()),
+                    ids, vectors, k,
                 )
                 if best is not None:
                     found = pd.concat([best, found], ignore_index=True)
                     found = _first_k(*(found[c].to_numpy() for c in found.columns), k)
                 best = found
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-    return index.select("vec_id", "embedding").mapInPandas(run, _HITS)
+    return index.select("vec_id", "embedding").mapInArrow(run, _HITS)
 
 
 def _search_tiled(index: DataFrame, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
