@@ -1,4 +1,9 @@
-"""Enhanced suffix array over many short byte strings, and its interval tree."""
+"""Enhanced suffix array over many short byte strings, and its interval tree.
+
+Only suffixes that can start a maximal repeat are sorted: those whose first bytes, as many as a repeat has at least,
+come more than once by their hashes, behind different bytes. The hashes only leave suffixes out; prefixes are
+compared byte by byte.
+"""
 
 from __future__ import annotations
 
@@ -6,43 +11,59 @@ import numpy as np
 
 from marketloom.llm.anchors import words_at
 
-_FIRST = 8
+_WORD = 8
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def window_hashes(buffer: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes (at least 8) from each position that has as many, by doubling."""
+    hashes, span = words_at(buffer), _WORD
+    while span < length:
+        step = min(span, length - span)
+        mixed = (hashes[:-step] * _C1) ^ hashes[step:]
+        mixed ^= mixed >> np.uint64(29)
+        hashes, span = mixed * _C2, span + step
+    return hashes
 
 
-def suffix_array(buffer: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of ``buffer`` in order of their first ``depth`` bytes, and the ranks by doubling.
+def repeated_starts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Positions with ``least`` bytes of their string left whose hash others share that have another byte before them.
 
-    ``buffer`` ends in spare zero bytes, at least twice ``depth`` of them. Entry ``k`` of the ranks
-    orders all positions by their first ``8 * 2**k`` bytes.
+    Where all that share a hash have the same byte before them, the repeat one byte longer says more. Two strings
+    of one hash only keep more positions.
     """
-    n = len(buffer) - 2 * depth
-    words = words_at(buffer)[:n].byteswap()
-    _, rank = np.unique(words, return_inverse=True)
-    levels, span = [_padded(rank, depth)], _FIRST
-    while span < depth:
-        key = (levels[-1][:n] << 32) | levels[-1][span:span + n]
-        _, rank = np.unique(key, return_inverse=True)
-        levels.append(_padded(rank, depth))
-        span *= 2
-    return np.argsort(levels[-1][:n], kind="stable"), levels
-
-
-def _padded(rank: np.ndarray, depth: int) -> np.ndarray:
-    return np.concatenate([rank.astype(np.int64) + 1, np.zeros(2 * depth, np.int64)])
-
-
-def common_prefixes(buffer: np.ndarray, left: np.ndarray, right: np.ndarray, levels) -> np.ndarray:
-    """Length of the common prefix of the suffixes ``left[i]`` and ``right[i]``."""
-    length = np.zeros(len(left), np.int64)
-    for level in reversed(range(len(levels))):
-        a = np.minimum(left + length, len(levels[level]) - 1)
-        b = np.minimum(right + length, len(levels[level]) - 1)
-        length += (levels[level][a] == levels[level][b]) * (_FIRST << level)
+    counts = np.maximum(ends - starts - least + 1, 0)
+    at_start = np.cumsum(counts) - counts
+    places = np.arange(counts.sum()) + np.repeat(starts - at_start, counts)
+    before = buffer[places - 1].astype(np.int16)
+    before[at_start[counts > 0]] = -1
+    hashes = window_hashes(buffer, least)[places]
+    order = np.argsort(hashes)
+    hashes, before = hashes[order], before[order]
+    alike = hashes[1:] == hashes[:-1]
+    diverse = alike & ((before[1:] != before[:-1]) | (before[1:] < 0))
+    group = np.cumsum(np.concatenate([[0], ~alike]))[:len(order)]
+    wanted = np.zeros(len(order), bool)
+    wanted[group[1:][diverse]] = True
+    return places[np.sort(order[wanted[group]])]
+
+
+def suffix_array(buffer: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at ``places`` in order of their first ``depth`` bytes."""
     words = words_at(buffer)
-    last = len(words) - 1
-    differ = words[np.minimum(left + length, last)] ^ words[np.minimum(right + length, last)]
-    lowest = differ & (~differ + np.uint64(1))
-    return length + np.where(differ == 0, 0, np.bitwise_count(lowest - np.uint64(1)) // 8)
+    return places[np.lexsort([words[places + k].byteswap() for k in reversed(range(0, depth, _WORD))])]
+
+
+def common_prefixes(buffer: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes ``left[i]`` and ``right[i]``, up to about ``depth``."""
+    words, length = words_at(buffer), np.zeros(len(left), np.int64)
+    open_ = np.arange(len(left))
+    for k in range(0, depth, _WORD):
+        differ = words[left[open_] + k] ^ words[right[open_] + k]
+        lowest = differ & (~differ + np.uint64(1))
+        length[open_] += np.where(differ == 0, _WORD, np.bitwise_count(lowest - np.uint64(1)) // 8)
+        open_ = open_[differ == 0]
+    return length
 
 
 def intervals(prefixes: np.ndarray, least: int) -> np.ndarray:
@@ -51,22 +72,24 @@ def intervals(prefixes: np.ndarray, least: int) -> np.ndarray:
     ``prefixes[i]`` is the common prefix of the suffixes in places ``i`` and ``i + 1``. Only nodes
     of at least ``least`` bytes are made; the scan keeps the open ones on a stack.
     """
-    nodes = []
+    nodes, stack, at = [], [], 0
     places = np.flatnonzero(prefixes >= least)
-    runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1) if len(places) else []
-    for run in runs:
-        stack, at = [], int(run[0])
-        for value in prefixes[run].tolist():
-            first = at
-            while stack and stack[-1][0] > value:
+    for place, value in zip(places.tolist(), prefixes[places].tolist()):
+        if place != at:
+            while stack:
                 top, first = stack.pop()
                 nodes.append((top, first, at))
-            if not stack or stack[-1][0] < value:
-                stack.append((value, first))
-            at += 1
-        while stack:
+            at = place
+        first = at
+        while stack and stack[-1][0] > value:
             top, first = stack.pop()
             nodes.append((top, first, at))
+        if not stack or stack[-1][0] < value:
+            stack.append((value, first))
+        at += 1
+    while stack:
+        top, first = stack.pop()
+        nodes.append((top, first, at))
     return np.array(nodes, np.int64).reshape(-1, 3)
 
 
@@ -75,13 +98,18 @@ def maximal_repeats(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Maximal repeats of at least ``least`` bytes inside the strings ``buffer[starts:ends]``.
 
-    The strings follow each other, each closed by one zero byte, and hold no zero themselves.
-    Returns the repeats as rows ``(length, first, last)`` and the suffix array: occurrences of a
-    repeat are the suffixes in places ``first .. last``, all of them. A node is left out if the same
+    The strings follow each other, each closed by one zero byte, hold no zero themselves and are shorter than
+    ``depth``; ``buffer`` ends in spare zero bytes, at least twice ``depth`` of them.
+    Returns the repeats as rows ``(length, first, last)`` and the suffix array of the suffixes that
+    can start one (``repeated_starts``): occurrences of a repeat are the suffixes in places ``first .. last``, all of them. A node is left out if the same
     byte stands before every occurrence, since the repeat one byte longer then says more.
     """
-    order, levels = suffix_array(buffer, depth)
-    prefixes = common_prefixes(buffer, order[:-1], order[1:], levels)
+    places = repeated_starts(buffer, starts, ends, least)
+    if not len(places):
+        return np.empty((0, 3), np.int64), places
+    depth = min(depth, int((ends - starts).max()) + 1)
+    order = suffix_array(buffer, places, depth)
+    prefixes = common_prefixes(buffer, order[:-1], order[1:], depth)
     owner = np.searchsorted(starts, order, side="right") - 1
     left_over = ends[owner] - order
     prefixes = np.minimum(prefixes, np.minimum(left_over[:-1], left_over[1:]))

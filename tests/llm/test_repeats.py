@@ -91,6 +91,34 @@ def test_maximal_repeats_have_all_occurrences(words):
     assert got == {120: starts[:2], 110: starts}
 
 
+def test_only_suffixes_that_can_start_a_repeat_are_sorted():
+    """Few letters, so repeats overlap: nodes against a comparison of all positions, and what was sorted."""
+    rng, least = np.random.default_rng(7), 9
+    bodies = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(30)] + [b"cccccccccab", b"cccccccccab", b""]
+    buffer = np.frombuffer(b"\0".join([*bodies, bytes(128)]), np.uint8)
+    lengths = np.array([len(b) for b in bodies])
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    want = {}
+    for low, body in zip(starts.tolist(), bodies):
+        for i in range(len(body)):
+            for j in range(i + least, len(body) + 1):
+                want.setdefault(body[i:j], []).append((low + i, body[i - 1:i], body[j:j + 1]))
+    # the longest of each set of places, if not all have the same byte before them
+    want = {(len(t), tuple(sorted(p for p, _, _ in at))) for t, at in want.items() if len(at) > 1 and (
+        len({b for _, b, _ in at}) > 1 or b"" in {b for _, b, _ in at}) and (
+        len({a for _, _, a in at}) > 1 or b"" in {a for _, _, a in at})}
+    nodes, order = suffixes.maximal_repeats(buffer, starts, ends, least, 64)
+    assert {(int(n), tuple(sorted(order[a:b + 1].tolist()))) for n, a, b in nodes} == want
+    assert set(order.tolist()) <= {p for _, at in want for p in at}
+    line = bytes(range(128, 248))
+    bodies = [bytes([65 + i]) + line for i in range(40)]
+    buffer = np.frombuffer(b"\0".join([*bodies, bytes(512)]), np.uint8)
+    ends = np.cumsum(np.full(40, 122)) - 1
+    nodes, order = suffixes.maximal_repeats(buffer, ends - 121, ends, 100, 256)
+    assert nodes.tolist() == [[120, 0, 39]] and len(order) == 40
+
+
 def test_odd_rows(spark, odd_docs, odd_frame, empty_frame):
     rows = repeats.repeat_report(odd_frame).collect()
     assert len(rows) == len(odd_docs)
