@@ -96,7 +96,7 @@ def _numbered_character(number: Column) -> Column:
     none = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
     silent = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127)
     return (
-        F.when(none, "\ufffd").when(silent, "")
+        F.when(number.between(32, 126), F.char(number)).when(none, "\ufffd").when(silent, "")
         .when(number.between(128, 159), F.try_element_at(windows, number.cast("int")))
         .otherwise(F.decode(F.unhex(code), "UTF-32"))
     )
@@ -112,35 +112,44 @@ def unescape(text: Column) -> Column:
     for name, shown in sorted(html5.items()):
         by_letter.setdefault(name[0], []).extend([F.lit(name), F.lit(shown)])
     names = F.create_map(*[c for k, v in by_letter.items() for c in (F.lit(k), F.create_map(*v))])
-    stretches = F.arrays_zip(
-        F.split(text, REFERENCE_PATTERN, -1).alias("before"),
-        F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0)).alias("reference"),
-    )
+    # Each step is a transform of its own, which computes what the next one reads several times only once.
+    references = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
 
-    def character(reference: Column) -> Column:
+    def number(reference: Column) -> Column:
         digits = F.regexp_replace(reference, "[&#xX;]", "")
         decimal = digits.try_cast("decimal(20,0)").try_cast("bigint")
         hexadecimal = F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).try_cast("bigint"))
-        number = F.when(reference.rlike("^&#[xX]"), hexadecimal).otherwise(decimal)
-        name = F.substring(reference, F.lit(2), F.length(reference))
-        own = F.try_element_at(names, F.substring(name, F.lit(1), F.lit(1)))
-        whole = F.try_element_at(own, name).isNotNull()
-        ends = F.when(whole, F.array(F.length(name))).otherwise(
-            F.sequence(F.length(name), F.lit(1), F.lit(-1))
-        )
-        known = F.filter(ends, lambda n: F.try_element_at(own, F.substring(name, F.lit(1), n)).isNotNull())
-        end = F.get(known, F.lit(0))
-        named = F.concat(
-            F.try_element_at(own, F.substring(name, F.lit(1), end)),
-            F.substring(name, end + 1, F.length(name)),
+        return F.when(reference.startswith("&#"), F.when(reference.rlike("^&#[xX]"), hexadecimal).otherwise(decimal))
+
+    def own(name: Column) -> Column:
+        return F.try_element_at(names, F.substring(name, F.lit(1), F.lit(1)))
+
+    def shown(name: Column, of: Column) -> Column:
+        """The longest known start of ``name`` as its character, and the rest of the name; null if there is none."""
+        ends = F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1))
+        known = F.filter(ends, lambda n: F.try_element_at(of, F.substring(name, F.lit(1), n)).isNotNull())
+        return F.get(F.transform(F.slice(known, 1, 1), lambda n: F.concat(
+            F.try_element_at(of, F.substring(name, F.lit(1), n)), F.substring(name, n + 1, F.length(name))
+        )), F.lit(0))
+
+    numbers = F.transform(references, lambda r: F.struct(
+        r.alias("reference"), r.startswith("&#").alias("numbered"), number(r).alias("number"),
+        F.when(~r.startswith("&#"), F.substring(r, F.lit(2), F.length(r))).alias("name"),
+    ))
+    maps = F.transform(numbers, lambda s: F.struct(
+        s["reference"].alias("reference"), s["numbered"].alias("numbered"), s["number"].alias("number"),
+        s["name"].alias("name"), own(s["name"]).alias("own"),
+    ))
+    characters = F.transform(maps, lambda s: F.when(s["numbered"], _numbered_character(s["number"])).otherwise(
+        F.coalesce(
+            F.try_element_at(s["own"], s["name"]),
+            F.when(F.length(s["name"]) > 1, shown(s["name"], s["own"])), s["reference"],
         )
-        return F.when(reference.startswith("&#"), _numbered_character(number)).otherwise(
-            F.coalesce(named, reference)
-        )
-
-    joined = F.array_join(F.transform(stretches, lambda s: F.concat(
-        s["before"], F.when(s["reference"].isNull(), "").otherwise(character(s["reference"]))
-    )), "")
+    ))
+    joined = F.array_join(F.transform(
+        F.arrays_zip(F.split(text, REFERENCE_PATTERN, -1).alias("before"), characters.alias("character")),
+        lambda s: F.concat(s["before"], F.coalesce(s["character"], F.lit(""))),
+    ), "")
     return F.when(text.contains("&"), joined).otherwise(text)
 
 

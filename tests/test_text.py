@@ -112,3 +112,14 @@ def test_user_model_is_built_per_task_and_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, headline string")
     got = sn.score_with(rows, make).orderBy("id").collect()
     assert [(r["id"], r["headline"], r["label"]) for r in got] == [(1, "x", "neutral"), (2, "y", "neutral")]
+
+
+def test_a_reference_is_read_once(spark):
+    """Numbers, names and what is no reference; the number of a reference is written once in the expression."""
+    import html
+
+    texts = ["&#84;&#x54;&#XdF;&#126;&#127;&#32;&#31;&#9;&#128;&#0;&#1114112;&#xD800;", "&eacute;&ntilde&notit;&amp;amp;",
+             "a & b &; &# &#x; &q; &e &T &zzz;", "&ampx&gt", "plain", "", "&#99999999999999999999999;&#xFFFFFFFFF;"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", tx.unescape(F.col("t")).alias("u"))
+    assert {r.t: r.u for r in rows.collect()} == {t: html.unescape(t) for t in texts} | {None: None}
+    assert str(tx.unescape(F.col("t"))).count("conv(") == 1
