@@ -76,7 +76,7 @@ def headline_hash(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct words of a text; empty for blank text."""
-    words = F.split(normalized(text), SPACES_PATTERN)
+    words = F.split(F.lower(text), SPACES_PATTERN)  # spaces at the ends leave only an empty word
     return F.array_remove(F.array_distinct(words), "")
 
 

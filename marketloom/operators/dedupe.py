@@ -22,6 +22,8 @@ from marketloom.workspace import written
 STRETCH = 200_000
 # Ways the rows before a stretch may have turned out that are tried ahead of time.
 MOST_COMBINATIONS = 2048
+# Numbers of 64 bits that mark a row's words.
+_MARKS = 8
 
 
 def exact(df: DataFrame, text: str, order: Sequence[Column]) -> DataFrame:
@@ -50,26 +52,33 @@ def near_pairs(
 
     Positions are unique, so buckets of ``span`` positions are all the same size: the join is an
     equi-join on the bucket that meets every pair exactly once, never a cross join. The word
-    counts of a pair bound its Jaccard, which drops most pairs before the set comparison.
+    counts of a pair bound its Jaccard, and so do the bits that its words set in small marks: a bit that only one row
+    has stands for at least one word that only it has. That drops most pairs before the set comparison.
     """
     # Written once: both sides of the join read the word sets.
     words = written(
         indexed.select("idx", word_set(F.col(text)).alias("words"))
-        .withColumn("n", F.size("words")),
+        .withColumn("n", F.size("words")).withColumn("bits", _bits_of(F.col("words")))
+        .withColumn("marks", _marks(F.col("bits"))).drop("bits"),
         "words",
     ).filter(F.col("n") > 0)
     bucket = F.floor(F.col("idx") / span)
     left = words.select(
-        F.col("idx").alias("i"), F.col("words").alias("wi"), F.col("n").alias("ni"),
+        F.col("idx").alias("i"), F.col("words").alias("wi"), F.col("n").alias("ni"), F.col("marks").alias("mi"),
         F.explode(F.array(bucket, bucket + 1)).alias("bucket"),
     )
     right = words.select(
-        F.col("idx").alias("j"), F.col("words").alias("wj"), F.col("n").alias("nj"),
+        F.col("idx").alias("j"), F.col("words").alias("wj"), F.col("n").alias("nj"), F.col("marks").alias("mj"),
         bucket.alias("bucket"),
     )
     close = (F.col("i") < F.col("j")) & (F.col("j") <= F.col("i") + span)
     # Kept a hair below the threshold: rounding must not drop a pair the exact test would keep.
     possible = F.least("ni", "nj") >= (threshold - 1e-9) * F.greatest("ni", "nj")
+    # At least threshold / (1 + threshold) of both counts is shared.
+    spare = (1 - threshold / (1 + threshold) + 1e-9) * (F.col("ni") + F.col("nj"))
+    possible &= F.greatest(
+        F.col("nj") + _only("mi", "mj"), F.col("ni") + _only("mj", "mi")
+    ) <= spare
     return (
         left.join(right, "bucket")
         .filter(close & possible)
@@ -79,6 +88,30 @@ def near_pairs(
     )
 
 
+def _bits_of(words: Column) -> Column:
+    """Which bit each word sets, by its hash; each once."""
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * _MARKS)).cast("int")))
+
+
+def _marks(bits: Column) -> Column:
+    """The bits as a few numbers."""
+    def mark(at: int) -> Column:
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(
+            F.filter(bits, lambda b: F.shiftright(b, 6) == at), F.lit(0).cast("bigint"),
+            lambda mark, b: mark.bitwiseOR(F.call_function("shiftleft", one, b.bitwiseAND(F.lit(63)))),
+        )
+
+    return F.struct(*[mark(at).alias(f"m{at}") for at in range(_MARKS)])
+
+
+def _only(mine: str, others: str) -> Column:
+    """How many bits are set in the marks ``mine`` alone."""
+    return functools.reduce(operator.add, (
+        F.bit_count(F.col(f"{mine}.m{i}").bitwiseAND(F.bitwise_not(F.col(f"{others}.m{i}")))) for i in range(_MARKS)
+    ))
+
+
 def _walk(positions, masks, start: int, end: int, span: int, states: np.ndarray) -> np.ndarray:
     """Kept flags of the last ``span`` rows after walking from ``start`` to ``end``, for several
     starting flags at once. Bit k of a state is set if the row k + 1 places back is kept; bit k of

@@ -147,3 +147,16 @@ def test_hash_dedupe_prefers_earlier_sources(spark):
 def test_missing_column_raises(spark):
     with pytest.raises(ValueError):
         dedupe.clean_column(spark.range(1), "headline")
+
+
+def test_marks_bound_the_union(spark):
+    """No pair's bound is above its union, and it is close to it for sets that share little."""
+    rng = random.Random(5)
+    sets = [sorted({f"w{rng.randrange(300)}" for _ in range(n)}) for n in (0, 1, 40, 40, 150, 150)] + [["é", "w1"]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "i int, w array<string>").withColumn("bits", dedupe._bits_of(F.col("w")))
+    marked = rows.select("i", "w", dedupe._marks(F.col("bits")).alias("m"))
+    pairs = marked.toDF("i", "wi", "mi").crossJoin(marked.toDF("j", "wj", "mj")).select(
+        "i", "j", (F.size("wj") + dedupe._only("mi", "mj")).alias("least"))
+    for r in pairs.collect():
+        union = len({*sets[r.i], *sets[r.j]})
+        assert 0.8 * union <= r.least <= union
