@@ -45,19 +45,35 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?U)\b(?:{'|'.join(words)})\b"))
 
 
+def plain(lexicon: Lexicon) -> bool:
+    """Whether all words are ASCII letters and digits: such a word is a hit where it is a whole word of the text."""
+    words = (*lexicon.positive, *lexicon.negative, *lexicon.neutral)
+    return all(w.isascii() and w.isalnum() for w in words)
+
+
+def _listed(found: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words ``found`` belong to ``words``, each occurrence counted."""
+    return F.array_size(F.filter(found, lambda w: w.isin(*words))) if words else F.lit(0)
+
+
 def with_sentiment(df, text: str = "headline", lexicon: Lexicon = FINANCE):
     """Add label, the three class probabilities and score = positive - negative.
 
     A class's logit is its share of all lexicon hits times the gain; neutral also gets a bias,
     so a text without hits is neutral. Logits are bounded, so the softmax cannot overflow.
     """
+    # Plain words are found by cutting the text into words once, others by a pattern for each class.
+    whole = plain(lexicon)
+    if whole:
+        df = df.withColumn("_w", F.split(F.lower(F.col(text)), r"(?U)\W+"))
+    source, count = (F.col("_w"), _listed) if whole else (F.col(text), hits)
     df = df.withColumns(
         {
-            "_p": hits(F.col(text), lexicon.positive),
-            "_n": hits(F.col(text), lexicon.negative),
-            "_u": hits(F.col(text), lexicon.neutral),
+            "_p": count(source, lexicon.positive),
+            "_n": count(source, lexicon.negative),
+            "_u": count(source, lexicon.neutral),
         }
-    )
+    ).drop("_w")
     every = F.greatest(F.col("_p") + F.col("_n") + F.col("_u"), F.lit(1))
     df = df.withColumns(
         {

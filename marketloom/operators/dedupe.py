@@ -470,5 +470,10 @@ def clean_column(
 def long_enough(
     df: DataFrame, text: str, min_length: int = DEFAULTS.min_headline_length
 ) -> DataFrame:
-    """Drop texts shorter than ``min_length`` characters."""
-    return df.filter(F.length(text) >= min_length)
+    """Drop texts shorter than ``min_length`` characters.
+
+    A text that is computed is computed once: as a filter its expression would be evaluated for the filter and again
+    for the column.
+    """
+    kept = F.filter(F.array(F.col(text)), lambda t: F.length(t) >= min_length)
+    return df.select(*[F.explode(kept).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

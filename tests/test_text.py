@@ -123,3 +123,22 @@ def test_a_reference_is_read_once(spark):
     rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", tx.unescape(F.col("t")).alias("u"))
     assert {r.t: r.u for r in rows.collect()} == {t: html.unescape(t) for t in texts} | {None: None}
     assert str(tx.unescape(F.col("t"))).count("conv(") == 1
+
+
+def test_plain_words_are_counted_as_by_patterns(spark):
+    plain = sf.Lexicon(positive=("up", "x1"), negative=("down",), neutral=())
+    texts = ["Up up, up-down UPSIDE x1", "down_ down’s é uṕ up", "‍up up x1 x1é", "", "  ", None, "DOWN\tup"]
+    rows = spark.createDataFrame([(t,) for t in texts], "headline string")
+    assert sf.plain(plain) and not sf.plain(sf.Lexicon(positive=("all-time",), negative=("beats?",)))
+    patterned = sf.Lexicon(positive=("up", "x1"), negative=("(?:down)",), neutral=())
+    found, want = (sf.with_sentiment(rows, lexicon=x).collect() for x in (plain, patterned))
+    assert found == want
+
+
+def test_a_cleaned_text_is_computed_once(spark):
+    from marketloom.operators import dedupe
+
+    rows = spark.createDataFrame([(1, "<b>long enough text</b>"), (2, "short"), (3, None)], "id int, headline string")
+    kept = dedupe.long_enough(dedupe.clean_column(rows, "headline", keep_raw=False), "headline")
+    assert kept.columns == ["id", "headline"] and [tuple(r) for r in kept.collect()] == [(1, "long enough text")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("https?://") == 1
